@@ -1,0 +1,125 @@
+"""Position replay from UCI moves as one higher-order expression per game.
+
+A board is a text of 64 squares, a8 first, h1 last, ``.`` for empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from turnwise.functions.numeric import as_column
+
+# Start position, and the squares whose use ends a castling right.
+START = "rnbqkbnrpppppppp................................PPPPPPPPRNBQKBNR"
+START_FEN = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
+RIGHTS = {"K": ("e1", "h1"), "Q": ("e1", "a1"), "k": ("e8", "h8"), "q": ("e8", "a8")}
+ROOK_JUMPS = {"e1g1": ("h1", "f1"), "e1c1": ("a1", "d1"), "e8g8": ("h8", "f8"), "e8c8": ("a8", "d8")}
+
+_STATE = "struct<board:string,turn:string,castling:string,ep:string,half:int,full:int>"
+
+
+def _place(square: str) -> int:
+    """1-based place of a square in the board text."""
+    return (8 - int(square[1])) * 8 + ord(square[0]) - ord("a") + 1
+
+
+def _index(square: Column) -> Column:
+    return (F.lit(8) - F.substring(square, 2, 1).cast("int")) * 8 + F.ascii(square) - F.lit(ord("a") - 1)
+
+
+def _put(board: Column, at: Column, piece: Column) -> Column:
+    return F.overlay(board, piece, at, F.lit(1))
+
+
+def _state(board, turn, castling, ep, half, full) -> Column:
+    return F.struct(
+        board.alias("board"), turn.alias("turn"), castling.alias("castling"), ep.alias("ep"),
+        half.cast("int").alias("half"), full.cast("int").alias("full"),
+    )
+
+
+def _step(s: Column, uci: Column) -> Column:
+    board, white = s["board"], s["turn"] == "w"
+    source, target = F.substring(uci, 1, 2), F.substring(uci, 3, 2)
+    at, to = _index(source), _index(target)
+    piece = F.substr(board, at, F.lit(1))
+    is_pawn, is_king = F.lower(piece) == "p", F.lower(piece) == "k"
+    taken = F.substr(board, to, F.lit(1)) != "."
+    en_passant = is_pawn & (target == s["ep"])
+    promoted = F.substring(uci, 5, 1)
+    landing = F.when(promoted == "", piece).when(white, F.upper(promoted)).otherwise(promoted)
+
+    moved = _put(_put(board, at, F.lit(".")), to, landing)
+    passed = to + F.when(white, 8).otherwise(-8)
+    moved = F.when(en_passant, _put(moved, passed, F.lit("."))).otherwise(moved)
+    castled = moved
+    for king, (rook_from, rook_to) in ROOK_JUMPS.items():
+        rook = "R" if king[1] == "1" else "r"
+        jump = _put(_put(moved, F.lit(_place(rook_from)), F.lit(".")), F.lit(_place(rook_to)), F.lit(rook))
+        castled = F.when(is_king & (F.substring(uci, 1, 4) == king), jump).otherwise(castled)
+
+    rights = s["castling"]
+    for right, squares in RIGHTS.items():
+        lost = source.isin(*squares) | target.isin(*squares)
+        rights = F.when(lost, F.replace(rights, F.lit(right), F.lit(""))).otherwise(rights)
+    # a double step leaves the square behind the pawn open to en passant
+    double = is_pawn & (F.abs(at - to) == 16)
+    middle = F.concat(F.substring(source, 1, 1), F.when(white, "3").otherwise("6"))
+    return _state(
+        castled,
+        F.when(white, "b").otherwise("w"),
+        rights,
+        F.when(double, middle).otherwise("-"),
+        F.when(is_pawn | taken, 0).otherwise(s["half"] + 1),
+        s["full"] + F.when(white, 0).otherwise(1),
+    )
+
+
+def start_state(fen: Column | None = None) -> Column:
+    """State of a FEN text, or of the start position."""
+    if fen is None:
+        return _state(F.lit(START), F.lit("w"), F.lit("KQkq"), F.lit("-"), F.lit(0), F.lit(1))
+    part = lambda i: F.split_part(fen, F.lit(" "), F.lit(i))
+    board = F.replace(part(1), F.lit("/"), F.lit(""))
+    for n in range(8, 0, -1):
+        board = F.replace(board, F.lit(str(n)), F.lit("." * n))
+    return _state(
+        board, part(2), F.replace(part(3), F.lit("-"), F.lit("")), part(4),
+        F.coalesce(part(5).try_cast("int"), F.lit(0)), F.coalesce(part(6).try_cast("int"), F.lit(1)),
+    )
+
+
+def replay(moves: Column | str, fen: Column | None = None) -> Column:
+    """States before each move and after the last one: ``size(moves) + 1`` entries.
+
+    ``moves`` is the array of one record, in order.
+    """
+    first = start_state(fen)
+    empty = F.array(first).cast(f"array<{_STATE}>")
+    return F.aggregate(
+        as_column(moves), empty, lambda states, uci: F.concat(states, F.array(_step(F.element_at(states, -1), uci)))
+    )
+
+
+def to_fen(state: Column) -> Column:
+    """FEN text of a state.
+
+    The en-passant square is written only if a pawn of the side to move stands beside
+    the pawn that just moved two squares.
+    """
+    ranks = [F.substring(state["board"], 1 + 8 * i, 8) for i in range(8)]
+    placement = F.concat_ws("/", *ranks)
+    for n in range(8, 0, -1):
+        placement = F.replace(placement, F.lit("." * n), F.lit(str(n)))
+    white = state["turn"] == "w"
+    column = F.ascii(state["ep"]) - F.lit(ord("a"))
+    row = F.when(white, 24).otherwise(32)
+    pawn = F.when(white, "P").otherwise("p")
+    left = (column > 0) & (F.substr(state["board"], row + column, F.lit(1)) == pawn)
+    right = (column < 7) & (F.substr(state["board"], row + column + 2, F.lit(1)) == pawn)
+    ep = F.when((state["ep"] != "-") & (left | right), state["ep"]).otherwise("-")
+    castling = F.when(state["castling"] == "", "-").otherwise(state["castling"])
+    return F.concat_ws(
+        " ", placement, state["turn"], castling, ep, state["half"].cast("string"), state["full"].cast("string")
+    )
