@@ -1,14 +1,14 @@
 """Engine evaluations joined to plies.
 
-``engine_lines`` holds candidate lines per position; :func:`position_rows` turns them
-into one engine row per ply, :func:`enrich` attaches those rows to the plies.
+The lines table holds candidate lines per position; :func:`positions` reduces it to one
+row each, :func:`enrich` and :func:`merge_scored` join those rows to the plies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions import moves as M
@@ -16,94 +16,90 @@ from turnwise.functions import moves as M
 KEYS = ("game_id", "ply_number")
 
 
-def position_rows(
-    plies: DataFrame,
-    lines: DataFrame,
-    *,
-    keys: Sequence[str] = KEYS,
-    played: str = "uci",
-    color: str = "player_color",
-) -> DataFrame:
-    """One engine row per position that has candidate lines.
+#: Candidate lines per position that take part in the rank of the played move.
+TOP_LINES = 5
 
-    Only keys, colour and played move of the plies meet the lines, and the aggregate
-    groups on the join keys, so both sides shuffle once. The ply number is part of the
-    key: a long game spreads over tasks.
+
+def positions(lines: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per position: its best lines at the final depth, and the score after the move.
+
+    The buffer of a position has a fixed size and combines before the shuffle, so several
+    lines per position leave a task as one row.
     """
     keys = list(keys)
     if "san" not in lines.columns:
         lines = lines.withColumn("san", F.lit(None).cast("string"))
     if "mate_sign" not in lines.columns:
         lines = lines.withColumn("mate_sign", F.signum("mate").cast("int"))
-    slim = plies.select(*keys, F.col(color).alias("__color"), F.col(played).alias("__played"))
     score = F.struct("cp", "mate", "mate_sign")
     before = F.col("side") == "before"
 
-    def ranked(rank: int):
-        """Line of a rank at the greatest depth."""
-        at_rank = F.when(before & (F.col("pv_rank") == rank), F.col("depth"))
-        return F.max_by(F.struct("uci", "san", score.alias("score")), at_rank).alias(f"__line{rank}")
-
-    grouped = (
-        slim.join(lines, keys)
-        .groupBy(*keys)
-        .agg(
-            F.first("__color").alias("__color"),
-            F.max(F.when(before, F.col("depth"))).alias("__depth"),
-            ranked(1),
-            ranked(2),
-            F.max_by(score, F.when(F.col("side") == "after", F.col("depth"))).alias("__after"),
-            F.max(F.when(before & (F.col("depth") == 1) & (F.col("pv_rank") == 1), F.col("uci"))).alias(
-                "engine_best_move_depth1"
-            ),
-            # deepest, then best-ranked line that plays the move
-            F.max(
-                F.when(
-                    before & (F.col("uci") == F.col("__played")),
-                    F.struct(F.col("depth").alias("depth"), (-F.col("pv_rank")).alias("neg_rank")),
-                )
-            ).alias("__hit"),
-        )
-    )
-    best, second, after = F.col("__line1.score"), F.col("__line2.score"), F.col("__after")
-    rank = F.when(F.col("__hit.depth") == F.col("__depth"), -F.col("__hit.neg_rank"))
-    return grouped.select(
-        *keys,
-        F.col("__line1.uci").alias("engine_best_move_uci"),
-        F.col("__line1.san").alias("engine_best_move_san"),
-        "engine_best_move_depth1",
-        rank.cast("int").alias("played_move_rank_top5"),
-        F.coalesce((rank == 1).cast("int"), F.lit(0)).alias("is_engine_top1"),
-        F.coalesce((rank <= 3).cast("int"), F.lit(0)).alias("is_engine_top3"),
-        M.centipawn_loss(best["cp"], after["cp"], "__color").cast("int").alias("centipawn_loss"),
-        F.abs(best["cp"] - second["cp"]).cast("int").alias("best_vs_second_cp_gap"),
-        best.alias("engine_score_before"),
-        after.alias("engine_score_after"),
+    def at_rank(k: int):
+        return F.when(before & (F.col("pv_rank") == k), F.col("depth"))
+
+    held = {1: ["uci", "san", score.alias("score")], 2: ["uci", score.alias("score")]}
+    return lines.groupBy(*keys).agg(
+        F.max(F.when(before, F.col("depth"))).alias("final_depth"),
+        *[
+            F.max_by(F.struct(F.col("depth").alias("depth"), *held.get(k, ["uci"])), at_rank(k)).alias(f"line{k}")
+            for k in range(1, TOP_LINES + 1)
+        ],
+        F.max_by(score, F.when(F.col("side") == "after", F.col("depth"))).alias("after"),
+        F.max(F.when(at_rank(1) == 1, F.col("uci"))).alias("depth1_uci"),
     )
 
 
-def enrich(plies: DataFrame, engine_rows: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Plies with engine columns; plies without an engine row count as missing.
+def _engine_columns(played: str, color: str) -> dict[str, Column]:
+    """Engine columns of a ply beside its position row."""
+    best, second, after = F.col("line1.score"), F.col("line2.score"), F.col("after")
+    rank = F.coalesce(*[
+        F.when((F.col(f"line{k}.uci") == F.col(played)) & (F.col(f"line{k}.depth") == F.col("final_depth")), k)
+        for k in range(1, TOP_LINES + 1)
+    ])
+    analysed = F.col("final_depth").isNotNull()
+    return {
+        "engine_best_move_uci": F.col("line1.uci"),
+        "engine_best_move_san": F.col("line1.san"),
+        "engine_best_move_depth1": F.col("depth1_uci"),
+        "played_move_rank_top5": rank,
+        "is_engine_top1": F.when(analysed, F.coalesce((rank == 1).cast("int"), F.lit(0))),
+        "is_engine_top3": F.when(analysed, F.coalesce((rank <= 3).cast("int"), F.lit(0))),
+        "centipawn_loss": M.centipawn_loss(best["cp"], after["cp"], color).cast("int"),
+        "best_vs_second_cp_gap": F.abs(best["cp"] - second["cp"]).cast("int"),
+        "engine_score_before": best,
+        "engine_score_after": after,
+    }
+
+
+def join_positions(
+    plies: DataFrame,
+    position_table: DataFrame,
+    how: str,
+    *,
+    keys: Sequence[str] = KEYS,
+    played: str = "uci",
+    color: str = "player_color",
+) -> DataFrame:
+    """Plies beside their engine columns, which replace ply columns of the same name.
 
-    Where both sides have a column, the engine side replaces it.
+    The ply number is part of the join key: a long game spreads over tasks.
     """
     keys = list(keys)
-    own = [c for c in plies.columns if c in keys or c not in engine_rows.columns]
-    joined = plies.select(*own).join(
-        engine_rows.withColumn("__has_row", F.lit(True)), keys, "left"
-    )
+    engine = _engine_columns(played, color)
+    kept = [c for c in plies.columns if c not in engine]
+    joined = plies.select(*kept).join(position_table, keys, how)
+    return joined.select(*kept, *[c.alias(n) for n, c in engine.items()], F.col("final_depth").isNotNull().alias("__has_row"))
+
+
+def enrich(plies: DataFrame, lines: DataFrame, *, keys: Sequence[str] = KEYS, played: str = "uci") -> DataFrame:
+    """Plies with engine columns; plies without candidate lines count as missing."""
+    joined = join_positions(plies, positions(lines, keys=keys), "left", keys=keys, played=played)
     before, after = F.col("engine_score_before"), F.col("engine_score_after")
-    has_row = F.col("__has_row").isNotNull()
-    # a struct of NULLs stands for a missing score
-    has_before = before["cp"].isNotNull() | before["mate"].isNotNull()
-    has_after = after["cp"].isNotNull() | after["mate"].isNotNull()
     mate = before["mate"].isNotNull() | after["mate"].isNotNull()
-    missing = ~has_row | ~(
-        F.coalesce(has_before, F.lit(False)) | F.coalesce(has_after, F.lit(False)) | F.col("centipawn_loss").isNotNull()
-    )
+    has_score = mate | before["cp"].isNotNull() | after["cp"].isNotNull()
     return (
-        joined.withColumn("is_forced_mate", F.when(has_row, F.coalesce(mate, F.lit(False)).cast("int")))
-        .withColumn("is_engine_eval_missing", missing.cast("int"))
+        joined.withColumn("is_forced_mate", F.when(F.col("__has_row"), mate.cast("int")))
+        .withColumn("is_engine_eval_missing", (~(F.col("__has_row") & has_score)).cast("int"))
         .withColumn(
             "move_quality",
             M.move_quality(
@@ -117,11 +113,9 @@ def enrich(plies: DataFrame, engine_rows: DataFrame, *, keys: Sequence[str] = KE
     )
 
 
-def merge_scored(plies: DataFrame, engine_rows: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Plies that have an engine row, with its columns; the engine side replaces equal names."""
-    keys = list(keys)
-    own = [c for c in plies.columns if c in keys or c not in engine_rows.columns]
-    return plies.select(*own).join(engine_rows, keys)
+def merge_scored(plies: DataFrame, lines: DataFrame, *, keys: Sequence[str] = KEYS, played: str = "uci") -> DataFrame:
+    """Only the plies that have candidate lines, with their engine columns."""
+    return join_positions(plies, positions(lines, keys=keys), "inner", keys=keys, played=played).drop("__has_row")
 
 
 def with_score_text(df: DataFrame) -> DataFrame:

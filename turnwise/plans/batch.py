@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.operators import audit
-from turnwise.operators.enrich import enrich, position_rows, with_score_text
+from turnwise.operators.enrich import enrich, with_score_text
 from turnwise.operators.profile import profile
 from turnwise.schemas import CATEGORIES, ENGINE_LINES, MOVE_COLUMNS, PROFILE_COLUMNS
 from turnwise.session import materialise
@@ -65,8 +65,7 @@ def run(
         lines = plies.limit(0).select(
             *key, *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
         )
-    rows = position_rows(plies, lines, keys=key)
-    moves = materialise(with_score_text(enrich(plies, rows, keys=key)).select("game_index", *MOVE_COLUMNS), "moves")
+    moves = materialise(with_score_text(enrich(plies, lines, keys=key)).select("game_index", *MOVE_COLUMNS), "moves")
     profiles = profile(moves, rounded=True).select(*PROFILE_COLUMNS)
     bad = G.rejects(parsed, ["source_file", "source_category", "game_index"])
 

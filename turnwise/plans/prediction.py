@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from turnwise.learn import models
 from turnwise.operators import report
-from turnwise.operators.enrich import merge_scored, position_rows
+from turnwise.operators.enrich import merge_scored
 from turnwise.operators.features import engine_features
 from turnwise.schemas import COMPLEXITY_FEATURES
 
@@ -29,7 +29,7 @@ def predict(
     is the greatest one of the game's lines.
     """
     key = [game, "ply_number"]
-    merged = merge_scored(plies, position_rows(plies, lines, keys=key, played=played), keys=key)
+    merged = merge_scored(plies, lines, keys=key, played=played)
     features = engine_features(
         merged, keys=(game, "player_color"), played=played, complexity=complexity_model is not None
     )

@@ -264,7 +264,7 @@ def string_fns(spark, folder):
 
 @query("math_fns", f"""
 select event_id, {sql_r6("exp(-value/100)")} as decay, {sql_r6("least(greatest(value, 10.0), 50.0)")} as clamped,
-  abs(cast(floor(value) as bigint) - 50) as off_centre, {sql_r6("value / nullif(user_id, 0)")} as per_user,
+  abs(cast(floor(value) as bigint) - 50) as off_centre, {sql_r6("value / nullif(user_id % 3, 0)")} as per_user,
   coalesce(nullif(event_type, 'error'), 'none') as kind
 from events""")
 def math_fns(spark, folder):
@@ -272,7 +272,7 @@ def math_fns(spark, folder):
     return table(spark, folder, "events").select(
         "event_id", r6(F.exp(-v / 100)).alias("decay"),
         r6(F.least(F.greatest(v, F.lit(10.0)), F.lit(50.0))).alias("clamped"),
-        F.abs(F.floor(v) - 50).alias("off_centre"), r6(F.try_divide(v, F.col("user_id"))).alias("per_user"),
+        F.abs(F.floor(v) - 50).alias("off_centre"), r6(F.try_divide(v, F.col("user_id") % 3)).alias("per_user"),
         F.coalesce(F.nullif("event_type", F.lit("error")), F.lit("none")).alias("kind"),
     )
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.operators.enrich import enrich, position_rows
+from turnwise.operators.enrich import enrich, merge_scored
 from turnwise.session import tune
 from turnwise.sources import adapters
 
@@ -58,13 +58,15 @@ def plies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def engine_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Plies that have candidate lines, with their engine columns."""
     p = plies(spark, folder)
-    return position_rows(p, adapters.engine_lines(p), keys=KEYS, played="move_player")
+    return merge_scored(p, adapters.engine_lines(p), keys=KEYS, played="move_player")
 
 
 def enriched(spark: SparkSession, folder: str) -> DataFrame:
     """Plies with engine columns, named as the profile wants them."""
-    return enrich(plies(spark, folder), engine_rows(spark, folder), keys=KEYS).withColumns({
+    p = plies(spark, folder)
+    return enrich(p, adapters.engine_lines(p), keys=KEYS, played="move_player").withColumns({
         "player_name": F.col("player_id"), "opponent_name": F.col("opponent_id"),
     })
 
