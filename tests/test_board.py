@@ -1,0 +1,44 @@
+"""UCI replay against positions worked out by hand."""
+
+from pyspark.sql import functions as F
+
+from turnwise.functions import board as B
+
+
+def _fens(spark, moves, fen=None):
+    df = spark.createDataFrame([(moves.split(), fen)], "moves array<string>, fen string")
+    states = B.replay("moves", F.col("fen") if fen else None)
+    return [r[0] for r in df.select(F.posexplode(states).alias("i", "s")).orderBy("i").select(B.to_fen(F.col("s"))).collect()]
+
+
+def test_first_positions(spark):
+    assert _fens(spark, "e2e4 e7e5 g1f3")[:3] == [
+        "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1",
+        "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq - 0 1",
+        "rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR w KQkq - 0 2",
+    ]
+
+
+def test_castling_both_sides(spark):
+    got = _fens(spark, "e2e4 e7e5 g1f3 b8c6 f1b5 d7d6 e1g1 c8d7 f1e1 d8e7 a2a3 e8c8")
+    assert got[7] == "r1bqkbnr/ppp2ppp/2np4/1B2p3/4P3/5N2/PPPP1PPP/RNBQ1RK1 b kq - 1 4"
+    assert got[12] == "2kr1bnr/pppbqppp/2np4/1B2p3/4P3/P4N2/1PPP1PPP/RNBQR1K1 w - - 1 7"
+
+
+def test_en_passant(spark):
+    got = _fens(spark, "e2e4 a7a6 e4e5 d7d5 e5d6 c7d6")
+    assert got[4] == "rnbqkbnr/1pp1pppp/p7/3pP3/8/8/PPPP1PPP/RNBQKBNR w KQkq d6 0 3"
+    assert got[5] == "rnbqkbnr/1pp1pppp/p2P4/8/8/8/PPPP1PPP/RNBQKBNR b KQkq - 0 3"
+    assert got[6] == "rnbqkbnr/1p2pppp/p2p4/8/8/8/PPPP1PPP/RNBQKBNR w KQkq - 0 4"
+
+
+def test_promotion_takes_rook_and_castling_right(spark):
+    got = _fens(spark, "b7a8q e8d8", "r3k3/1P6/8/8/8/8/8/4K2R w Kq - 4 20")
+    assert got == [
+        "r3k3/1P6/8/8/8/8/8/4K2R w Kq - 4 20", "Q3k3/8/8/8/8/8/8/4K2R b K - 0 20", "Q2k4/8/8/8/8/8/8/4K2R w K - 1 21"
+    ]
+
+
+def test_king_walk_is_not_castling(spark):
+    got = _fens(spark, "e1d1 a7a6 d1c1", "4k3/p7/8/8/8/8/8/4K3 w - - 0 1")
+    assert got[-1] == "4k3/8/p7/8/8/8/8/2K5 b - - 1 2"

@@ -50,13 +50,18 @@ def scan_records(spark: SparkSession, path: str, *, glob: str = "*.[pP][gG][nN]"
 
 
 def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
-    """Add headers, main line, moves and reject reason; row-local."""
-    return (
-        records.withColumn("headers", G.headers(column))
-        .withColumn("mainline", G.mainline(column))
-        .withColumn("moves", G.moves("mainline"))
-        .withColumn("reject_reason", G.reject_reason(column, "mainline", "moves"))
+    """Add headers, main line, moves and reject reason; row-local.
+
+    The results pass through a generator of one row. Without it the optimizer would push
+    a filter on the reject reason below the parsing and repeat the clean-up inside it.
+    """
+    lines = records.withColumn("__line", G.mainline(column)).withColumn("__moves", G.moves("__line"))
+    parsed = F.struct(
+        F.col("__line").alias("mainline"),
+        F.col("__moves").alias("moves"),
+        G.reject_reason(column, "__line", "__moves").alias("reject_reason"),
     )
+    return lines.select(*records.columns, F.inline(F.array(parsed))).withColumn("headers", G.headers(column))
 
 
 def good_games(parsed: DataFrame) -> DataFrame:
@@ -136,7 +141,7 @@ def scan_categories(spark: SparkSession, root: str, categories: Sequence[str] =
     Adds source_category and source_file, the path relative to ``root``.
     """
     folders = ",".join(categories)
-    records = scan_records(spark, f"{root}/{{{folders}}}/*", hot_rows=hot_rows)
+    records = scan_records(spark, f"{root}/{{{folders}}}/*.[pP][gG][nN]", hot_rows=hot_rows)
     relative = F.regexp_extract("file", r"([^/]+/[^/]+)$", 1)
     decoded = F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B")))
     return records.withColumn("source_file", decoded).withColumn(
