@@ -129,3 +129,22 @@ def test_exploration_report(spark):
     sizes = {name: df.count() for name, df in out.items()}
     assert sizes["correlations"] == 49 and sizes["ranks"] == 6 and sizes["boxplot_game_phase"] == 3
     assert out["duplicate_moves"].first()[0] == 0 and out["duplicate_profiles"].first()[0] == 0
+
+
+def test_bucketed_tables_enrich_without_a_shuffle(spark, tmp_path):
+    from turnwise.operators.enrich import enrich
+
+    keys = ["physical_game_id", "ply_number"]
+    plies = adapters.plies(spark, FOLDER)
+    for name, df in (("bucketed_plies", plies), ("bucketed_lines", adapters.engine_lines(plies))):
+        sinks.save_bucketed(df, name, keys, 4, str(tmp_path / name))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = enrich(spark.table("bucketed_plies"), spark.table("bucketed_lines"), keys=keys, played="move_player")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert out.count() == 6000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table bucketed_plies")
+        spark.sql("drop table bucketed_lines")

@@ -18,7 +18,7 @@ def test_hot_keys_number_like_a_plain_window(spark):
     rows = _rows()
     df = spark.createDataFrame(rows, "k int, day int, id int")
     for hot_rows in (10, 500, 10**6):
-        out = number_rows(df, ["k"], ["day", "id"], "n", hot_rows=hot_rows)
+        out = number_rows(df, ["k"], ["day", "id"], "n", spread="day", hot_rows=hot_rows)
         got = {r.id: r.n for r in out.collect()}
         seen, want = {}, {}
         for k, day, i in sorted(rows):
@@ -30,7 +30,7 @@ def test_hot_keys_number_like_a_plain_window(spark):
 def test_hot_key_is_cut_into_bounded_pieces(spark):
     """No window partition of the split key holds more than one day of it."""
     df = spark.createDataFrame(_rows(), "k int, day int, id int")
-    plan = number_rows(df, ["k"], ["day", "id"], "n", hot_rows=10)._jdf.queryExecution().executedPlan().toString()
+    plan = number_rows(df, ["k"], ["day", "id"], "n", spread="day", hot_rows=10)._jdf.queryExecution().executedPlan().toString()
     assert "row_number() windowspecdefinition(k" in plan and "__bucket" in plan
 
 

@@ -165,17 +165,19 @@ def color_plies(df: DataFrame, color: str, column: str = "player_color") -> Data
 def side_by_side(profiles: DataFrame, features: Sequence[str], *, game: str = "game_id",
                  color: str = "player_color") -> DataFrame:
     """One row per game and feature with both players' values."""
-    features = list(features)
-    long = profiles.select(
-        game, color,
-        F.inline(F.array(*[
-            F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features
-        ])),
-    )
-    return long.groupBy(game, "feature").agg(
-        F.max(F.when(F.lower(color) == "white", F.col("value"))).alias("white"),
-        F.max(F.when(F.lower(color) == "black", F.col("value"))).alias("black"),
-    )
+    return _by_side(profiles, {f: F.col(f).cast("double") for f in features}, "feature", game, color)
+
+
+def _by_side(df: DataFrame, measures: dict[str, Column], name: str, game: str, color: str) -> DataFrame:
+    """White and black value of each measure per game; rows multiply only after the shuffle."""
+    side = F.lower(color)
+    wide = df.groupBy(game).agg(*[
+        F.struct(*[F.max(F.when(side == s, value)).alias(s) for s in ("white", "black")]).alias(label)
+        for label, value in measures.items()
+    ])
+    cells = [F.struct(F.lit(m).alias(name), wide[f"`{m}`"]["white"].alias("white"), wide[f"`{m}`"]["black"].alias("black"))
+             for m in measures]
+    return wide.select(game, F.inline(F.array(*cells)))
 
 
 # Labels of the quality breakdown and the feature behind each.
@@ -190,12 +192,10 @@ BREAKDOWN = {
 
 def quality_breakdown(features: DataFrame, *, game: str = "game_id", color: str = "player_color") -> DataFrame:
     """Percent per quality category and side, missing as 0.0, rounded to one decimal."""
-    percent = [
-        F.struct(F.lit(label).alias("category"), F.round(F.coalesce(F.col(c), F.lit(0.0)) * 100, 1).alias("pct"))
-        for label, c in BREAKDOWN.items()
-    ]
-    long = features.select(game, color, F.inline(F.array(*percent)))
-    return long.groupBy(game, "category").agg(
-        F.coalesce(F.max(F.when(F.lower(color) == "white", F.col("pct"))), F.lit(0.0)).alias("white_pct"),
-        F.coalesce(F.max(F.when(F.lower(color) == "black", F.col("pct"))), F.lit(0.0)).alias("black_pct"),
+    percent = {
+        label: F.round(F.coalesce(F.col(c), F.lit(0.0)) * 100, 1) for label, c in BREAKDOWN.items()
+    }
+    zero = F.lit(0.0)
+    return _by_side(features, percent, "category", game, color).select(
+        game, "category", F.coalesce("white", zero).alias("white_pct"), F.coalesce("black", zero).alias("black_pct")
     )

@@ -61,9 +61,9 @@ def fold_summary(groups: DataFrame, group: str) -> DataFrame:
 
 def leakage(rows: DataFrame, group: str, fold: str = "fold") -> DataFrame:
     """Groups per fold that also have rows in other folds; 0 throughout means no leak."""
-    pairs = rows.select(group, fold).distinct()
-    spread = pairs.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    return pairs.join(spread, group).groupBy(fold).agg(
+    # a set per group holds at most one entry per fold
+    spread = rows.groupBy(group).agg(F.collect_set(fold).alias("__folds"))
+    return spread.select(F.size("__folds").alias("__n"), F.explode("__folds").alias(fold)).groupBy(fold).agg(
         F.count(F.lit(1)).alias("val_groups"), F.count_if(F.col("__n") > 1).alias("overlap_groups")
     )
 

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnwise.functions.numeric import as_column
+
 _BUCKET = "__bucket"
 _HOT = "__hot"
 _OFFSET = "__offset"
@@ -28,19 +30,18 @@ def number_rows(
     order_by: Sequence[str],
     name: str,
     *,
-    spread: str | None = None,
+    spread: Column | str,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Number rows from 1 within ``keys`` in the order of ``order_by``.
 
-    ``spread`` names the column that cuts a hot key into ordered pieces; it must be
-    the first of ``order_by``, which is the default. The order should be total, as
+    ``spread`` cuts a hot key into pieces. It must never decrease along the order, such
+    as a date or a coarse form of the leading order column: each piece is numbered by
+    one task, and the piece totals of a key meet in one. The order should be total, as
     for any ``row_number``.
     """
     keys, order_by = list(keys), list(order_by)
-    spread = spread or order_by[0]
-    if spread != order_by[0]:
-        raise ValueError("spread must be the leading order column")
+    spread = as_column(spread)
 
     hot = (
         df.groupBy(*keys)
@@ -50,7 +51,7 @@ def number_rows(
     )
     # size bound: see HOT_ROWS
     marked = df.join(F.broadcast(hot), keys, "left").withColumn(
-        _BUCKET, F.when(F.col(_HOT), F.col(spread))
+        _BUCKET, F.when(F.col(_HOT), spread)
     )
     offsets = _earlier_totals(
         marked.filter(F.col(_HOT)).groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias(_OFFSET)),

@@ -46,7 +46,8 @@ def run(
     not evaluated. Parsed games and enriched moves are written once each, since several
     outputs read them.
     """
-    parsed = materialise(G.parse_records(G.scan_categories(spark, root, categories)), "games")
+    records = G.parse_records(G.scan_categories(spark, root, categories))
+    parsed = materialise(records.drop("file", "record", "mainline"), "games")
     good = G.good_games(parsed)
     if max_games_per_file:
         good = G.first_n_per_file(good, max_games_per_file)

@@ -75,7 +75,7 @@ def global_game_id(spark, folder):
         "o_orderkey", "o_orderdate", F.col("o_orderpriority").alias("source_category"),
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source_file"),
     )
-    numbered = games.with_game_ids(orders, PRIORITIES, order=["o_orderdate", "o_orderkey"])
+    numbered = games.with_game_ids(orders, PRIORITIES, order=["o_orderdate", "o_orderkey"], spread="o_orderdate")
     return numbered.select("o_orderkey", "game_id")
 
 
@@ -86,7 +86,8 @@ def top_n_per_group(spark, folder):
     """First three orders of each customer, numbered."""
     orders = table(spark, folder, "orders").withColumn("at", F.struct("o_orderdate", "o_orderkey"))
     few = games.first_n_per_file(orders, 3, file="o_custkey", order="at")
-    return number_rows(few, ["o_custkey"], ["o_orderdate", "o_orderkey"], "place").select("o_custkey", "o_orderkey", "place")
+    numbered = number_rows(few, ["o_custkey"], ["o_orderdate", "o_orderkey"], "place", spread="o_orderdate")
+    return numbered.select("o_custkey", "o_orderkey", "place")
 
 
 def _games(spark, folder):
@@ -145,7 +146,9 @@ select conv_id, role, count(*) as turns, min(turn) as first_turn, max(turn) as l
 from conversations group by 1, 2""")
 def dialogue_turns(spark, folder):
     """The same sequence profile on another schema: turns as plies, roles as colours."""
-    turns = number_rows(table(spark, folder, "conversations"), ["conv_id"], ["turn"], "ply_number")
+    turns = number_rows(
+        table(spark, folder, "conversations"), ["conv_id"], ["turn"], "ply_number", spread=F.floor(F.col("turn") / 1000)
+    )
     return turns.groupBy("conv_id", "role").agg(
         F.count(F.lit(1)).alias("turns"), F.min(F.col("ply_number") - 1).alias("first_turn"),
         F.max(F.col("ply_number") - 1).alias("last_turn"), F.sum(F.length("text")).cast("bigint").alias("chars"),

@@ -15,6 +15,9 @@ from turnwise.schemas import CATEGORIES
 #: Records start at the Event tag; the separator eats this prefix of all but the first.
 _EVENT = "[Event "
 
+#: Games per piece when the game numbers of a hot file are counted.
+INDEX_RUN = 100_000
+
 HEADER_TAGS = {
     "event": "Event", "site": "Site", "date": "Date", "round": "Round", "white_player": "White",
     "black_player": "Black", "white_elo": "WhiteElo", "black_elo": "BlackElo", "result": "Result",
@@ -44,7 +47,8 @@ def scan_records(spark: SparkSession, path: str, *, glob: str = "*.[pP][gG][nN]"
     # what follows an eaten prefix is the quoted event name
     record = F.when(text.rlike(r'^\s*"'), F.concat(F.lit(_EVENT), text)).otherwise(text)
     numbered = number_rows(
-        raw.filter(F.col("value").rlike(r"\S")), ["file"], ["__block", "__at"], "game_index", hot_rows=hot_rows
+        raw.filter(F.col("value").rlike(r"\S")), ["file"], ["__block", "__at"], "game_index",
+        spread="__block", hot_rows=hot_rows,
     )
     return numbered.select("file", F.col("game_index").cast("int").alias("game_index"), record.alias("record"))
 
@@ -151,13 +155,17 @@ def scan_categories(spark: SparkSession, root: str, categories: Sequence[str] =
 
 def with_game_ids(games: DataFrame, categories: Sequence[str] = CATEGORIES, *,
                   category: str = "source_category", file: str = "source_file",
-                  order: Sequence[str] = ("game_index",), hot_rows: int = HOT_ROWS) -> DataFrame:
+                  order: Sequence[str] = ("game_index",), spread: Column | str | None = None,
+                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Number games from 1 over (category order, file name, order within the file).
 
     Games are numbered inside their file; files get the running total of the games in
     earlier files. Both steps split hot keys, and the second one sees one row per file.
+    A hot file is cut by ``spread``, by default into runs of game indexes.
     """
-    inside = number_rows(games, [category, file], list(order), "__inside", hot_rows=hot_rows)
+    if spread is None:
+        spread = F.floor(F.col(order[0]) / INDEX_RUN)
+    inside = number_rows(games, [category, file], list(order), "__inside", spread=spread, hot_rows=hot_rows)
     return add_file_offsets(inside, categories, category=category, file=file)
 
 

@@ -23,3 +23,16 @@ def engine_output_path(base: str) -> str:
     if not dot or "/" in suffix:
         return f"{base}_engine_analysis"
     return f"{stem}_engine_analysis.{suffix}"
+
+
+def save_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, path: str | None = None) -> None:
+    """Save as a catalog table bucketed and sorted by ``keys``.
+
+    Plies and engine lines saved with the same keys and bucket count join, and aggregate
+    per position, without a shuffle. Rows are placed by bucket first, so that each bucket
+    is one file.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
