@@ -112,6 +112,12 @@ def test_repeated_and_escaped_headers(spark):
     assert row.headers == {"White": 'x "y" \\z', "Event": "b"}
 
 
+def test_long_values_and_variations_do_not_overflow_the_matcher(spark):
+    value, aside = "w" * 200_000 + '\\"' * 20_000, "(d5 (d6) )" + " Nf6 (c5)" * 20_000
+    rows = _plies(spark, f'[Event "{value}"]\n\n1. e4 ({aside}) {{{"x" * 200_000}}} e5 *\n', "[" + "a " * 100_000)
+    assert [r.san for r in rows] == ["e4", "e5"] and len(rows[0].event) == 220_000
+
+
 def test_known_value(values):
     rows = [("?",), ("??",), ("????.??.??",), ("-",), ("",), ("?-?",), ("2024.??.??",), ("a?",), (None,), (".",)]
     assert values(rows, "v string", G.known_value("v")) == [

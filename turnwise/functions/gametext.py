@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from turnwise.functions.numeric import as_column
 
 # Patterns of the game-record grammar.
-HEADER = r'(?m)^[ \t]*\[[ \t]*([A-Za-z0-9_]+)[ \t]+"((?:[^"\\]|\\.)*)"[ \t]*\][ \t\r]*$'
+HEADER = r'(?m)(?=\[)^\[[ \t]*([A-Za-z0-9_]+)[ \t]+"([^"\\]*+(?:\\.[^"\\]*+)*+)"[ \t]*\][ \t\r]*$'
 SAN = (
     r"(?:O-O-O|O-O|0-0-0|0-0|[KQRBN][a-h]?[1-8]?x?[a-h][1-8]|[a-h]x[a-h][1-8](?:=?[QRBN])?"
     r"|[a-h][1-8](?:=?[QRBN])?)[+#]?[!?]*"
 )
 CLOCK = r"\{[^}]*\[%clk\s+([0-9:.]+)\][^}]*\}"
+_HEADER_LINE = r'^\[[ \t]*[A-Za-z0-9_]+[ \t]+"[^"\\]*+(?:\\.[^"\\]*+)*+"[ \t]*\][ \t\r]*$'
+# the look-ahead lets the matcher skip ordinary characters with one test each
+_NOT_MOVES = rf"(?m)(?=[{{;%\[$])(?:{CLOCK}|\{{[^}}]*\}}|;.*$|^%.*$|{_HEADER_LINE}|\$\d+)"
 RESULTS = ("1-0", "0-1", "1/2-1/2", "*")
 
 #: Variations nested deeper than this are rejected with a reason.
@@ -64,18 +67,27 @@ def known_value(value: Column | str) -> Column:
 
 
 def mainline(record: Column | str) -> Column:
-    """Main line of a record with each clock comment turned into ``<h:mm:ss>``."""
-    text = F.regexp_replace(as_column(record), r"(?m)^%.*$", " ")
-    text = F.regexp_replace(text, HEADER, " ")
-    text = F.regexp_replace(text, CLOCK, " <$1> ")
-    text = F.regexp_replace(text, r"\{[^}]*\}", " ")
-    text = F.regexp_replace(text, r"(?m);.*$", " ")
-    for _ in range(NESTING):
-        text = F.regexp_replace(text, r"\([^()]*\)", " ")
-    text = F.regexp_replace(text, r"\$\d+", " ")
-    text = F.regexp_replace(text, r"(?:^|(?<=\s))(?:1-0|0-1|1/2-1/2|\*)(?=\s|$)", " ")
-    text = F.regexp_replace(text, r"(?:^|(?<=\s))\d+\s*\.+", " ")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Main line of a record with each clock comment turned into ``<h:mm:ss>``.
+
+    Three passes: one drops comments, headers and marks from left to right and keeps
+    clocks, one drops variations with all that is nested in them, one drops move numbers,
+    results and the empty clocks the first pass leaves.
+    """
+    text = F.regexp_replace(as_column(record), _NOT_MOVES, " <$1> ")
+    text = F.regexp_replace(text, _VARIATION, " ")
+    return F.trim(F.regexp_replace(text, _NUMBERS, " "))
+
+
+def _nested(levels: int) -> str:
+    """Parentheses nested up to ``levels`` deep; possessive, so it neither recurses nor backtracks."""
+    pattern = r"\([^()]*+\)"
+    for _ in range(levels - 1):
+        pattern = rf"\([^()]*+(?:{pattern}[^()]*+)*+\)"
+    return pattern
+
+
+_VARIATION = _nested(NESTING)
+_NUMBERS = r"(?=[0-9*<])(?:(?:^|(?<=\s))(?:(?:1-0|0-1|1/2-1/2|\*)(?=\s|$)|\d+\s*\.+)|<>)"
 
 
 def moves(line: Column | str) -> Column:
@@ -99,7 +111,7 @@ def reject_reason(record: Column | str, line: Column | str, move_array: Column |
     return (
         F.when(record.isNull() | (F.trim(record) == ""), REJECT_EMPTY)
         .when(line.rlike(r"[()]"), REJECT_NESTING)
-        .when(F.trim(rest) != "", REJECT_TOKEN)
+        .when(rest.rlike(r"\S"), REJECT_TOKEN)
         .when(F.size(as_column(move_array)) == 0, REJECT_NO_MOVES)
     )
 
@@ -130,11 +142,17 @@ def check_text(text: Column | str) -> Column:
     text = as_column(text)
     blank = text.isNull() | ~text.rlike(r"\S")
     no_game = ~F.regexp_replace(text, r"(?m)^[%;].*$", "").rlike(r"\S")
-    has_move = mainline(text).rlike(rf"^(?:<[0-9:.]+>\s+)*{SAN}(?:\s|$)")
+    # any move holds a square or a castling mark; texts without one skip the clean-up
+    may_move = text.rlike("[a-h][1-8]|[O0]-[O0]")
+    has_move = may_move & mainline(text).rlike(rf"^\s*(?:<[0-9:.]+>\s+)*{SAN}(?:\s|$)")
     message = (
         F.when(blank, MSG_EMPTY)
         .when(no_game, MSG_NO_GAME)
         .when(has_move, MSG_VALID)
         .otherwise(MSG_NO_MOVES)
     )
-    return F.struct((message == MSG_VALID).alias("is_valid"), message.alias("message"))
+    # bound to a lambda variable so that both fields share one evaluation
+    both = F.transform(
+        F.array(message), lambda m: F.struct((m == MSG_VALID).alias("is_valid"), m.alias("message"))
+    )
+    return F.get(both, F.lit(0))

@@ -21,7 +21,7 @@ def assign_folds(df: DataFrame, group: str, label: str, *, folds: int = 5, seed:
         F.count(F.lit(1)).alias("rows"), F.sum(F.col(label).cast("int")).alias("positives")
     ).select("*", digest.alias("__digest"), F.lit(1).alias("__one"))
     dealt = running_totals(
-        groups, ["rows", "positives"], ["__digest", group], F.substring("__digest", 1, 3), {"__at": "__one"}
+        groups, ["rows", "positives"], ["__digest", group], F.coalesce(F.substring("__digest", 1, 3), F.lit("")), {"__at": "__one"}
     )
     fold = (F.col("__at") - 1 + F.col("rows") + F.col("positives")) % folds
     return dealt.select(group, "rows", "positives", fold.cast("int").alias("fold"))

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 200_000
 #: Sketch accuracy: a bracket holds about ``4 / ACCURACY`` of the rows.
 ACCURACY = 20_000
+#: Pieces a bracket is ranked in.
+PIECES = 1024
 
 
 def exact_quantiles(
@@ -100,7 +102,13 @@ def _order_statistics(df, targets, brackets):
         .groupBy("v.target", "v.value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = running_totals(values, ["target"], ["value"], _magnitude(F.col("value")), {"upto": "n"})
+    bucket = _magnitude(F.col("value"))
+    for n, (c, i, *_rest) in enumerate(targets):
+        low, high = brackets[c, i]
+        if low is not None and high is not None and high > low:
+            step = F.floor((F.col("value") - F.lit(float(low))) / F.lit(float(high) - float(low)) * PIECES)
+            bucket = F.when(F.col("target") == n, step).otherwise(bucket)
+    ranked = running_totals(values, ["target"], ["value"], bucket, {"upto": "n"})
     ranks = F.lit(None)
     for n, (_c, _i, lo, hi, _w) in enumerate(targets):
         start = starts[f"b{n}"]
