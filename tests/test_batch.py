@@ -24,6 +24,7 @@ def root(tmp_path_factory):
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text)
+    (root / "unlabeled" / "blank.pgn").write_text(" \n\n")
     return str(root)
 
 
@@ -35,12 +36,16 @@ def _document(path):
 def test_batch_without_engine(spark, root, tmp_path):
     result = batch.run(spark, root)
     assert result.moves.count() == 7 + 4 + 10 + 6 and result.profiles.count() == 8
-    assert [r.error for r in result.rejects.collect()] == ["no mainline moves"]
+    bad = {r.source_file: (r.error, r.game_index, r.white) for r in result.rejects.collect()}
+    assert bad == {
+        "unlabeled/a.pgn": ("no mainline moves", 2, "A"), "unlabeled/blank.pgn": (batch.NO_RECORDS, None, None),
+    }
     out = str(tmp_path / "out")
     batch.write(result, out)
     (manifest,) = _document(f"{out}/dataset_manifest")
     summary = manifest["summary"]
-    assert (summary["total_files_scanned"], summary["total_games_processed"], summary["total_moves_extracted"]) == (3, 4, 27)
+    assert (summary["total_files_scanned"], summary["total_games_processed"], summary["total_moves_extracted"]) == (4, 4, 27)
+    assert manifest["engine_info"] == {"enabled": False}
     assert summary["total_player_games"] == 8
     assert summary["categories"]["human_games"] == {"files": 1, "games": 2, "moves": 11}
     assert summary["categories"]["engine_generated_games"] == {"files": 0, "games": 0, "moves": 0}

@@ -19,6 +19,7 @@ from turnwise.sources import sinks
 #: Columns only a rules engine can add; they join from an optional position table.
 POSITION_COLUMNS = {"uci": "string", "fen_before": "string", "legal_moves_count": "int", "game_phase": "string"}
 VERSION = "2.0.0"
+NO_RECORDS = "no parseable game found"
 
 
 @dataclass(frozen=True)
@@ -61,16 +62,20 @@ def run(
     for name, kind in POSITION_COLUMNS.items():
         if name not in plies.columns:
             plies = plies.withColumn(name, F.lit(None).cast(kind))
-    if lines is None:
+    with_engine = lines is not None
+    if not with_engine:
         fields = [f for f in ENGINE_LINES.fields if f.name not in ("game_id", "ply_number")]
         lines = plies.limit(0).select(
             *key, *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
         )
     moves = materialise(with_score_text(enrich(plies, lines, keys=key)).select("game_index", *MOVE_COLUMNS), "moves")
     profiles = profile(moves, rounded=True).select(*PROFILE_COLUMNS)
-    bad = G.rejects(parsed, ["source_file", "source_category", "game_index"])
-
     seen = parsed.select("source_file", "source_category").distinct()
+    listed = G.list_categories(spark, root, categories)
+    silent = listed.join(seen, "source_file", "left_anti")
+    bad = G.rejects(parsed, ["source_file", "source_category", "game_index"]).unionByName(
+        silent.withColumn("error", F.lit(NO_RECORDS)), allowMissingColumns=True
+    )
     per_file = moves.groupBy("source_file").agg(
         F.count_distinct("game_id").alias("games_processed"), F.count(F.lit(1)).alias("moves_extracted")
     )
@@ -81,14 +86,19 @@ def run(
         F.coalesce("moves_extracted", zero).alias("moves_extracted"),
         audit.provenance("source_file").alias("provenance_audit"),
     )
-    return BatchResult(moves, profiles, bad, files, manifest(files, profiles, categories))
+    document = manifest(files, profiles, listed, categories, engine=with_engine)
+    return BatchResult(moves, profiles, bad, files, document)
 
 
-def manifest(files: DataFrame, profiles: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:
+def manifest(files: DataFrame, profiles: DataFrame, listed: DataFrame, categories: Sequence[str] = CATEGORIES, *,
+             engine: bool = False) -> DataFrame:
     """Totals per category and provenance status, in one row of nested columns.
 
     Lists of files and rejects are tables of their own: they grow with the data.
     """
+    def rows(df: DataFrame):
+        return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+
     def total(name: str, among=None):
         value = F.col(name) if among is None else F.when(among, F.col(name))
         return F.coalesce(F.sum(value), F.lit(0))
@@ -108,7 +118,6 @@ def manifest(files: DataFrame, profiles: DataFrame, categories: Sequence[str] =
     ]
     return files.agg(
         F.struct(
-            F.count(F.lit(1)).alias("total_files_scanned"),
             total("games_processed").alias("total_games_processed"),
             total("moves_extracted").alias("total_moves_extracted"),
             F.struct(*per_category).alias("categories"),
@@ -117,8 +126,9 @@ def manifest(files: DataFrame, profiles: DataFrame, categories: Sequence[str] =
     ).select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("generated_at"),
         F.lit(VERSION).alias("pipeline_version"),
-        F.col("summary").withField(
-            "total_player_games", profiles.agg(F.count(F.lit(1)).alias("n")).scalar()
+        F.struct(F.lit(engine).alias("enabled")).alias("engine_info"),
+        F.col("summary").withField("total_files_scanned", rows(listed)).withField(
+            "total_player_games", rows(profiles)
         ).alias("summary"),
         "provenance_audit_summary",
     )

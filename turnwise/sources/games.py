@@ -144,13 +144,28 @@ def scan_categories(spark: SparkSession, root: str, categories: Sequence[str] =
 
     Adds source_category and source_file, the path relative to ``root``.
     """
-    folders = ",".join(categories)
-    records = scan_records(spark, f"{root}/{{{folders}}}/*.[pP][gG][nN]", hot_rows=hot_rows)
-    relative = F.regexp_extract("file", r"([^/]+/[^/]+)$", 1)
-    decoded = F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B")))
-    return records.withColumn("source_file", decoded).withColumn(
-        "source_category", F.split_part("source_file", F.lit("/"), F.lit(1))
-    )
+    records = scan_records(spark, _category_glob(root, categories), hot_rows=hot_rows)
+    return records.select("*", *_relative("file"))
+
+
+def list_categories(spark: SparkSession, root: str, categories: Sequence[str] = CATEGORIES) -> DataFrame:
+    """Every game file below the category folders, also those without any record. Reads no content.
+
+    Spark's file sources leave out files of zero length.
+    """
+    found = spark.read.format("binaryFile").load(_category_glob(root, categories)).select("path")
+    return found.select(*_relative("path"))
+
+
+def _category_glob(root: str, categories: Sequence[str]) -> str:
+    return f"{root}/{{{','.join(categories)}}}/*.[pP][gG][nN]"
+
+
+def _relative(path: str) -> list[Column]:
+    """Columns source_file and source_category of an encoded file path."""
+    tail = F.regexp_extract(path, r"([^/]+/[^/]+)$", 1)
+    name = F.url_decode(F.replace(tail, F.lit("+"), F.lit("%2B")))
+    return [name.alias("source_file"), F.split_part(name, F.lit("/"), F.lit(1)).alias("source_category")]
 
 
 def with_game_ids(games: DataFrame, categories: Sequence[str] = CATEGORIES, *,
