@@ -22,10 +22,8 @@ def values(spark):
     from pyspark.sql import functions as F
 
     def run(rows, schema, *columns):
-        names = [f.split()[0] for f in schema.split(",")]
         data = [(i, *r) for i, r in enumerate(rows)]
         df = spark.createDataFrame(data, f"__i int, {schema}")
-        assert names
         out = df.select("__i", *[c.alias(f"c{n}") for n, c in enumerate(columns)]).orderBy(F.col("__i")).collect()
         return [tuple(r)[1:] if len(columns) > 1 else r[1] for r in out]
 
