@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import decontamination, packing, quality_rules, sharding
+from turnwise.llm import decontamination, near_dedup, packing, quality_model, quality_rules, sharding
 from turnwise.llm import sql as S
 from turnwise.llm.common import documents
 from turnwise.session import tune
@@ -46,3 +46,13 @@ def op7(spark, folder):
 @query("op8_sharding")
 def op8(spark, folder):
     return sharding.shard_documents(documents(spark, folder))
+
+
+@query("op5_near_dedup")
+def op5(spark, folder):
+    return near_dedup.near_duplicates(documents(spark, folder))
+
+
+@query("op6_quality_classifier")
+def op6(spark, folder):
+    return quality_model.predictions(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
