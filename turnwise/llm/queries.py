@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import decontamination, near_dedup, packing, quality_model, quality_rules, sharding
+from turnwise.llm import decontamination, near_dedup, packing, quality_model, quality_rules, sharding, toxicity
 from turnwise.llm import sql as S
 from turnwise.llm.common import documents
 from turnwise.session import tune
@@ -56,3 +56,8 @@ def op5(spark, folder):
 @query("op6_quality_classifier")
 def op6(spark, folder):
     return quality_model.predictions(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query("op9_toxicity")
+def op9(spark, folder):
+    return toxicity.predictions(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
