@@ -7,7 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import decontamination, near_dedup, packing, quality_model, quality_rules, sharding, toxicity
+from turnwise.llm import (
+    decontamination,
+    language_id,
+    lm_scoring,
+    near_dedup,
+    packing,
+    quality_model,
+    quality_rules,
+    sharding,
+    toxicity,
+)
 from turnwise.llm import sql as S
 from turnwise.llm.common import documents
 from turnwise.session import tune
@@ -61,3 +71,13 @@ def op6(spark, folder):
 @query("op9_toxicity")
 def op9(spark, folder):
     return toxicity.predictions(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query("op3_language_id")
+def op3(spark, folder):
+    return language_id.predictions(documents(spark, folder))
+
+
+@query("op4_lm_scoring")
+def op4(spark, folder):
+    return lm_scoring.score_documents(documents(spark, folder))
