@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnwise.llm import (
     decontamination,
+    html_text,
     language_id,
     lm_scoring,
     near_dedup,
@@ -81,3 +82,8 @@ def op3(spark, folder):
 @query("op4_lm_scoring")
 def op4(spark, folder):
     return lm_scoring.score_documents(documents(spark, folder))
+
+
+@query("op10_html_extraction")
+def op10(spark, folder):
+    return html_text.main_texts(spark.read.parquet(f"{folder}/pages.parquet"))
