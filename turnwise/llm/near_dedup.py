@@ -9,10 +9,11 @@ texts agree in a register with the probability of their weighted Jaccard similar
 w costs only the few cells up to w. Points are drawn up to a time that fills all registers.
 
 Equal texts collapse to one node first. Nodes that agree in a band share a bucket. All members of a
-bucket are compared with its smallest node. Weighted Jaccard distance is a metric, so a member that
-is too far from that node can only be near members whose distance to it differs by no more than the
-threshold; those pairs are compared too. So no two near texts of a bucket stay unlinked, and a group
-of near copies costs one comparison each. Links are merged to classes by alternating star rounds.
+bucket are compared with its head, the member that meets the most others. Where a bucket then still
+holds several components, its members outside the head's component look for texts of other
+components among those that share one of their rarest shingles: two texts with so large an overlap
+must share one (prefix filter). So no two near texts of a bucket stay in different classes, and a
+group of near copies costs one comparison each. Links merge to classes by alternating star rounds.
 
 Texts without words are near only to equal texts; null texts form a class each. Repeated rows and
 equal texts share a class. The class id is the smallest doc_id of the class. Empty tables give empty
@@ -33,6 +34,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
 #: Slack for rounding in comparisons of distances.
 EPS = 1e-9
+#: Cells that count how common elements are; they steer an order, not a result.
+CELLS = 1 << 20
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -194,45 +197,108 @@ def compared(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def prefixes(nodes: DataFrame, sources: DataFrame, threshold: float) -> DataFrame:
+    """The rarest elements of each node's text that a near text must share one of, with their places.
+
+    A shingle's k-th occurrence is an element of its own, so the multiset overlap is a set overlap. All
+    texts sort their elements alike: by how often they occur, then by hash. Occurrences are counted in a
+    table of fixed size, which bounds what is sent; elements that share a cell only sort less sharply.
+    """
+    spark = sources.sparkSession
+    texts = materialise(nodes.join(sources, "node"), "prefix-texts")
+
+    def tally(batches):
+        seen = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(seen, elements(text) % _U(CELLS), 1)
+        cell = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(seen[cell])], ["cell", "n"])
+
+    counted = texts.select(F.col("text").cast("binary")).mapInArrow(tally, "cell long, n long")
+    common = np.zeros(CELLS, np.uint32)
+    for r in counted.groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        common[r["cell"]] = min(r["n"], (1 << 32) - 1)
+    sent = spark.sparkContext.broadcast(common)
+
+    def run(batches):
+        order = sent.value
+        for batch in batches:
+            keys, owners, places, sizes = [], [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                own = elements(text)
+                own = own[np.lexsort((own, order[own % _U(CELLS)]))]
+                cut = len(own) - int(np.ceil(threshold * len(own) - EPS)) + 1
+                keys.append(own[:cut].view(np.int64))
+                owners.append(np.full(min(cut, len(own)), k))
+                places.append(np.arange(1, len(own[:cut]) + 1))
+                sizes.append(np.full(min(cut, len(own)), len(own)))
+            at = pa.array(np.concatenate(owners) if owners else np.empty(0, np.int64), pa.int64())
+            cat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [cat(keys), cat(places), cat(sizes), *[batch.column(c).take(at) for c in ("node", "root", "odd")]],
+                ["element", "place", "size", "node", "root", "odd"],
+            )
+
+    return texts.select("node", "root", "odd", F.col("text").cast("binary").alias("text")).mapInArrow(
+        run, "element long, place long, size long, node binary, root binary, odd boolean"
+    )
+
+
+def elements(text: bytes) -> np.ndarray:
+    """A hash for every shingle occurrence; the k-th occurrences of a shingle in two texts are equal."""
+    own, counts = shingles(text)
+    first = np.repeat(own, counts)
+    nth = np.arange(len(first)) - np.repeat(counts.cumsum() - counts, counts)
+    return mix(first + nth.astype(np.uint64) * _GOLD)
+
+
+def near(pairs: DataFrame, sources: DataFrame, threshold: float) -> DataFrame:
+    return compared(pairs, sources).where(F.col("far") <= 1.0 - threshold + EPS).select("a", "b")
+
+
 def links(docs: DataFrame, marks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of nodes at least ``threshold`` alike, enough to connect every class."""
-    limit = 1.0 - threshold
     nodes = marks.groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("weight").alias("weight")
     )
-    spread = materialise(nodes.select("node", "doc_id", "weight", F.explode("bands").alias("bucket")), "bands")
-    heads = spread.groupBy("bucket").agg(
-        F.min(F.struct("node", "weight")).alias("head"), F.count(F.lit(1)).alias("n")
-    ).where("n > 1")
-    members = materialise(spread.join(heads.select("bucket", "head"), "bucket").select(
-        "bucket", "node", "weight", "doc_id", F.col("head.node").alias("head"),
-        (F.least("weight", "head.weight") >= threshold * F.greatest("weight", "head.weight") - EPS).alias("fits"),
-    ), "members")
-    to_head = members.where(F.col("fits") & (F.col("node") != F.col("head"))).select(
+    spread = nodes.select("node", "doc_id", "weight", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialise(spread.join(shared, "bucket"), "members")
+    # the head of a bucket is its member that meets the most others over all buckets
+    central = members.groupBy("node").agg(F.sum("n").alias("met"))
+    heads = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("met", "node", "weight")).alias("head"))
+    placed = members.join(heads, "bucket").select("bucket", "node", "weight", F.col("head.node").alias("head"),
+                                                  F.col("head.weight").alias("head_weight"))
+    placed = materialise(placed, "placed")
+    fits = F.least("weight", "head_weight") >= threshold * F.greatest("weight", "head_weight") - EPS
+    to_head = placed.where(fits & (F.col("node") != F.col("head"))).select(
         F.col("head").alias("a"), F.col("node").alias("b")
     ).distinct()
     wanted = members.select("node", "doc_id").distinct()
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", node(), "text")
     sources = materialise(texts.join(wanted, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-    near = materialise(compared(to_head, sources), "near")
-
-    # members with their distance from the head: 0 for the head, null where the weights alone rule a link out
-    placed = members.join(near.select(F.col("a").alias("head"), F.col("b").alias("node"), "far"), ["head", "node"], "left")
-    placed = placed.select(
-        "bucket", "node", "weight", F.when(F.col("node") == F.col("head"), F.lit(0.0)).otherwise(F.col("far")).alias("far")
-    )
-    loose = placed.where(F.coalesce(F.col("far") > limit + EPS, F.lit(True)))
-    other = placed.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("node", "weight", "far")]).where(
-        F.coalesce(F.col("far_2") > 0, F.lit(True))
-    )
-    rest = loose.join(other, "bucket").where(
-        (F.col("node") != F.col("node_2"))
-        & (F.least("weight", "weight_2") >= threshold * F.greatest("weight", "weight_2") - EPS)
-        & F.coalesce(F.abs(F.col("far") - F.col("far_2")) <= limit + EPS, F.lit(True))
+    first = materialise(near(to_head, sources, threshold), "near")
+
+    # buckets that still hold several components: their members outside the head's component are odd
+    roots = materialise(wanted.select("node").join(components(first), "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root")), "roots")
+    rooted = placed.join(roots, "node").join(
+        roots.select(F.col("node").alias("head"), F.col("root").alias("head_root")), "head"
+    ).select("bucket", "node", "root", (F.col("root") != F.col("head_root")).alias("odd"))
+    rooted = materialise(rooted, "rooted")
+    unsettled = rooted.groupBy("bucket").agg(F.max("odd").alias("any")).where("any").select("bucket")
+    open_ = rooted.join(unsettled, "bucket").groupBy("node").agg(F.max("root").alias("root"), F.max("odd").alias("odd"))
+    marked = materialise(prefixes(open_, sources, threshold), "prefixes")
+    one = marked.where("odd")
+    two = marked.select(*[F.col(c).alias(f"{c}_2") for c in ("element", "place", "size", "node", "root")])
+    least = F.ceil(threshold / (1 + threshold) * (F.col("size") + F.col("size_2")) - EPS)  # common elements of a near pair
+    rest = one.join(two, F.col("element") == F.col("element_2")).where(
+        (F.col("root") != F.col("root_2"))
+        & (F.least("size", "size_2") >= threshold * F.greatest("size", "size_2") - EPS)
+        & (F.col("place") <= F.col("size") - least + 1) & (F.col("place_2") <= F.col("size_2") - least + 1)
     ).select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
-    checked = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = compared(rest.join(checked, ["a", "b"], "left_anti"), sources)
-    return near.unionByName(more).where(F.col("far") <= limit + EPS).select("a", "b")
+    return first.unionByName(near(rest, sources, threshold))
 
 
 def components(edges: DataFrame) -> DataFrame:
