@@ -90,3 +90,18 @@ def test_metric_deltas(spark):
     df = spark.createDataFrame([("a", 0.70994, 0.5), ("b", 0.71391, 0.25)], "v string, accuracy double, recall double")
     got = {r.metric: (r.baseline, r.other, r.delta) for r in metrics.metric_deltas(df, "v", "a", "b", metrics=["accuracy", "recall"]).collect()}
     assert got == {"accuracy": (0.7099, 0.7139, 0.004), "recall": (0.5, 0.25, -0.25)}
+
+
+def test_rows_without_a_score_or_label_count_nowhere(spark):
+    rows = [(1, 0.9), (0, 0.2), (1, None), (0, float("nan")), (None, 0.7)]
+    df = spark.createDataFrame(rows, "y int, p double")
+    row = metrics.evaluate(df, "y", "p").first()
+    assert (row.tn, row.fp, row.fn, row.tp, row.roc_auc, row.pr_auc) == (1, 0, 0, 1, 1.0, 1.0)
+    cells = metrics.threshold_metrics(df, "y", "p").first()
+    assert cells.tn + cells.fp + cells.fn + cells.tp == 2
+
+
+def test_groups_without_labels_or_id_get_a_fold(spark):
+    df = spark.createDataFrame([("a", None), ("b", 1), (None, 0), (None, None)], "g string, y int")
+    assert sorted((r.g or "", r.rows, r.positives) for r in folds.assign_folds(df, "g", "y").collect()) == [
+        ("", 2, 0), ("a", 1, 0), ("b", 1, 1)]

@@ -96,11 +96,11 @@ def test_historic_game(spark):
 
 
 def test_rejects_carry_a_reason(spark):
-    deep = MINIMAL.replace("2. Nf3", "2. Nf3 " + "(" * 9 + "x" + ")" * 9)
+    deep = MINIMAL.replace("2. Nf3", "2. Nf3 (x")
     parsed = _parse(spark, MINIMAL, NO_MOVES, MALFORMED, deep, MINIMAL.replace("Nc6", "Zz9"), "  ")
     got = {r.game_index: (r.error, r.white) for r in games.rejects(parsed).collect()}
     assert got == {
-        2: (G.REJECT_NO_MOVES, "A"), 3: (G.REJECT_TOKEN, None), 4: (G.REJECT_NESTING, "One"),
+        2: (G.REJECT_NO_MOVES, "A"), 3: (G.REJECT_TOKEN, None), 4: (G.REJECT_UNBALANCED, "One"),
         5: (G.REJECT_TOKEN, "One"), 6: (G.REJECT_EMPTY, None),
     }
     assert games.good_games(parsed).count() == 1
@@ -202,3 +202,23 @@ def test_split_file_keeps_its_order(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted((r.game_index, r.e) for r in rows) == [(i + 1, f"G{i}") for i in range(400)]
     assert {r.n for r in rows} == {10}
+
+
+def test_variations_of_any_depth(spark):
+    deep = MINIMAL.replace("2. Nf3", "2. Nf3 " + "(a " * 60 + ")" * 60)
+    assert [r.san for r in _plies(spark, deep)] == [r.san for r in _plies(spark, MINIMAL)]
+
+
+def test_unbalanced_parentheses_are_rejected(spark):
+    for text in ("2. Nf3 )x(", "2. Nf3 (x", "2. Nf3 x)"):
+        parsed = _parse(spark, MINIMAL.replace("2. Nf3", text))
+        assert [r.error for r in games.rejects(parsed).collect()] == [G.REJECT_UNBALANCED]
+
+
+def test_games_without_an_event_tag_stay_apart(spark, tmp_path):
+    text = '[Event "A"]\n[White "One"]\n\n1. e4 e5 1-0\n\n[Site "here"]\n[White "Two"]\n\n1. d4 {a\n[b] c} d5 2. c4 0-1\n'
+    (tmp_path / "two.pgn").write_text(text + text.replace("[Event", "\n[Event"))
+    rows = games.parse_records(games.scan_records(spark, str(tmp_path))).orderBy("game_index").collect()
+    assert [(r.game_index, r.headers["White"], [m.san for m in r.moves]) for r in rows] == [
+        (1, "One", ["e4", "e5"]), (2, "Two", ["d4", "d5", "c4"]), (3, "One", ["e4", "e5"]), (4, "Two", ["d4", "d5", "c4"]),
+    ]

@@ -52,3 +52,15 @@ def test_adapter_is_the_same_with_split_parts(spark):
     plain = adapters.plies(spark, folder)
     split = adapters.plies(spark, folder, hot_rows=20)
     assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
+
+
+def test_one_key_with_all_rows_on_one_day(spark):
+    df = spark.range(2000).selectExpr("cast(null as int) as k", "1 as day", "id")
+    out = number_rows(df, ["k"], ["day", "id"], "n", spread=F.struct("day", F.shiftright("id", 6)), hot_rows=10)
+    assert {r.id: r.n for r in out.collect()} == {i: i + 1 for i in range(2000)}
+
+
+def test_null_keys_and_buckets_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, None, 1), (2, 1, 7)], "k int, x int, v int")
+    out = running_totals(df, ["k"], ["x"], F.col("x"), {"upto": "v"}).collect()
+    assert sorted((r.k is None, r.upto) for r in out) == [(False, 7), (True, 1), (True, 6)]

@@ -1,4 +1,4 @@
-"""Exact quantiles against numpy on both paths."""
+"""Exact quantiles against numpy."""
 
 import numpy as np
 
@@ -20,7 +20,7 @@ def test_sketch_brackets_give_exact_values(spark):
     df, rows = _frame(spark)
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
     columns = ["skewed", "signed", "ties", "holes", "empty"]
-    for kwargs in ({"small_rows": 0}, {"small_rows": 0, "accuracy": 200}, {}):
+    for kwargs in ({}, {"accuracy": 200}):
         got = exact_quantiles(df, columns, probs, **kwargs)
         for i, c in enumerate(columns):
             present = [r[i] for r in rows if r[i] is not None]
@@ -33,7 +33,7 @@ def test_wrong_brackets_fall_back_to_the_whole_range(spark, monkeypatch):
 
     df, rows = _frame(spark, n=2000)
     monkeypatch.setattr(quantiles, "_brackets", lambda d, cs, ps, a: {(c, i): (1e9, 1e9) for c in cs for i in range(len(ps))})
-    got = exact_quantiles(df, ["skewed"], [0.25, 0.5], small_rows=0)
+    got = exact_quantiles(df, ["skewed"], [0.25, 0.5])
     assert np.allclose(got["skewed"], np.quantile([r[0] for r in rows], [0.25, 0.5]))
 
 

@@ -21,14 +21,9 @@ CLOCK = r"\{[^}]*\[%clk\s+([0-9:.]+)\][^}]*\}"
 _HEADER_LINE = r'^\[[ \t]*[A-Za-z0-9_]+[ \t]+"[^"\\]*+(?:\\.[^"\\]*+)*+"[ \t]*\][ \t\r]*$'
 # the look-ahead lets the matcher skip ordinary characters with one test each
 _NOT_MOVES = rf"(?m)(?=[{{;%\[$])(?:{CLOCK}|\{{[^}}]*\}}|;.*$|^%.*$|{_HEADER_LINE}|\$\d+)"
-RESULTS = ("1-0", "0-1", "1/2-1/2", "*")
-
-#: Variations nested deeper than this are rejected with a reason.
-NESTING = 8
-
 REJECT_EMPTY = "empty text"
 REJECT_NO_MOVES = "no mainline moves"
-REJECT_NESTING = "variations nested too deep"
+REJECT_UNBALANCED = "unbalanced variation"
 REJECT_TOKEN = "unreadable move token"
 
 
@@ -71,22 +66,36 @@ def mainline(record: Column | str) -> Column:
 
     Three passes: one drops comments, headers and marks from left to right and keeps
     clocks, one drops variations with all that is nested in them, one drops move numbers,
-    results and the empty clocks the first pass leaves.
+    results and the empty clocks the first pass leaves. A text whose parentheses don't balance
+    keeps one, by which :func:`reject_reason` knows it.
     """
     text = F.regexp_replace(as_column(record), _NOT_MOVES, " <$1> ")
-    text = F.regexp_replace(text, _VARIATION, " ")
+    text = F.when(text.rlike("[()]"), _outside_variations(text)).otherwise(text)
     return F.trim(F.regexp_replace(text, _NUMBERS, " "))
 
 
-def _nested(levels: int) -> str:
-    """Parentheses nested up to ``levels`` deep; possessive, so it neither recurses nor backtracks."""
-    pattern = r"\([^()]*+\)"
-    for _ in range(levels - 1):
-        pattern = rf"\([^()]*+(?:{pattern}[^()]*+)*+\)"
-    return pattern
+def _outside_variations(text: Column) -> Column:
+    """Text at depth 0, whatever the depth of the variations between.
+
+    The text is cut at parentheses; a running depth over the pieces tells which stay.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"([()]|[^()]+)"), F.lit(1))
+    step = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"), F.array().cast("array<string>").alias("kept"))
+
+    def walk(a: Column, piece: Column) -> Column:
+        depth = a["depth"] + F.when(piece == "(", 1).when(piece == ")", -1).otherwise(0)
+        outside = (depth == 0) & ~piece.isin("(", ")")
+        return F.struct(
+            depth.alias("depth"), F.least(a["least"], depth).alias("least"),
+            F.when(outside, F.array_append(a["kept"], piece)).otherwise(a["kept"]).alias("kept"),
+        )
+
+    return F.aggregate(
+        pieces, step, walk,
+        lambda a: F.when((a["depth"] == 0) & (a["least"] == 0), F.array_join(a["kept"], " ")).otherwise(F.lit("(")),
+    )
 
 
-_VARIATION = _nested(NESTING)
 _NUMBERS = r"(?=[0-9*<])(?:(?:^|(?<=\s))(?:(?:1-0|0-1|1/2-1/2|\*)(?=\s|$)|\d+\s*\.+)|<>)"
 
 
@@ -110,7 +119,7 @@ def reject_reason(record: Column | str, line: Column | str, move_array: Column |
     rest = F.regexp_replace(rest, rf"(?:^|(?<=\s)){SAN}(?=\s|$)", " ")
     return (
         F.when(record.isNull() | (F.trim(record) == ""), REJECT_EMPTY)
-        .when(line.rlike(r"[()]"), REJECT_NESTING)
+        .when(line.rlike(r"[()]"), REJECT_UNBALANCED)
         .when(rest.rlike(r"\S"), REJECT_TOKEN)
         .when(F.size(as_column(move_array)) == 0, REJECT_NO_MOVES)
     )
@@ -127,6 +136,7 @@ def clock_seconds(clock: Column | str) -> Column:
     return F.round(total, 1)
 
 
+# Messages of the published check.
 MSG_EMPTY = "PGN content is empty. Please provide a valid PGN string or file."
 MSG_NO_GAME = "No valid chess game found in the provided PGN text."
 MSG_NO_MOVES = "The PGN game contains headers but no mainline moves. Cannot compute features."

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.operators.quantiles import SMALL_ROWS, exact_quantiles
+from turnwise.operators.quantiles import exact_quantiles
 from turnwise.schemas import LABEL_BEARING
 
 VECTOR = "features_vector"
@@ -40,9 +40,9 @@ def check_features(features: Sequence[str]) -> None:
         raise ValueError(f"label-bearing columns cannot be features: {leaking}")
 
 
-def medians(df: DataFrame, columns: Sequence[str], *, small_rows: int = SMALL_ROWS) -> dict[str, float]:
+def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Interpolated median per column; 0.0 for a column without values."""
-    found = exact_quantiles(df, columns, [0.5], small_rows=small_rows)
+    found = exact_quantiles(df, columns, [0.5])
     return {c: 0.0 if q[0] is None else float(q[0]) for c, q in found.items()}
 
 

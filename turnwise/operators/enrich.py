@@ -16,46 +16,47 @@ from turnwise.functions import moves as M
 KEYS = ("game_id", "ply_number")
 
 
-#: Candidate lines per position that take part in the rank of the played move.
-TOP_LINES = 5
-
-
 def positions(lines: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per position: its best lines at the final depth, and the score after the move.
+    """One row per position: its candidate lines at the final depth, and the score after the move.
 
-    The buffer of a position has a fixed size and combines before the shuffle, so several
-    lines per position leave a task as one row.
+    A position's lines are gathered into one array, at most one per legal move and depth, and read
+    row by row; any number of ranks takes part.
     """
     keys = list(keys)
     if "san" not in lines.columns:
         lines = lines.withColumn("san", F.lit(None).cast("string"))
     if "mate_sign" not in lines.columns:
         lines = lines.withColumn("mate_sign", F.signum("mate").cast("int"))
-    score = F.struct("cp", "mate", "mate_sign")
-    before = F.col("side") == "before"
-
-    def at_rank(k: int):
-        return F.when(before & (F.col("pv_rank") == k), F.col("depth"))
-
-    held = {1: ["uci", "san", score.alias("score")], 2: ["uci", score.alias("score")]}
-    return lines.groupBy(*keys).agg(
-        F.max(F.when(before, F.col("depth"))).alias("final_depth"),
-        *[
-            F.max_by(F.struct(F.col("depth").alias("depth"), *held.get(k, ["uci"])), at_rank(k)).alias(f"line{k}")
-            for k in range(1, TOP_LINES + 1)
-        ],
-        F.max_by(score, F.when(F.col("side") == "after", F.col("depth"))).alias("after"),
-        F.max(F.when(at_rank(1) == 1, F.col("uci"))).alias("depth1_uci"),
+    line = F.struct("side", "depth", "pv_rank", "uci", "san", F.struct("cp", "mate", "mate_sign").alias("score"))
+    gathered = lines.groupBy(*keys).agg(F.collect_list(line).alias("lines"))
+    return gathered.select(*keys, F.inline(F.transform(F.array("lines"), _position)))
+
+
+def _position(lines: Column) -> Column:
+    """What enrichment needs of a position's lines; ``moves`` are the candidates at the final depth."""
+    before = F.filter(lines, lambda x: x["side"] == "before")
+
+    def at_rank(k: int) -> Column:
+        """The deepest line of a rank."""
+        ranked = F.transform(F.filter(before, lambda x: x["pv_rank"] == k), lambda x: F.struct(x["depth"], x["uci"], x["san"], x["score"]))
+        return F.array_max(ranked)
+
+    after = F.transform(F.filter(lines, lambda x: x["side"] == "after"), lambda x: F.struct(x["depth"], x["score"]))
+    final = F.array_max(F.transform(before, lambda x: x["depth"]))
+    candidates = F.filter(before, lambda x: (x["depth"] == final) & x["uci"].isNotNull())
+    shallow = F.filter(before, lambda x: (x["pv_rank"] == 1) & (x["depth"] == 1))
+    return F.struct(
+        final.alias("final_depth"), at_rank(1).alias("line1"), at_rank(2).alias("line2"),
+        F.transform(candidates, lambda x: F.struct(x["pv_rank"].alias("rank"), x["uci"].alias("uci"))).alias("moves"),
+        F.array_max(after)["score"].alias("after"),
+        F.array_max(F.transform(shallow, lambda x: x["uci"])).alias("depth1_uci"),
     )
 
 
 def _engine_columns(played: str, color: str) -> dict[str, Column]:
     """Engine columns of a ply beside its position row."""
     best, second, after = F.col("line1.score"), F.col("line2.score"), F.col("after")
-    rank = F.coalesce(*[
-        F.when((F.col(f"line{k}.uci") == F.col(played)) & (F.col(f"line{k}.depth") == F.col("final_depth")), k)
-        for k in range(1, TOP_LINES + 1)
-    ])
+    rank = F.array_min(F.transform(F.filter("moves", lambda m: m["uci"] == F.col(played)), lambda m: m["rank"]))
     analysed = F.col("final_depth").isNotNull()
     return {
         "engine_best_move_uci": F.col("line1.uci"),

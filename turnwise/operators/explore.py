@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.numeric import as_column
-from turnwise.operators.quantiles import SMALL_ROWS, exact_quantiles
+from turnwise.operators.quantiles import exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
 UNRANKED = "Unranked (>5)"
@@ -25,9 +25,9 @@ def compare_groups(df: DataFrame, by: str, *, count: str = "ply_number", loss: s
     )
 
 
-def describe(df: DataFrame, columns: Sequence[str], *, small_rows: int = SMALL_ROWS) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, min, exact quartiles and max; one row per column."""
-    quartiles = exact_quantiles(df, columns, QUARTILES, small_rows=small_rows)
+    quartiles = exact_quantiles(df, columns, QUARTILES)
     row = df.agg(
         F.array(
             *[
@@ -70,12 +70,11 @@ def rank_distribution(df: DataFrame, rank: str = "played_move_rank_top5") -> Dat
 
 
 def iqr_fence(df: DataFrame, value: str) -> DataFrame:
-    """One row with quartiles and the upper fence of a column of bounded domain."""
-    quartiles = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    q25, q75 = F.col("q")[0], F.col("q")[1]
-    return quartiles.select(
-        q25.alias("q25"), q75.alias("q75"), (q75 - q25).alias("iqr"), (q75 + 1.5 * (q75 - q25)).alias("upper_bound")
-    )
+    """One row with exact quartiles and the upper fence; the values' domain may be unbounded."""
+    q25, q75 = exact_quantiles(df, [value], [0.25, 0.75])[value]
+    row = df.sparkSession.createDataFrame([(q25, q75)], "q25 double, q75 double")
+    return row.select("*", (F.col("q75") - F.col("q25")).alias("iqr"),
+                      (F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))).alias("upper_bound"))
 
 
 def outliers(df: DataFrame, value: str = "centipawn_loss") -> DataFrame:
@@ -150,11 +149,12 @@ def boxplot(df: DataFrame, by: str, value: str = "centipawn_loss") -> DataFrame:
 
 def loss_trajectory(df: DataFrame, *, game: str = "game_id", color: str = "player_color",
                     ply: str = "ply_number", loss: str = "centipawn_loss") -> DataFrame:
-    """Scored plies of each colour in ply order, with the blunder mark of the chart."""
+    """Scored plies of each colour in ply order within their game, with the blunder mark of the chart."""
     return (
         df.filter(F.col(loss).isNotNull() & F.lower(color).isin("white", "black"))
         .select(game, F.lower(color).alias("series"), ply, loss, (F.col(loss) > 200).alias("over_blunder_line"))
-        .orderBy(game, "series", ply)
+        .repartition(game)
+        .sortWithinPartitions(game, "series", ply)
     )
 
 

@@ -16,12 +16,12 @@ def assign_folds(df: DataFrame, group: str, label: str, *, folds: int = 5, seed:
     order, each stratum from its own start. Dealing is a running count over hash
     buckets, so a stratum of all groups does not meet in one task.
     """
-    digest = F.md5(F.concat(F.col(group).cast("string"), F.lit(f":{seed}")))
+    digest = F.md5(F.concat(F.coalesce(F.col(group).cast("string"), F.lit("")), F.lit(f":{seed}")))
     groups = df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.col(label).cast("int")).alias("positives")
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col(label).cast("int")), F.lit(0)).alias("positives")
     ).select("*", digest.alias("__digest"), F.lit(1).alias("__one"))
     dealt = running_totals(
-        groups, ["rows", "positives"], ["__digest", group], F.coalesce(F.substring("__digest", 1, 3), F.lit("")), {"__at": "__one"}
+        groups, ["rows", "positives"], ["__digest", group], F.substring("__digest", 1, 3), {"__at": "__one"}
     )
     fold = (F.col("__at") - 1 + F.col("rows") + F.col("positives")) % folds
     return dealt.select(group, "rows", "positives", fold.cast("int").alias("fold"))

@@ -19,8 +19,7 @@ _BUCKET = "__bucket"
 _HOT = "__hot"
 _OFFSET = "__offset"
 
-#: A key with more rows than this is split. The list of such keys has at most
-#: (rows / HOT_ROWS) entries, which is what bounds its broadcast.
+#: A key with more rows than this is cut into pieces; numbers are the same either way.
 HOT_ROWS = 1_000_000
 
 
@@ -33,12 +32,12 @@ def number_rows(
     spread: Column | str,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Number rows from 1 within ``keys`` in the order of ``order_by``.
+    """Number rows from 1 within ``keys`` in the order of ``order_by``; NULL is a key like any other.
 
-    ``spread`` cuts a hot key into pieces. It must never decrease along the order, such
-    as a date or a coarse form of the leading order column: each piece is numbered by
-    one task, and the piece totals of a key meet in one. The order should be total, as
-    for any ``row_number``.
+    ``spread`` cuts a hot key into pieces. It must never decrease along the order: a date, or a
+    struct of leading order columns with the last one coarsened, so that a day with most of the
+    rows is cut as well. Each piece is numbered by one task, and the piece totals of a key meet in
+    one. The order should be total, as for any ``row_number``.
     """
     keys, order_by = list(keys), list(order_by)
     spread = as_column(spread)
@@ -49,10 +48,7 @@ def number_rows(
         .filter(F.col("__n") > hot_rows)
         .select(*keys, F.lit(True).alias(_HOT))
     )
-    # size bound: see HOT_ROWS
-    marked = df.join(F.broadcast(hot), keys, "left").withColumn(
-        _BUCKET, F.when(F.col(_HOT), spread)
-    )
+    marked = null_safe_join(df, hot, keys, "left").withColumn(_BUCKET, F.when(F.col(_HOT), spread))
     offsets = _earlier_totals(
         marked.filter(F.col(_HOT)).groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias(_OFFSET)),
         keys,
@@ -60,7 +56,7 @@ def number_rows(
     )
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order_by)
     return (
-        marked.join(offsets, [*keys, _BUCKET], "left")
+        null_safe_join(marked, offsets, [*keys, _BUCKET], "left")
         .withColumn(
             name,
             F.row_number().over(inside) + F.coalesce(F.col(_OFFSET), F.lit(0)),
@@ -94,7 +90,7 @@ def running_totals(
         .orderBy(*order_by)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return marked.join(offsets, [*keys, _BUCKET]).select(
+    return null_safe_join(marked, offsets, [*keys, _BUCKET]).select(
         *df.columns,
         *[
             (F.sum(src).over(inside) + F.col(offset_names[new])).alias(new)
@@ -103,6 +99,14 @@ def running_totals(
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which NULL keys meet; the columns of ``left``, then what ``right`` adds."""
+    added = [c for c in right.columns if c not in keys]
+    other = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *added)
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(other, same, how).select(*left.columns, *added)
+
+
 def _earlier_totals(per_bucket: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Replace each bucket total with the sum over the key's earlier buckets."""
     earlier = (

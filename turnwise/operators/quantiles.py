@@ -1,7 +1,7 @@
 """Exact quantiles with linear interpolation, also of columns with unbounded values.
 
 ``percentile`` keeps a count per distinct value in one buffer. That is fine for values
-with a bounded domain, or few rows. Beyond that :func:`exact_quantiles` brackets each
+with a bounded domain. For others :func:`exact_quantiles` brackets each
 wanted order statistic with a sketch and sorts only what falls inside the bracket.
 """
 
@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to this many rows the built-in aggregate's buffer is small.
-SMALL_ROWS = 200_000
+from turnwise.operators.ordering import running_totals
+
 #: Sketch accuracy: a bracket holds about ``4 / ACCURACY`` of the rows.
 ACCURACY = 20_000
 #: Pieces a bracket is ranked in.
@@ -26,21 +26,15 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     *,
-    small_rows: int = SMALL_ROWS,
     accuracy: int = ACCURACY,
 ) -> dict[str, list[float | None]]:
     """Interpolated quantiles per column, missing values left out.
 
-    Runs one counting job, and beyond ``small_rows`` two more that each read the data
-    once; what reaches the driver has one row per column and probability.
+    Four jobs, whatever the size: counts, sketches, what lies below the brackets, and the ranks
+    inside them. What reaches the driver has one row per column and probability.
     """
     columns, probabilities = list(columns), list(probabilities)
     counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    if max(counts) <= small_rows:
-        row = df.agg(*[F.percentile(c, wanted).alias(c) for c in columns]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probabilities) for c in columns}
-
     targets = []
     for c in columns:
         for i, p in enumerate(probabilities):
@@ -83,8 +77,6 @@ def _order_statistics(df, targets, brackets):
     each bracket is ranked in buckets, so neither ties nor a wide bracket meet in one
     task.
     """
-    from turnwise.operators.ordering import running_totals
-
     below, inside = [], []
     for n, (c, i, *_rest) in enumerate(targets):
         low, high = brackets[c, i]

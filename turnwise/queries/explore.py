@@ -118,7 +118,7 @@ def describe_exact(spark, folder):
 @query("describe_events", _describe_sql("value", "events"))
 def describe_events(spark, folder):
     """Exact quartiles of a float column by sketch brackets, without the small-table shortcut."""
-    return rounded(explore.describe(table(spark, folder, "events"), ["value"], small_rows=0), *_STATS)
+    return rounded(explore.describe(table(spark, folder, "events"), ["value"]), *_STATS)
 
 
 @query("describe_profiles", " union all ".join(

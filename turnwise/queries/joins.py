@@ -85,9 +85,8 @@ select o_custkey, o_orderkey, place from (select *, row_number() over (partition
 def top_n_per_group(spark, folder):
     """First three orders of each customer, numbered."""
     orders = table(spark, folder, "orders").withColumn("at", F.struct("o_orderdate", "o_orderkey"))
-    few = games.first_n_per_file(orders, 3, file="o_custkey", order="at")
-    numbered = number_rows(few, ["o_custkey"], ["o_orderdate", "o_orderkey"], "place", spread="o_orderdate")
-    return numbered.select("o_custkey", "o_orderkey", "place")
+    few = games.first_n_per_file(orders, 3, file="o_custkey", order="at", place="place")
+    return few.select("o_custkey", "o_orderkey", F.col("place").cast("bigint").alias("place"))
 
 
 def _games(spark, folder):
@@ -146,10 +145,9 @@ select conv_id, role, count(*) as turns, min(turn) as first_turn, max(turn) as l
 from conversations group by 1, 2""")
 def dialogue_turns(spark, folder):
     """The same sequence profile on another schema: turns as plies, roles as colours."""
-    turns = number_rows(
-        table(spark, folder, "conversations"), ["conv_id"], ["turn"], "ply_number", spread=F.floor(F.col("turn") / 1000)
-    )
+    said = table(spark, folder, "conversations").select("conv_id", "turn", "role", F.length("text").alias("chars"))
+    turns = number_rows(said, ["conv_id"], ["turn"], "ply_number", spread=F.floor(F.col("turn") / 1000))
     return turns.groupBy("conv_id", "role").agg(
         F.count(F.lit(1)).alias("turns"), F.min(F.col("ply_number") - 1).alias("first_turn"),
-        F.max(F.col("ply_number") - 1).alias("last_turn"), F.sum(F.length("text")).cast("bigint").alias("chars"),
+        F.max(F.col("ply_number") - 1).alias("last_turn"), F.sum("chars").cast("bigint").alias("chars"),
     )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions import gametext as G
 from turnwise.queries.registry import KEYS, array_sql, plies, query, r6, sql_r6
+from turnwise.schemas import CATEGORIES
+from turnwise.session import scratch_folder
 from turnwise.sources import games
 from turnwise.sources.adapters import SAN_SAMPLES, table
 
@@ -16,7 +20,10 @@ _BLOCKED = (
     f"(select *, cast((ply_number - 1)//{BLOCK} as int) as block, cast((ply_number - 1) % {BLOCK} + 1 as int) as ply,"
     f" {array_sql(SAN_SAMPLES)}[1 + cents % 10] as san from plies)"
 )
-_FAULT = "(cast(physical_game_id as bigint) + block) % 5"
+_FAULT = "(cast(physical_game_id as bigint) + block) % 6"
+#: Nesting of the variations in the checked texts; the operator knows no bound.
+_DEEP = 40
+_MESSAGE_NESTING = 8
 
 
 def records(spark, folder, *, faults: bool = False) -> DataFrame:
@@ -25,7 +32,7 @@ def records(spark, folder, *, faults: bool = False) -> DataFrame:
     p = plies(spark, folder).withColumns({
         "san": san,
         "block": F.expr(f"cast((ply_number - 1) div {BLOCK} as int)"),
-        "fault": F.expr(f"(cast(physical_game_id as bigint) + (ply_number - 1) div {BLOCK}) % 5"),
+        "fault": F.expr(f"(cast(physical_game_id as bigint) + (ply_number - 1) div {BLOCK}) % 6"),
     })
     every = lambda n, text: F.when(F.col("cents") % n == 0, text).otherwise("")
     number = F.when(
@@ -43,7 +50,9 @@ def records(spark, folder, *, faults: bool = False) -> DataFrame:
         token = (
             F.when(F.col("fault") == 0, "")
             .when(F.col("fault") == 1, F.concat(token, F.lit(" Zz9")))
-            .when(F.col("fault") == 2, F.concat(token, F.lit(" " + "(" * 9 + "a" + ")" * 9)))
+            .when(F.col("fault") == 2, F.concat(token, F.lit(" (a")))
+            .when(F.col("fault") == 3, F.concat(token, F.lit(" " + "(1. d4 " * _DEEP + "a" + ")" * _DEEP)))
+            .when(F.col("fault") == 4, F.concat(token, F.lit(" " + "(" * 9 + "a" + ")" * 9)))
             .otherwise(token)
         )
     tags = {
@@ -55,6 +64,46 @@ def records(spark, folder, *, faults: bool = False) -> DataFrame:
     return text.withColumn("record", F.concat("record", F.lit(" *\n")))
 
 
+def match_records(spark, folder) -> DataFrame:
+    """One text per match with all its plies, and the category and file name it goes to."""
+    san = F.element_at(F.array(*[F.lit(s) for s in SAN_SAMPLES]), (1 + F.col("cents") % 10).cast("int"))
+    p = plies(spark, folder).withColumns({"san": san, "match": F.col("physical_game_id").cast("bigint")})
+    token = F.concat("san", F.when(F.col("cents") % 7 == 0, " (1. d4 {aside} (1... d5))").otherwise(""))
+    tags = {"White": F.concat(F.lit("W"), F.col("physical_game_id")), "Result": F.col("result")}
+    return games.render_text(p, ["match"], token, tags)
+
+
+@query("pgn_category_scan", f"""
+with games as (select cast(physical_game_id as bigint) as match, count(*) as plies,
+    array_to_string(list({array_sql([x.rstrip("!?") for x in SAN_SAMPLES])}[1 + cents % 10] order by ply_number), ' ') as sans
+  from plies group by 1),
+placed as (select *, match % 3 as place, 'f' || cast(match % 7 as varchar) || '.pgn' as name from games)
+select {array_sql(list(CATEGORIES))}[1 + place] || '/' || name as source_file, 'W' || cast(match as varchar) as white,
+  row_number() over (order by place, name, match) as game_id,
+  row_number() over (partition by place, name order by match) as game_index, plies, md5(sans) as sans_md5
+from placed""", ("plies",))
+def pgn_category_scan(spark, folder):
+    """Matches written as game files into category folders, then listed, read, parsed and numbered.
+
+    Half of the games of a file have no Event tag, so records hold several games.
+    """
+    root = f"{scratch_folder(spark)}/pgn-{uuid.uuid4().hex}"
+    event = F.when(F.col("match") % 2 == 0, F.lit('[Event "E"]\n')).otherwise("")
+    made = match_records(spark, folder).select(
+        "match", F.element_at(F.array(*map(F.lit, CATEGORIES)), (1 + F.col("match") % 3).cast("int")).alias("category"),
+        F.concat(F.lit("f"), (F.col("match") % 7).cast("string")).alias("name"),
+        F.concat(event, F.regexp_replace("record", r"\n+$", ""), F.lit(" *\n")).alias("value"),
+    )
+    games.write_files(made, root, order="match")
+    parsed = games.parse_records(games.scan_categories(spark, root))
+    numbered = games.with_game_ids(games.good_games(parsed))
+    return numbered.select(
+        "source_file", G.header("headers", "White").alias("white"), F.col("game_id").cast("bigint").alias("game_id"),
+        F.col("game_index").cast("bigint").alias("game_index"), F.size("moves").cast("bigint").alias("plies"),
+        F.md5(F.array_join("moves.san", " ")).alias("sans_md5"),
+    )
+
+
 def parsed(spark, folder, *, faults: bool = False) -> DataFrame:
     return games.parse_records(records(spark, folder, faults=faults))
 
@@ -85,7 +134,7 @@ def pgn_first_game(spark, folder):
 
 @query("reject_split", f"""
 select physical_game_id, block, 'The "' || physical_game_id || '" one' as white, case {_FAULT} when 0 then 'no mainline moves'
-  when 1 then 'unreadable move token' when 2 then 'variations nested too deep' end as error,
+  when 1 then 'unreadable move token' when 2 then 'unbalanced variation' end as error,
   cast(case when {_FAULT} > 2 then count(*) else 0 end as bigint) as plies
 from {_BLOCKED} group by 1, 2""", ("plies",))
 def reject_split(spark, folder):
@@ -129,7 +178,7 @@ def _clean_sql(text: str) -> str:
     out = f"regexp_replace({text}, '(?m)^%.*$', ' ', 'g')"
     header = r'(?m)^[ \t]*\[[ \t]*[A-Za-z0-9_]+[ \t]+"(?:[^"\\]|\\.)*"[ \t]*\][ \t\r]*$'
     steps = [(header, " "), (r"\{[^}]*\}", " "), ("(?m);.*$", " ")]
-    steps += [(r"\([^()]*\)", " ")] * G.NESTING
+    steps += [(r"\([^()]*\)", " ")] * _MESSAGE_NESTING
     steps += [(r"\$\d+", " "), (r"\s+", "  ")]
     for pattern, new in steps:
         out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"

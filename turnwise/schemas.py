@@ -54,25 +54,30 @@ LABEL_BEARING = [
 ]
 CATEGORIES = ["human_games", "engine_generated_games", "unlabeled"]
 
-_T = {"s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(), "b": T.BooleanType()}
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(),
+          "boolean": T.BooleanType()}
 
 
-def _struct(spec: str) -> T.StructType:
-    fields = [item.split(":") for item in spec.split()]
-    return T.StructType([T.StructField(name, _T[kind]) for name, kind in fields])
+def _columns(text: str) -> T.StructType:
+    """Fields of a comma-separated list of names and types; needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (item.split() for item in text.split(","))])
 
 
-BENCHMARK_PLIES = _struct(
-    "tournament_id:s game_id:s player_id:s opponent_id:s player_color:s time_control:s game_result:s"
-    " player_elo:i opponent_elo:i half_move:i move_player:s position_before:s position_after:s"
-    " move_stockfish_1:s move_stockfish_9:s move_stockfish_15:s move_maia2_2050:s move_allie_2500:s"
-    " move_thinking_time:d clock_remaining_time:d maia2_win_prob_2050:d allie_win_prob_2500:d"
-    " normalized_centipawn_loss:d eval_before:l eval_after:l centipawn_loss:l is_used:b"
-    " player_hint_shown:b is_cheating_move:b is_cheating_player_game:b is_accused_by_opponent:b"
-    " assistance_search_depth:i assistance_line_rank:i"
-)
-ENGINE_LINES = _struct(
-    "game_id:s ply_number:i side:s depth:i pv_rank:i uci:s san:s cp:i mate:i mate_sign:i"
+# Columns and types of the published benchmark plies and of engine lines.
+BENCHMARK_PLIES = _columns("""
+    tournament_id string, game_id string, player_id string, opponent_id string, player_color string,
+    time_control string, game_result string, player_elo int, opponent_elo int, half_move int,
+    move_player string, position_before string, position_after string, move_stockfish_1 string,
+    move_stockfish_9 string, move_stockfish_15 string, move_maia2_2050 string, move_allie_2500 string,
+    move_thinking_time double, clock_remaining_time double, maia2_win_prob_2050 double,
+    allie_win_prob_2500 double, normalized_centipawn_loss double, eval_before bigint, eval_after bigint,
+    centipawn_loss bigint, is_used boolean, player_hint_shown boolean, is_cheating_move boolean,
+    is_cheating_player_game boolean, is_accused_by_opponent boolean, assistance_search_depth int,
+    assistance_line_rank int
+""")
+ENGINE_LINES = _columns(
+    "game_id string, ply_number int, side string, depth int, pv_rank int, uci string, san string, cp int, mate int,"
+    " mate_sign int"
 )
 
 _INTS = {

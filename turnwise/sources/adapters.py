@@ -36,7 +36,7 @@ def plies(spark: SparkSession, folder: str, *, hot_rows: int = HOT_ROWS) -> Data
         "l_returnflag",
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
     )
-    return ply_columns(number_rows(items, ["l_partkey"], order, "ply_number", spread="l_shipdate", hot_rows=hot_rows))
+    return ply_columns(number_rows(items, ["l_partkey"], order, "ply_number", spread=F.struct("l_shipdate", F.shiftright("l_orderkey", 16)), hot_rows=hot_rows))
 
 
 def ply_columns(numbered: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions import gametext as G
 from turnwise.functions import moves as M
-from turnwise.operators.ordering import HOT_ROWS, number_rows, running_totals
+from turnwise.operators.ordering import HOT_ROWS, null_safe_join, number_rows, running_totals
 from turnwise.schemas import CATEGORIES
+from turnwise.session import materialise
 
 #: Records start at the Event tag; the separator eats this prefix of all but the first.
 _EVENT = "[Event "
@@ -18,6 +19,10 @@ _EVENT = "[Event "
 #: Games per piece when the game numbers of a hot file are counted.
 INDEX_RUN = 100_000
 
+#: Within a record, a tag line after a line of moves opens another game.
+_NEXT_GAME = r'(?m)(^(?![ \t]*(?:\[|$))[^\n]*\n(?:[ \t\r]*\n)*)(?=\[[A-Za-z0-9_]+[ \t]+")'
+_CUT = "\x1e"
+
 HEADER_TAGS = {
     "event": "Event", "site": "Site", "date": "Date", "round": "Round", "white_player": "White",
     "black_player": "Black", "white_elo": "WhiteElo", "black_elo": "BlackElo", "result": "Result",
@@ -28,8 +33,9 @@ def scan_records(spark: SparkSession, path: str, *, glob: str = "*.[pP][gG][nN]"
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Records of all files below ``path``: file, game_index (from 1 per file), record.
 
-    Files stay splittable: the separator between records is the line end before an
-    Event tag, which must open each game. Bytes that are not UTF-8 are replaced.
+    Files stay splittable: the separator between records is the line end before an Event
+    tag. A record is cut again, row by row, where a tag line follows moves, so games without
+    that tag stay apart. Bytes that are not UTF-8 are replaced.
     """
     raw = (
         spark.read.option("lineSep", "\n" + _EVENT)
@@ -46,11 +52,19 @@ def scan_records(spark: SparkSession, path: str, *, glob: str = "*.[pP][gG][nN]"
     text = F.regexp_replace("value", "^\ufeff", "")
     # what follows an eaten prefix is the quoted event name
     record = F.when(text.rlike(r'^\s*"'), F.concat(F.lit(_EVENT), text)).otherwise(text)
+    cut = raw.filter(F.col("value").rlike(r"\S")).select(
+        "file", "__block", "__at", F.posexplode(split_games(record)).alias("__piece", "record")
+    )
     numbered = number_rows(
-        raw.filter(F.col("value").rlike(r"\S")), ["file"], ["__block", "__at"], "game_index",
-        spread="__block", hot_rows=hot_rows,
+        cut, ["file"], ["__block", "__at", "__piece"], "game_index",
+        spread=F.struct("__block", F.shiftright("__at", 16)), hot_rows=hot_rows,
     )
-    return numbered.select("file", F.col("game_index").cast("int").alias("game_index"), record.alias("record"))
+    return numbered.select("file", F.col("game_index").cast("int").alias("game_index"), "record")
+
+
+def split_games(record: Column) -> Column:
+    """The games of a record: one text per block of tag lines and the moves after it."""
+    return F.split(F.regexp_replace(record, _NEXT_GAME, f"$1{_CUT}"), _CUT)
 
 
 def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
@@ -185,27 +199,57 @@ def with_game_ids(games: DataFrame, categories: Sequence[str] = CATEGORIES, *,
 
 
 def add_file_offsets(numbered: DataFrame, categories: Sequence[str], *, category: str, file: str) -> DataFrame:
-    place = F.lit(None).cast("int")
+    """Adds the games of earlier files; categories that aren't listed come last.
+
+    The table of files is sorted into ranges and written, so that a range is a stable bucket of
+    the running total, however the files are named.
+    """
+    place = F.lit(len(categories))
     for i, name in reversed(list(enumerate(categories))):
         place = F.when(F.col(category) == name, i).otherwise(place)
-    per_file = numbered.groupBy(category, file).agg(F.count(F.lit(1)).alias("__games")).withColumn("__place", place)
-    name = F.regexp_extract(F.col(file), "([^/]+)$", 1)
-    bucket = F.struct(F.col("__place"), F.substring(name, 1, 6))
-    offsets = running_totals(per_file, [], ["__place", name, file], bucket, {"__upto": "__games"}).select(
+    per_file = numbered.groupBy(category, file).agg(F.count(F.lit(1)).alias("__games")).select(
+        "*", place.alias("__place"), F.regexp_extract(F.col(file), "([^/]+)$", 1).alias("__name")
+    )
+    order = ["__place", "__name", file]
+    ranged = materialise(per_file.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "files")
+    offsets = running_totals(ranged, [], order, F.col("__range"), {"__upto": "__games"}).select(
         category, file, (F.col("__upto") - F.col("__games")).alias("__offset")
     )
     columns = [c for c in numbered.columns if c != "__inside"]
-    return numbered.join(offsets, [category, file]).select(
+    return null_safe_join(numbered, offsets, [category, file]).select(
         (F.col("__offset") + F.col("__inside")).alias("game_id"), *columns
     )
 
 
-def first_n_per_file(games: DataFrame, n: int, *, file: str = "source_file", order: str = "game_index") -> DataFrame:
-    """At most ``n`` games per file, in file order. The rank limit also runs before the shuffle."""
-    from pyspark.sql import Window
+def first_n_per_file(games: DataFrame, n: int, *, file: str = "source_file", order: str = "game_index",
+                     place: str | None = None) -> DataFrame:
+    """At most ``n`` games per file, in file order. The rank limit also runs before the shuffle.
 
+    ``place`` names a column to keep the rank in.
+    """
     rank = F.row_number().over(Window.partitionBy(file).orderBy(order))
-    return games.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
+    few = games.withColumn("__rank", rank).filter(F.col("__rank") <= n)
+    return few.withColumnRenamed("__rank", place) if place else few.drop("__rank")
+
+
+def write_files(games: DataFrame, root: str, *, order: str) -> None:
+    """Write texts as game files ``root/category/name.pgn``; a file's games come in the given order.
+
+    Takes columns category, name, value. Each file is one task's work, as a file must be.
+    """
+    spark = games.sparkSession
+    jvm = spark.sparkContext._jvm
+    parts = f"{root}/parts"
+    placed = games.repartition("category", "name").sortWithinPartitions("category", "name", order)
+    placed.select("category", "name", "value").write.partitionBy("category", "name").option("lineSep", "\n").text(parts)
+    top = jvm.org.apache.hadoop.fs.Path(parts)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{parts}/category=*/name=*/part-*")):
+        part = found.getPath()
+        name, category = part.getParent().getName(), part.getParent().getParent().getName()
+        goal = jvm.org.apache.hadoop.fs.Path(f"{root}/{category.partition('=')[2]}/{name.partition('=')[2]}.pgn")
+        files.mkdirs(goal.getParent())
+        files.rename(part, goal)
 
 
 def render_text(plies: DataFrame, keys: Sequence[str], token: Column, tags: dict[str, Column],
