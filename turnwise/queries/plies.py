@@ -242,8 +242,21 @@ select game_id, depth, depth = 15 as is_depth_compatible,
   case when depth = 15 then round(p, 4) end as score, case when depth = 15 then {_CLASS_SQL} end as classification
 from (select *, case when cast(physical_game_id as bigint) % 3 = 0 then 10 else 15 end as depth from scored)""", ("scored",))
 def depth_gate(spark, folder):
+    return _gated(spark, folder, require=True)
+
+
+@query("depth_gate_unverified", f"""
+select game_id, depth, depth = 15 as is_depth_compatible,
+  case when depth = 15 then 'compatible' else 'unverified_depth' end as status, round(p, 4) as score, {_CLASS_SQL} as classification
+from (select *, case when cast(physical_game_id as bigint) % 3 = 0 then 10 else 15 end as depth from scored)""", ("scored",))
+def depth_gate_unverified(spark, folder):
+    """Scores at another depth kept and marked."""
+    return _gated(spark, folder, require=False)
+
+
+def _gated(spark, folder, *, require):
     depth = F.when(F.col("physical_game_id").cast("bigint") % 3 == 0, 10).otherwise(15)
-    gated = report.depth_gate(scored(spark, folder).withColumn("depth", depth), "p", "depth")
+    gated = report.depth_gate(scored(spark, folder).withColumn("depth", depth), "p", "depth", require=require)
     return gated.select("game_id", "depth", "is_depth_compatible", "status", "score", "classification")
 
 

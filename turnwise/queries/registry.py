@@ -26,14 +26,14 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Callable[[Run], Run]:
-    """Register a query; ``views`` names the SQL views its counterpart needs."""
+def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), *, ranks: int = 5) -> Callable[[Run], Run]:
+    """Register a query; ``views`` names the SQL views its counterpart needs, ``ranks`` the lines per position."""
 
     def register(fn: Run) -> Run:
         def run(spark: SparkSession, folder: str) -> DataFrame:
             return fn(tune(spark), folder)
 
-        REGISTRY[name] = Query(run, None if sql is None else with_views(sql, views))
+        REGISTRY[name] = Query(run, None if sql is None else with_views(sql, views, ranks))
         return fn
 
     return register
@@ -57,10 +57,10 @@ def plies(spark: SparkSession, folder: str) -> DataFrame:
     return adapters.plies(spark, folder)
 
 
-def engine_rows(spark: SparkSession, folder: str) -> DataFrame:
+def engine_rows(spark: SparkSession, folder: str, ranks: int = 5) -> DataFrame:
     """Plies that have candidate lines, with their engine columns."""
     p = plies(spark, folder)
-    return merge_scored(p, adapters.engine_lines(p), keys=KEYS, played="move_player")
+    return merge_scored(p, adapters.engine_lines(p, ranks), keys=KEYS, played="move_player")
 
 
 def enriched(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,9 +79,9 @@ def array_sql(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-def _lines_sql() -> str:
+def _lines_sql(ranks: int = 5) -> str:
     parts = []
-    for k in range(1, 6):
+    for k in range(1, ranks + 1):
         parts.append(
             f"select physical_game_id, ply_number, 'before' as side, 15 as depth, {k} as pv_rank,"
             f" 'm' || cast((cents + {k - 1}) % 7 as varchar) as uci,"
@@ -232,7 +232,7 @@ _NEEDS = {
 }
 
 
-def with_views(sql: str, views: tuple[str, ...]) -> str:
+def with_views(sql: str, views: tuple[str, ...], ranks: int = 5) -> str:
     wanted: set[str] = set()
 
     def add(name: str) -> None:
@@ -242,5 +242,6 @@ def with_views(sql: str, views: tuple[str, ...]) -> str:
 
     for view in views:
         add(view)
-    ctes = [VIEWS[name] for name in VIEWS if name in wanted]
+    texts = VIEWS | {"engine_lines": f"\nengine_lines as ({_lines_sql(ranks)})"}
+    ctes = [texts[name] for name in texts if name in wanted]
     return f"with {','.join(ctes)}\n{sql.strip()}" if ctes else sql.strip()

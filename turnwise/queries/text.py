@@ -73,15 +73,18 @@ def match_records(spark, folder) -> DataFrame:
     return games.render_text(p, ["match"], token, tags)
 
 
+_MATCHES_SQL = f"""
+  select cast(physical_game_id as bigint) as match, count(*) as plies, cast(physical_game_id as bigint) % 3 as place,
+    'f' || cast(cast(physical_game_id as bigint) % 7 as varchar) || '.pgn' as name,
+    array_to_string(list({array_sql(SAN_SAMPLES)}[1 + cents % 10] order by ply_number), ' ') as sans
+  from plies group by physical_game_id"""
+
+
 @query("pgn_category_scan", f"""
-with games as (select cast(physical_game_id as bigint) as match, count(*) as plies,
-    array_to_string(list({array_sql([x.rstrip("!?") for x in SAN_SAMPLES])}[1 + cents % 10] order by ply_number), ' ') as sans
-  from plies group by 1),
-placed as (select *, match % 3 as place, 'f' || cast(match % 7 as varchar) || '.pgn' as name from games)
 select {array_sql(list(CATEGORIES))}[1 + place] || '/' || name as source_file, 'W' || cast(match as varchar) as white,
   row_number() over (order by place, name, match) as game_id,
   row_number() over (partition by place, name order by match) as game_index, plies, md5(sans) as sans_md5
-from placed""", ("plies",))
+from ({_MATCHES_SQL})""", ("plies",))
 def pgn_category_scan(spark, folder):
     """Matches written as game files into category folders, then listed, read, parsed and numbered.
 

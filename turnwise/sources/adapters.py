@@ -90,10 +90,10 @@ def ply_columns(numbered: DataFrame) -> DataFrame:
     )
 
 
-def engine_lines(plies_df: DataFrame) -> DataFrame:
+def engine_lines(plies_df: DataFrame, ranks: int = 5) -> DataFrame:
     """Candidate lines of every ply but one in 29.
 
-    Five lines at depth 15 before the move, a depth-1 line on used plies and one
+    ``ranks`` lines at depth 15 before the move, a depth-1 line on used plies and one
     line after the move. Row-local, so a hot match stays spread.
     """
     line = (
@@ -114,7 +114,7 @@ def engine_lines(plies_df: DataFrame) -> DataFrame:
             mate=mate,
             sign=sign,
         )
-        for k in range(1, 6)
+        for k in range(1, ranks + 1)
     ]
     shallow = line.format(
         side="before", depth=1, rank=1, uci="move_stockfish_1",
