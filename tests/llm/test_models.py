@@ -98,6 +98,21 @@ def test_automaton_accepts_by_distance(edits):
         assert got == {k: distance(word, t) for k, t in enumerate(terms) if distance(word, t) <= edits}, word
 
 
+def test_lexicon_finds_all_terms_within_their_edits():
+    r = random.Random(8)
+    texts = ["stupid", "worthless", "clown", "idiot", "trash", "disgusting", "abc"]
+    lexicon = X.Lexicon([X.Term(t, False, 1.0) for t in texts])
+    for _ in range(3000):
+        word = list(r.choice(texts))
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(word) + 1)
+            word[at:at + r.randrange(2)] = r.choice(["", "x", "s", "to"])
+        word = "".join(word)
+        near = [distance(word, t) for t in texts if distance(word, t) <= X.edits_for(t)]
+        found = lexicon.find(word)
+        assert (found.edits if found else None) == (min(near) if near else None), word
+
+
 def test_quotation_weighs_less():
     lexicon = X.Lexicon([X.Term("idiot", False, 4.0), X.Term("grubl", True, 3.0)])
     plain, quoted, wrong, stem, clean = (

@@ -8,7 +8,8 @@ variants; stems match as prefixes. A hit counts in full where it stands bare, le
 misspelled, and less where the words around it mark a quotation. The weights of a document's hits
 make its evidence, and a logistic model turns evidence into a probability.
 
-Labels are learned from a bounded sample (``labelled.SAMPLE_ROWS`` documents, ``LEXICON`` terms).
+Labels are learned from a bounded sample (``labelled.SAMPLE_ROWS`` documents, ``LEXICON`` terms) from
+which near copies are taken out.
 Null and empty texts have no hits and score like any other text without hits. Long texts cost in
 proportion to their words. Without labels the lexicon is empty and every score is 0.5. Repeated rows
 score alike; an empty table gives an empty result.
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from turnwise.llm.common import fold, materialise, texts_of, unpacked, with_found
 from turnwise.llm.labelled import SAMPLE_ROWS, sample_documents
+from turnwise.llm.near_dedup import mix, shingles
 
 CUT = 0.7
 FOLDS, HELD_OUT = 3, 1
@@ -80,19 +82,46 @@ class Match:
     edits: int
 
 
+def parts_of(term: str, edits: int) -> list[str]:
+    """The term cut into one part more than edits; at least one part of a word so near is untouched."""
+    cuts = [len(term) * k // (edits + 1) for k in range(edits + 2)]
+    return [term[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class Lexicon:
-    """Tries of the terms: stems, and whole words by the number of edits they allow."""
+    """Tries of the terms: stems, and whole words by the number of edits they allow.
+
+    Before a word meets a trie, the parts of its terms are asked: only a word that starts with a first
+    part, ends with a last one or holds a middle one can be near. That spares most words the automaton.
+    """
 
     def __init__(self, terms: list[Term]):
         self.terms = terms
         self.stems = Node()
+        self.exact: dict[str, int] = {}
         self.words: dict[int, Node] = {}
+        heads: dict[int, dict[int, set[str]]] = {}
+        tails: dict[int, dict[int, set[str]]] = {}
+        middles: dict[int, set[str]] = {}
         for k, term in enumerate(terms):
-            edits = edits_for(term.text) if term.fuzzy else 0
+            edits = edits_for(term.text) if term.fuzzy and not term.stem else 0
+            if not term.stem:
+                self.exact[term.text] = k
+                if not edits:
+                    continue
+                first, *middle, last = parts_of(term.text, edits)
+                heads.setdefault(edits, {}).setdefault(len(first), set()).add(first)
+                tails.setdefault(edits, {}).setdefault(len(last), set()).add(last)
+                middles.setdefault(edits, set()).update(middle)
             node = self.stems if term.stem else self.words.setdefault(edits, Node())
             for letter in term.text:
                 node = node.next.setdefault(letter, Node())
             node.term = k
+        self.parts = {
+            e: (list(heads[e].items()), list(tails[e].items()),
+                re.compile("|".join(sorted(middles[e]))) if middles[e] else None)
+            for e in heads
+        }
         self.known: dict[str, Match | None] = {}
 
     def find(self, word: str) -> Match | None:
@@ -104,6 +133,16 @@ class Lexicon:
             found = self.known[word] = self._find(word)
         return found
 
+    def _may_be_near(self, word: str, edits: int) -> bool:
+        heads, tails, middles = self.parts[edits]
+        for n, known in heads:
+            if word[:n] in known:
+                return True
+        for n, known in tails:
+            if word[-n:] in known:
+                return True
+        return middles is not None and middles.search(word) is not None
+
     def _find(self, word: str) -> Match | None:
         node = self.stems
         for letter in word:
@@ -112,11 +151,15 @@ class Lexicon:
                 break
             if node.term >= 0:
                 return Match(node.term, 0)
+        exact = self.exact.get(word)
+        if exact is not None:
+            return Match(exact, 0)
         best: tuple[int, float, int] | None = None
         for edits, root in self.words.items():
-            for term, distance in intersect(word, root, edits):
-                rank = distance, -self.terms[term].weight, term
-                best = rank if best is None else min(best, rank)
+            if self._may_be_near(word, edits):
+                for term, distance in intersect(word, root, edits):
+                    rank = distance, -self.terms[term].weight, term
+                    best = rank if best is None else min(best, rank)
         return Match(best[2], best[0]) if best else None
 
 
@@ -291,6 +334,34 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int
     return w[:-1] / scale, float(w[-1])
 
 
+def without_copies(sample: DataFrame, sketches: int = 4) -> DataFrame:
+    """One sample document of those that share a smallest shingle under one of a few hashes.
+
+    Copies and near copies of one toxic text would make all its words look toxic. Only ids and sketches
+    of the sample, which has a bound, reach the driver.
+    """
+    def run(batches):
+        for batch in batches:
+            found = []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                own, _ = shingles((text or "").encode())
+                own = own if len(own) else np.array([k], np.uint64)
+                found.append([int(mix(own ^ np.uint64(seed)).min().view(np.int64)) for seed in range(sketches)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "sketch"])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    marked = sample.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sketch array<bigint>")
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for r in marked.groupBy("doc_id").agg(F.min("sketch").alias("sketch")).orderBy("doc_id").collect():
+        own = set(enumerate(r["sketch"]))
+        if not own & seen:
+            kept.append((r["doc_id"],))
+        seen |= own
+    chosen = sample.sparkSession.createDataFrame(kept, f"doc_id {kind}")
+    return sample.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # as many ids as the sample has
+
+
 def count_terms(sample: DataFrame) -> tuple[list[tuple[str, bool, int, int]], int, int]:
     """Document counts of candidate terms in toxic and other sample documents.
 
@@ -326,7 +397,7 @@ def count_terms(sample: DataFrame) -> tuple[list[tuple[str, bool, int, int]], in
 
 
 def without_false_friends(sample: DataFrame, terms: list[Term]) -> list[Term]:
-    """Terms whose misspellings occur in other documents at more than a tenth of their rate lose them."""
+    """Terms whose misspellings occur in more than a thousandth of the other documents lose them."""
     sent = sample.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
@@ -341,7 +412,8 @@ def without_false_friends(sample: DataFrame, terms: list[Term]) -> list[Term]:
 
     clean = sample.where("toxic = 0")
     hits = clean.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    many = {r["term"] for r in hits if 1000 * r["n"] > max(1, clean.count())}
+    least = max(1, clean.count())
+    many = {r["term"] for r in hits if 1000 * r["n"] > least}
     return [Term(t.text, t.stem, t.weight, k not in many) for k, t in enumerate(terms)]
 
 
@@ -361,7 +433,8 @@ def with_evidence(docs: DataFrame, terms: list[Term]) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, training: Column, rows: int = SAMPLE_ROWS) -> Model:
     """Lexicon and logistic model from the labelled documents where ``training`` holds."""
-    sample = materialise(sample_documents(docs, labels, "toxic", training, rows), "toxic-sample")
+    drawn = materialise(sample_documents(docs, labels, "toxic", training, rows), "toxic-drawn")
+    sample = materialise(without_copies(drawn), "toxic-sample")
     counts, n_toxic, n_other = count_terms(sample)
     terms = without_false_friends(sample, choose_terms(counts, n_toxic, n_other)) if n_toxic and n_other else []
     got = with_evidence(sample, terms).select(
