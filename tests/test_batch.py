@@ -45,11 +45,11 @@ def test_batch_without_engine(spark, root, tmp_path):
     (manifest,) = _document(f"{out}/dataset_manifest")
     summary = manifest["summary"]
     assert (summary["total_files_scanned"], summary["total_games_processed"], summary["total_moves_extracted"]) == (4, 4, 27)
-    assert manifest["engine_info"] == {"enabled": False}
+    assert manifest["engine_info"] == {"enabled": False, "engine_name": None, "depth": None}
     assert summary["total_player_games"] == 8
     assert summary["categories"]["human_games"] == {"files": 1, "games": 2, "moves": 11}
     assert summary["categories"]["engine_generated_games"] == {"files": 0, "games": 0, "moves": 0}
-    assert manifest["provenance_audit_summary"]["verified_historical_human"] == 1
+    assert manifest["provenance_audit_summary"]["verified_historical_games"] == 1
     moves = tables.move_table(spark, f"{out}/move_level_features")
     assert moves.columns == MOVE_COLUMNS and moves.count() == 27
     row = moves.filter("source_file = 'unlabeled/a.pgn' and ply_number = 2").first()
@@ -114,6 +114,8 @@ def test_training_and_prediction(spark, tmp_path):
     assert result.weights["random_forest"].count() == len(BASE_FEATURES)
     training.save(result, str(tmp_path / "m"))
     (report,) = _document(tmp_path / "m" / "model_metadata")
+    assert report["split"]["n_splits"] == 5 and report["totals"] == {"player_games": 400, "groups": 200}
+    assert report["feature_columns"] == BASE_FEATURES
     assert len(report["models"]) == 2 and len(report["cv_fold_metrics"]) == 10 and len(report["folds_summary"]) == 5
     model = models.load(str(tmp_path / "m" / "logistic_regression"))
     scored = prediction.predict(plies, adapters.engine_lines(plies), model, game="physical_game_id", played="move_player",

@@ -35,6 +35,23 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def columns_audit(df: DataFrame) -> DataFrame:
+    """The columns of a table in their order, their number, and the missing values of those that miss any."""
+    pairs = [F.struct(F.lit(c).alias("key"), F.count_if(F.col(c).isNull()).alias("value")) for c in df.columns]
+    counted = df.agg(F.array(*pairs).alias("pairs"))
+    missing = F.map_from_entries(F.filter("pairs", lambda x: x["value"] > 0))
+    return counted.select(
+        F.lit(len(df.columns)).alias("columns_count"), F.array(*map(F.lit, df.columns)).alias("columns"),
+        missing.alias("missing_values_per_column"),
+    )
+
+
+def dataset_document(plies: DataFrame, *, order: str = "half_move") -> DataFrame:
+    """The audit of a labelled table as one document: sizes, balance, columns, missing values."""
+    found = columns_audit(plies).select(F.struct("*").alias("columns")).scalar()
+    return dataset_audit(plies, order=order).select("*", found.alias("found")).select("*", "found.*").drop("found")
+
+
 def dataset_audit(plies: DataFrame, *, order: str = "half_move") -> DataFrame:
     """Size, distinct keys, used plies and class balance, in one row.
 

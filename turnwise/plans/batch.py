@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 from turnwise.operators import audit
 from turnwise.operators.enrich import enrich, with_score_text
 from turnwise.operators.profile import profile
-from turnwise.schemas import CATEGORIES, ENGINE_LINES, MOVE_COLUMNS, PROFILE_COLUMNS
+from turnwise.schemas import (
+    BASE_PLY_COLUMNS,
+    CATEGORIES,
+    ENGINE_COLUMNS,
+    ENGINE_LINES,
+    MOVE_COLUMNS,
+    PROFILE_COLUMNS,
+)
 from turnwise.session import materialise
 from turnwise.sources import games as G
 from turnwise.sources import sinks
@@ -20,6 +27,16 @@ from turnwise.sources import sinks
 POSITION_COLUMNS = {"uci": "string", "fen_before": "string", "legal_moves_count": "int", "game_phase": "string"}
 VERSION = "2.0.0"
 NO_RECORDS = "no parseable game found"
+# Names of the published provenance totals, and the published remark.
+PROVENANCE_TOTALS = {
+    "verified_historical_games": "verified_historical_human",
+    "illustrative_unverified_engine_games": "illustrative_engine_demonstration_unverified",
+    "synthetic_demonstration_games": "synthetic_programmatic_demonstration",
+}
+READINESS = (
+    "Demonstration pipeline only. Not suitable for training machine learning models or claiming human/AI"
+    " discrimination without ingesting a verified, balanced research corpus."
+)
 
 
 @dataclass(frozen=True)
@@ -39,6 +56,7 @@ def run(
     lines: DataFrame | None = None,
     categories: Sequence[str] = CATEGORIES,
     max_games_per_file: int | None = None,
+    engine_name: str | None = None,
 ) -> BatchResult:
     """Build all tables of a batch.
 
@@ -68,7 +86,9 @@ def run(
         lines = plies.limit(0).select(
             *key, *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
         )
-    moves = materialise(with_score_text(enrich(plies, lines, keys=key)).select("game_index", *MOVE_COLUMNS), "moves")
+    moves = materialise(with_score_text(enrich(plies, lines, keys=key)).select(
+        "game_index", *MOVE_COLUMNS, "engine_best_move_depth1"
+    ), "moves")
     profiles = profile(moves, rounded=True).select(*PROFILE_COLUMNS)
     seen = parsed.select("source_file", "source_category").distinct()
     listed = G.list_categories(spark, root, categories)
@@ -86,12 +106,14 @@ def run(
         F.coalesce("moves_extracted", zero).alias("moves_extracted"),
         audit.provenance("source_file").alias("provenance_audit"),
     )
-    document = manifest(files, profiles, listed, categories, engine=with_engine)
+    depth = lines.agg(F.max("depth")).first()[0] if with_engine else None
+    document = manifest(files, profiles, listed, categories, engine=with_engine, engine_name=engine_name, depth=depth)
     return BatchResult(moves, profiles, bad, files, document)
 
 
 def manifest(files: DataFrame, profiles: DataFrame, listed: DataFrame, categories: Sequence[str] = CATEGORIES, *,
-             engine: bool = False) -> DataFrame:
+             engine: bool = False, engine_name: str | None = None, depth: int | None = None,
+             outputs: dict[str, str] | None = None) -> DataFrame:
     """Totals per category and provenance status, in one row of nested columns.
 
     Lists of files and rejects are tables of their own: they grow with the data.
@@ -112,10 +134,8 @@ def manifest(files: DataFrame, profiles: DataFrame, listed: DataFrame, categorie
         for c in categories
     ]
     status = F.col("provenance_audit.provenance_status")
-    by_status = [
-        F.count_if(status == s).alias(s)
-        for s in dict.fromkeys([r[1] for r in audit.PROVENANCE_RULES] + [audit.PROVENANCE_DEFAULT[0]])
-    ]
+    by_status = [F.count_if(status == s).alias(name) for name, s in PROVENANCE_TOTALS.items()]
+    by_status.append(F.lit(READINESS).alias("research_readiness"))
     return files.agg(
         F.struct(
             total("games_processed").alias("total_games_processed"),
@@ -126,18 +146,28 @@ def manifest(files: DataFrame, profiles: DataFrame, listed: DataFrame, categorie
     ).select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("generated_at"),
         F.lit(VERSION).alias("pipeline_version"),
-        F.struct(F.lit(engine).alias("enabled")).alias("engine_info"),
+        F.struct(
+            F.lit(engine).alias("enabled"), F.lit(engine_name).cast("string").alias("engine_name"),
+            F.lit(depth).cast("int").alias("depth"),
+        ).alias("engine_info"),
         F.col("summary").withField("total_files_scanned", rows(listed)).withField(
             "total_player_games", rows(profiles)
         ).alias("summary"),
         "provenance_audit_summary",
+        F.struct(*[F.lit(path).alias(n) for n, path in (outputs or {"move_level_csv": None}).items()]).alias("outputs"),
     )
 
 
 def write(result: BatchResult, output: str) -> None:
-    """Write the two CSV tables, the manifest document and its file and reject lists."""
+    """Write the CSV tables (moves, profiles, base plies and their enriched copy), the manifest document and
+    its file and reject lists."""
     sinks.write_csv(result.moves, f"{output}/move_level_features", MOVE_COLUMNS)
+    base = f"{output}/base_features"
+    sinks.write_csv(result.moves, base, BASE_PLY_COLUMNS)
+    sinks.write_csv(result.moves, sinks.engine_output_path(base), [*BASE_PLY_COLUMNS, *ENGINE_COLUMNS])
     sinks.write_csv(result.profiles, f"{output}/player_game_features", PROFILE_COLUMNS)
-    sinks.write_document(result.manifest, f"{output}/dataset_manifest")
+    paths = {"move_level_csv": f"{output}/move_level_features", "player_game_csv": f"{output}/player_game_features"}
+    named = F.struct(*[F.lit(path).alias(n) for n, path in paths.items()])
+    sinks.write_document(result.manifest.withColumn("outputs", named), f"{output}/dataset_manifest")
     sinks.write_document(result.files, f"{output}/files_processed")
     sinks.write_document(result.rejects, f"{output}/skipped_and_errors")

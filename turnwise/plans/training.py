@@ -27,6 +27,10 @@ class TrainingResult:
     balance: DataFrame
     models: dict[str, PipelineModel]
     weights: dict[str, DataFrame]
+    totals: DataFrame
+    columns: tuple[str, ...]
+    n_folds: int
+    seed: int
 
 
 def train(plies: DataFrame, *, order: str = "half_move", complexity: bool = False, n_folds: int = 5,
@@ -46,7 +50,8 @@ def train(plies: DataFrame, *, order: str = "half_move", complexity: bool = Fals
     fitted = {s.name: models.fit(table, s) for s in specs}
     weights = {n: models.importances(m, columns, table.sparkSession) for n, m in fitted.items()}
     return TrainingResult(
-        pooled, per_fold, folds.fold_summary(groups, GROUP), audit.class_balance(table, LABEL), fitted, weights
+        pooled, per_fold, folds.fold_summary(groups, GROUP), audit.class_balance(table, LABEL), fitted, weights,
+        table.agg(F.count(F.lit(1)).alias("player_games"), F.count_distinct(GROUP).alias("groups")), columns, n_folds, seed,
     )
 
 
@@ -64,8 +69,14 @@ def report(result: TrainingResult) -> DataFrame:
     def packed(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
 
+    split = F.struct(
+        F.lit(f"stratified folds of whole groups by {GROUP}, {result.n_folds} folds").alias("strategy"),
+        F.lit(result.seed).alias("random_state"), F.lit(result.n_folds).alias("n_splits"),
+    )
     out = result.balance.select(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"), split.alias("split"),
+        result.totals.select(F.struct("*").alias("t")).scalar().alias("totals"),
+        F.array(*map(F.lit, result.columns)).alias("feature_columns"),
         F.struct(*result.balance.columns).alias("class_balance"),
     )
     parts = {"models": result.pooled, "cv_fold_metrics": result.per_fold, "folds_summary": result.folds}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from turnwise.operators.features import benchmark_features
 from turnwise.operators.profile import profile
 from turnwise.plans.eda import CORRELATED
 from turnwise.queries.registry import PLAYER, enriched, plies, query, rounded, sql_r6
-from turnwise.schemas import BASE_FEATURES
-from turnwise.session import materialise
+from turnwise.schemas import BASE_FEATURES, MOVE_COLUMNS, MOVE_TABLE
+from turnwise.session import materialise, scratch_folder
+from turnwise.sources import sinks, tables
 from turnwise.sources.adapters import table
 
 
@@ -50,6 +52,52 @@ def missing_report(spark, folder):
     return rounded(audit.missing_report(plies(spark, folder), _NULLABLE), "missing_pct")
 
 
+@query("dataset_columns", f"""
+select {len(_NULLABLE)} as columns_count, '{",".join(_NULLABLE)}' as columns, string_agg(c || '=' || n, ',' order by c) as missing from (
+  {' union all '.join(f"select '{c}' as c, count(*) - count({c}) as n from plies" for c in _NULLABLE)}) where n > 0""", ("plies",))
+def dataset_columns(spark, folder):
+    """The column part of the audit document of a labelled table."""
+    found = audit.dataset_document(plies(spark, folder).select(*_NULLABLE), order="ply_number")
+    shown = F.transform(F.array_sort(F.map_keys("missing_values_per_column")),
+                        lambda k: F.concat(k, F.lit("="), F.element_at("missing_values_per_column", k).cast("string")))
+    return found.select("columns_count", F.array_join("columns", ",").alias("columns"), F.array_join(shown, ",").alias("missing"))
+
+
+@query("csv_roundtrip", """
+select cast(physical_game_id as int) as game_id, ply_number, nullif(player_elo, '') as player_elo, centipawn_loss,
+  played_move_rank_top5, is_engine_eval_missing, 'a "b", c' as event from enriched""", ("enriched",))
+def csv_roundtrip(spark, folder):
+    """The move table written as fixed-column CSV and read back with its types; empty text is missing."""
+    own = enriched(spark, folder).withColumns({"game_id": F.col("physical_game_id").cast("int"), "event": F.lit('a "b", c')})
+    moves = own.select(*[
+        (F.col(f.name) if f.name in own.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in MOVE_TABLE.fields
+    ])
+    path = f"{scratch_folder(spark)}/csv-{uuid.uuid4().hex}"
+    sinks.write_csv(moves, path, MOVE_COLUMNS)
+    return tables.move_table(spark, path).select(
+        "game_id", F.col("ply_number").cast("bigint").alias("ply_number"), "player_elo", F.col("centipawn_loss").cast("bigint").alias("centipawn_loss"),
+        "played_move_rank_top5", "is_engine_eval_missing", "event",
+    )
+
+
+@query("document_roundtrip", """
+select n_nationkey as category, 'f' || cast(s_suppkey as varchar) as file, cast(s_suppkey * 3 as bigint) as moves, s_name as status, 'n' || cast(s_nationkey as varchar) as authenticity
+from supplier join nation on s_nationkey = n_nationkey""")
+def document_roundtrip(spark, folder):
+    """Documents of nested arrays, one per nation, written as JSON and flattened again."""
+    one = table(spark, folder, "supplier").select("s_nationkey", F.struct(
+        F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("file"), F.col("s_nationkey").cast("string").alias("category"),
+        (F.col("s_suppkey") * 3).cast("bigint").alias("moves_extracted"),
+        F.struct(F.col("s_name").alias("provenance_status"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("authenticity")).alias("provenance_audit"),
+    ).alias("f"))
+    path = f"{scratch_folder(spark)}/documents-{uuid.uuid4().hex}"
+    sinks.write_document(one.groupBy("s_nationkey").agg(F.collect_list("f").alias("files_processed")).drop("s_nationkey"), path)
+    return tables.document(spark, path, tables.MANIFEST_FILES).select(F.explode("files_processed").alias("f")).select(
+        F.col("f.category").cast("int").alias("category"), "f.file", F.col("f.moves_extracted").alias("moves"),
+        F.col("f.provenance_audit.provenance_status").alias("status"), F.col("f.provenance_audit.authenticity").alias("authenticity"),
+    )
+
+
 @query("duplicate_keys", """
 select 'doc text' as what, cast(sum(n - 1) as bigint) as duplicates from (select count(*) as n from documents group by text)
 union all select 'order line', cast(sum(n - 1) as bigint) from (select count(*) as n from lineitem group by l_orderkey, l_linenumber)""")

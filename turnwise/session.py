@@ -59,9 +59,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage and survives lost executors. Used where a frame feeds many
-    jobs, such as the fits of a cross validation.
+    jobs, such as the fits of a cross validation. The table goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    written = jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(written)
     return spark.read.schema(df.schema).parquet(path)

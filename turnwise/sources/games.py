@@ -163,12 +163,15 @@ def scan_categories(spark: SparkSession, root: str, categories: Sequence[str] =
 
 
 def list_categories(spark: SparkSession, root: str, categories: Sequence[str] = CATEGORIES) -> DataFrame:
-    """Every game file below the category folders, also those without any record. Reads no content.
+    """Every game file below the category folders, also empty ones. Reads no content.
 
-    Spark's file sources leave out files of zero length.
+    The file system lists them, as it does for any scan; Spark's own sources leave out empty files.
     """
-    found = spark.read.format("binaryFile").load(_category_glob(root, categories)).select("path")
-    return found.select(*_relative("path"))
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(_category_glob(root, categories))
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [(f.getPath().toUri().getRawPath(),) for f in files.globStatus(pattern) or []]
+    return spark.createDataFrame(found, "path string").select(*_relative("path"))
 
 
 def _category_glob(root: str, categories: Sequence[str]) -> str:
