@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.operators.quantiles import exact_quantiles
@@ -60,31 +60,70 @@ def standardise(df: DataFrame, scale: dict[str, tuple[float, float]]) -> DataFra
     return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in scale.items()})
 
 
-def fit(train: DataFrame, spec: Spec) -> PipelineModel:
+@dataclass(frozen=True)
+class Preparation:
+    """Medians, moments of the filled features, and row count of a training set."""
+
+    fill: dict[str, float]
+    scale: dict[str, tuple[float, float]]
+    rows: int
+
+
+def prepare(train: DataFrame, features: Sequence[str]) -> Preparation:
+    fill = medians(train, features)
+    filled = impute(train.select(*features), fill)
+    return Preparation(fill, moments(filled, features), train.count())
+
+
+def prepare_folds(table: DataFrame, features: Sequence[str], folds: int) -> list[Preparation]:
+    """The preparation of every fold's training rows, all in one set of passes over the table."""
+    def outside(k: int, value: Column) -> Column:
+        return F.when(F.col("fold") != k, value)
+
+    names = {(k, c): f"{c}__{k}" for k in range(folds) for c in features}
+    spread = table.select(*[outside(k, F.col(c).cast("double")).alias(n) for (k, c), n in names.items()])
+    found = medians(spread, list(names.values()))
+    filled = {(k, c): outside(k, F.coalesce(F.col(c).cast("double"), F.lit(found[n]))) for (k, c), n in names.items()}
+    row = table.agg(
+        *[F.avg(v).alias(f"m_{names[at]}") for at, v in filled.items()],
+        *[F.stddev_pop(v).alias(f"s_{names[at]}") for at, v in filled.items()],
+        *[F.count_if(F.col("fold") != k).alias(f"n_{k}") for k in range(folds)],
+    ).first()
+    return [
+        Preparation(
+            {c: found[names[k, c]] for c in features},
+            {c: (row[f"m_{names[k, c]}"] or 0.0, row[f"s_{names[k, c]}"] or 1.0) for c in features},
+            row[f"n_{k}"],
+        )
+        for k in range(folds)
+    ]
+
+
+def fit(train: DataFrame, spec: Spec, preparation: Preparation | None = None) -> PipelineModel:
     """Fit on ``train``; imputation and scaling parameters come from it alone.
 
-    The fitted preprocessing is one SQL projection with literal parameters.
+    ``preparation`` holds them if they are known already. The fitted preprocessing is one SQL
+    projection with literal parameters.
     """
     features = list(spec.features)
     check_features(features)
-    fill = medians(train, features)
-    filled = impute(train.select(*features, spec.label), fill)
+    known = preparation or prepare(train, features)
+    fill, scale = known.fill, known.scale
     prepared = {c: f"coalesce(cast({c} as double), {fill[c]!r}D)" for c in features}
     if spec.kind == "logistic_regression":
-        scale = moments(filled, features)
         prepared = {c: f"(({e}) - {scale[c][0]!r}D) / {scale[c][1]!r}D" for c, e in prepared.items()}
     columns = ", ".join(f"{e} AS prepared_{c}" for c, e in prepared.items())
     project = SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__")
     assemble = VectorAssembler(inputCols=[f"prepared_{c}" for c in features], outputCol=VECTOR)
     vectors = assemble.transform(project.transform(train)).select(VECTOR, spec.label)
-    return PipelineModel([project, assemble, _estimator(spec, train).fit(vectors)])
+    return PipelineModel([project, assemble, _estimator(spec, known.rows).fit(vectors)])
 
 
-def _estimator(spec: Spec, train: DataFrame):
+def _estimator(spec: Spec, rows: int):
     shared = {"featuresCol": VECTOR, "labelCol": spec.label}
     if spec.kind == "logistic_regression":
         # Spark averages the loss over rows; the penalty must shrink with them
-        rows = max(train.count(), 1)
+        rows = max(rows, 1)
         return LogisticRegression(
             maxIter=MAX_ITER, regParam=1.0 / (INVERSE_REGULARISATION * rows), elasticNetParam=0.0,
             standardization=False, **shared,

@@ -55,16 +55,18 @@ def scratch_folder(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage and survives lost executors. Used where a frame feeds many
-    jobs, such as the fits of a cross validation. The table goes when the driver ends.
+    jobs, such as the fits of a cross validation; a filter on ``partition_by`` then reads
+    only its part. The table goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
     jvm = spark.sparkContext._jvm
     written = jvm.org.apache.hadoop.fs.Path(path)
     written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(written)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
