@@ -80,6 +80,31 @@ def test_one_row_of_each_class_stays(docs, spark):
     assert N.one_per_class(docs([])).count() == 0 and N.near_duplicates(docs([])).count() == 0
 
 
+def shared_ids(spark):
+    """Two unrelated texts and their near copies under one id, two such without any id, and a text with an id of its own."""
+    words = lambda c: [f"{c}{k}" for k in range(60)]
+    near = lambda c: " ".join([*words(c)[:-1], "end"])
+    rows = [(1, " ".join(words("a"))), (1, " ".join(words("b"))), (2, near("a")), (3, near("b")),
+            (None, " ".join(words("c"))), (None, near("c")), (None, " ".join(words("d"))), (4, near("d")),
+            (None, "lone text of six words here"), (None, None), (None, None), (5, " ".join(words("e")))]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_classes_under_repeated_and_missing_ids(spark):
+    got = {}
+    for r in N.near_duplicates(shared_ids(spark)).where("class_root is not null").collect():
+        got.setdefault(r.class_root, []).append((r.doc_id, r.class_id))
+    members = sorted(sorted(v, key=str) for v in got.values() if v[0][1] is not None)
+    assert members == [[(1, 1), (2, 1)], [(1, 1), (3, 1)], [(4, 4), (None, 4)], [(5, 5)]]
+    assert sorted(v for v in got.values() if v[0][1] is None) == [[(None, None)], [(None, None), (None, None)]]
+
+
+def test_rows_under_repeated_and_missing_ids_stay(spark):
+    kept = [(r.doc_id, r.text and r.text[:2]) for r in N.one_per_class(shared_ids(spark)).collect()]
+    assert sorted(kept, key=str) == sorted(
+        [(1, "a0"), (1, "b0"), (4, "d0"), (5, "e0"), (None, "c0"), (None, "lo"), (None, None), (None, None)], key=str)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edge = lambda a, b: (bytes([a]), bytes([b]))
     edges = [edge(k, k + 1) for k in range(1, 9)] + [edge(40, k) for k in range(20, 30)] + [edge(5, 5)]

@@ -16,8 +16,11 @@ must share one (prefix filter). So no two near texts of a bucket stay in differe
 group of near copies costs one comparison each. Links merge to classes by alternating star rounds.
 
 Texts without words are near only to equal texts; null texts form a class each. Repeated rows and
-equal texts share a class. The class id is the smallest doc_id of the class. Empty tables give empty
-results; extra columns pass through ``one_per_class`` untouched.
+equal texts share a class. A class is named by its root, the smallest node in it, whatever its ids:
+different texts under one doc_id, or under none, keep apart unless they are near. The class id is the
+smallest doc_id of the class, missing if all its rows lack one, so unrelated classes may have the same;
+``class_root`` tells them apart. Empty tables give empty results; extra columns pass through
+``one_per_class`` untouched.
 """
 
 from __future__ import annotations
@@ -277,7 +280,10 @@ def links(docs: DataFrame, marks: DataFrame, threshold: float = THRESHOLD) -> Da
     ).distinct()
     wanted = members.select("node", "doc_id").distinct()
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", node(), "text")
-    sources = materialise(texts.join(wanted, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    # with the id in the key, copies of a hot text don't meet in one task
+    own = wanted.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"))
+    same = texts.join(own, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sources = materialise(same.dropDuplicates(["node"]).select("node", "text"), "texts")
     first = materialise(near(to_head, sources, threshold), "near")
 
     # buckets that still hold several components: their members outside the head's component are odd
@@ -323,33 +329,37 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """node and the class id of every distinct text."""
+    """node, its smallest doc_id, the root that names its class, and the class id, for every distinct text."""
     marks = materialise(signed(docs), "signed")
     roots = components(links(docs, marks, threshold))
     ids = marks.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     rooted = ids.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return materialise(rooted.join(best, "root").select("node", "doc_id", "class_id"), "classes")
+    return materialise(rooted.join(best, "root").select("node", "doc_id", "root", "class_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and class_id of every row."""
+    """doc_id, class_id and class_root of every row; a row with null text has no root and is a class of its own."""
     own = docs.select("doc_id", "text")
-    found = classes(own, threshold).select("node", "class_id")
+    found = classes(own, threshold).select("node", "class_id", F.lower(F.hex("root")).alias("class_root"))
     rows = own.select("doc_id", F.when(F.col("text").isNotNull(), F.unhex(F.md5(F.col("text").cast("binary")))).alias("node"))
-    return rows.join(found, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return rows.join(found, "node", "left").select(
+        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_root"
+    )
 
 
 def one_per_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that stay: of every class the row with the smallest doc_id, and all rows with null text.
 
-    Of several rows with that doc_id and text one stays.
+    Of several rows with that doc_id and text one stays; of a class without any doc_id, a row of its smallest node.
     """
     own = docs.select("doc_id", "text")
     found = classes(own, threshold)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("_node"))
-    keep = keep.select(F.col("class_id").alias("_keep"), "_node")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(
+        F.min(F.struct("node", "doc_id")).alias("kept")
+    )
+    keep = keep.select(F.col("kept.doc_id").alias("_keep"), F.col("kept.node").alias("_node"))
     marked = docs.withColumn("_own", F.unhex(F.md5(F.col("text").cast("binary"))))
-    kept = marked.join(keep, (F.col("doc_id") == F.col("_keep")) & (F.col("_own") == F.col("_node")), "left_semi")
+    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_own") == F.col("_node")), "left_semi")
     first = kept.dropDuplicates(["doc_id", "_own"])
     return first.unionByName(marked.where(F.col("text").isNull())).select(*docs.columns)
