@@ -225,6 +225,44 @@ def test_base_scores_match_brute_force(docs, odd_texts, monkeypatch):
 
 
 @needs_data
+def test_word_order_counts(docs, monkeypatch):
+    monkeypatch.setattr(L, "CHUNK_BYTES", 4000)
+    r = random.Random(3)
+    names = [f"{a}{b}" for a in ("ka", "мо", "te", "12") for b in ("lo", "ри", "su", "34")]
+    follows = {w: r.sample(names, 2) for w in names}
+
+    def walk():
+        out = [r.choice(names)]
+        while len(out) < 40:
+            out.append(r.choice(follows[out[-1]]))
+        return out
+
+    texts = [walk() for _ in range(120)]
+    mixed_up = [r.sample(t, len(t)) for t in texts]
+    frame = docs([" ".join(t) for t in texts])
+    both = frame.unionByName(docs([" ".join(t) for t in mixed_up], first=1000).where(
+        F.crc32(F.col("doc_id").cast("string")) % L.FOLDS == L.HELD_OUT))
+    got = L.score_documents(both).where("held_out").groupBy((F.col("doc_id") >= 1000).alias("mixed")).agg(
+        (F.sum("score") / F.sum("n_tokens")).alias("s")).collect()
+    score = {x.mixed: x.s for x in got}
+    assert score[False] > score[True] + 0.3
+
+
+def test_word_grams_match_brute_force(docs):
+    texts = ["a b a b c", "A  b\tc", "", None, "a b a", "é a b"]
+    grams, contexts = L.word_gram_counts(docs(texts))
+    n, total, kinds = Counter(), Counter(), {}
+    for t in texts:
+        w = ["<s>", "<s>", *(t or "").lower().split(), "</s>"]
+        for i in range(2, len(w)):
+            for k in (1, 2):
+                n[tuple(w[i - k:i + 1])] += 1
+                total[tuple(w[i - k:i])] += 1
+                kinds.setdefault(tuple(w[i - k:i]), set()).add(w[i])
+    assert sorted(x.n for x in grams.collect()) == sorted(n.values())
+    assert sorted((x.total, x.kinds) for x in contexts.collect()) == sorted((total[c], len(k)) for c, k in kinds.items())
+
+
 def test_model_beats_the_base_on_held_out_documents(spark):
     larger = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     sums = L.score_documents(larger).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
