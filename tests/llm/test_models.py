@@ -113,6 +113,29 @@ def test_lexicon_finds_all_terms_within_their_edits():
         assert (found.edits if found else None) == (min(near) if near else None), word
 
 
+def test_terms_with_false_friends_and_short_terms_match_misspelled(spark, docs):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abdefhikpqtvwxyz") for _ in range(r.randint(3, 7)))
+    made = []
+    for k in range(400):
+        words = [word() for _ in range(30)]
+        for at in r.sample(range(30), 3):
+            words[at] = r.choice(["moron", "scum"]) if k % 4 == 0 else "oron" if k % 8 == 1 else words[at]
+        made.append(" ".join(words))
+    tests = ["aa morom bb morron cc moronn dd", "aa scumm bb scim cc scam dd", "aa oron bb oron cc oron dd"]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    rows = {x.doc_id: x.predicted for x in X.predictions(docs([*made, *tests]), labels).collect()}
+    assert [rows[400 + k] for k in range(3)] == [1, 1, 0]
+
+
+def test_words_of_a_stem_keep_their_misspellings():
+    counts = [("grubl", True, 60, 0), ("grublfex", False, 20, 0), ("grublomat", False, 20, 0), ("grublen", False, 5, 0)]
+    lexicon = X.Lexicon(X.choose_terms(counts, 100, 900))
+    assert lexicon.terms[lexicon.find("grublfex").term].stem and lexicon.find("grublfex").edits == 0
+    assert [lexicon.find(w).edits for w in ("grbulomat", "gublfex", "gublen")] == [2, 1, 1]
+    assert lexicon.find("gruxxlen") is None
+
+
 def test_quotation_weighs_less():
     lexicon = X.Lexicon([X.Term("idiot", False, 4.0), X.Term("grubl", True, 3.0)])
     plain, quoted, wrong, stem, clean = (

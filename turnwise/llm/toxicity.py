@@ -4,7 +4,8 @@ The lexicon is learned from labelled documents: whole words and stems that are f
 toxic than in other documents, by the likelihood ratio of their document counts. It lies in tries. A
 Levenshtein automaton of a document's word (bit-parallel states) is intersected with the trie of
 whole words, so that a misspelling within the distance a term allows is found without listing its
-variants; stems match as prefixes. A hit counts in full where it stands bare, less where it is
+variants; stems match as prefixes, and the words a stem covers stay beside it for their misspellings.
+Words of other documents that are near a term by chance are listed and match none. A hit counts in full where it stands bare, less where it is
 misspelled, and less where the words around it mark a quotation. The weights of a document's hits
 make its evidence, and a logistic model turns evidence into a probability.
 
@@ -40,10 +41,12 @@ MIN_DOCS, MIN_RATIO = 3, 6.0
 MIN_G2 = 20.0
 STEM_FROM, STEM_TO = 4, 9
 #: Edits allowed for a whole word of at least so many letters.
-EDITS = ((9, 2), (5, 1))
+EDITS = ((9, 2), (4, 1))
 FUZZY, QUOTED = 0.6, 0.25
 CONTEXT = 8
 REMEMBERED = 400_000
+#: Words near a term that are kept as false friends, the most frequent ones.
+FALSE_FRIENDS = 50_000
 #: Marks that open or close a quotation, and words that report one.
 QUOTES = "\"“”„«»‘’"
 REPORTING = frozenset(
@@ -67,7 +70,6 @@ class Term:
     text: str
     stem: bool
     weight: float
-    fuzzy: bool = True
 
 
 @dataclass
@@ -95,8 +97,9 @@ class Lexicon:
     part, ends with a last one or holds a middle one can be near. That spares most words the automaton.
     """
 
-    def __init__(self, terms: list[Term]):
+    def __init__(self, terms: list[Term], friends: frozenset[str] = frozenset()):
         self.terms = terms
+        self.friends = friends
         self.stems = Node()
         self.exact: dict[str, int] = {}
         self.words: dict[int, Node] = {}
@@ -104,7 +107,7 @@ class Lexicon:
         tails: dict[int, dict[int, set[str]]] = {}
         middles: dict[int, set[str]] = {}
         for k, term in enumerate(terms):
-            edits = edits_for(term.text) if term.fuzzy and not term.stem else 0
+            edits = edits_for(term.text) if not term.stem else 0
             if not term.stem:
                 self.exact[term.text] = k
                 if not edits:
@@ -154,6 +157,8 @@ class Lexicon:
         exact = self.exact.get(word)
         if exact is not None:
             return Match(exact, 0)
+        if word in self.friends:
+            return None
         best: tuple[int, float, int] | None = None
         for edits, root in self.words.items():
             if self._may_be_near(word, edits):
@@ -249,11 +254,13 @@ def terms_of(text: bytes) -> set[tuple[str, bool]]:
 
 
 def choose_terms(counts: list[tuple[str, bool, int, int]], n_toxic: int, n_other: int) -> list[Term]:
-    """The lexicon from document counts, strongest first; a stem and the words it covers exclude each other.
+    """The lexicon from document counts, strongest first, and then the words that its stems cover.
 
-    A stem must say more than its most frequent word does, or it is left to the word.
+    A stem must say more than its most frequent word does, or it is left to the word. A covered word stands
+    for its misspellings only; the stem's likelihood ratio counts for it, and the bound is for the terms.
     """
     kept = []
+    words: list[tuple[str, float]] = []
     top: dict[str, int] = {}
     for text, stem, toxic, _ in counts:
         if not stem:
@@ -263,10 +270,12 @@ def choose_terms(counts: list[tuple[str, bool, int, int]], n_toxic: int, n_other
         weight = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((other + 0.5) / (n_other + 1))
         if toxic < MIN_DOCS or weight < math.log(MIN_RATIO) or stem and 2 * toxic < 3 * top.get(text, 0):
             continue
+        if not stem:
+            words.append((text, weight))
         strength = likelihood_ratio(toxic, other, n_toxic, n_other)
         if strength >= MIN_G2:
             kept.append((strength, text, stem, weight))
-    stems: set[str] = set()
+    stems: dict[str, float] = {}
     prefixes: set[str] = set()
     out: list[Term] = []
     for _, text, stem, weight in sorted(kept, key=lambda x: (-x[0], x[1], x[2])):
@@ -276,15 +285,20 @@ def choose_terms(counts: list[tuple[str, bool, int, int]], n_toxic: int, n_other
         out.append(Term(text, stem, min(weight, 8.0)))
         prefixes.update(own)
         if stem:
-            stems.add(text)
+            stems[text] = weight
         if len(out) == LEXICON:
             break
+    for text, weight in sorted(words):
+        stem = next((text[:k] for k in range(STEM_FROM, len(text) + 1) if text[:k] in stems), None)
+        if stem is not None:
+            out.append(Term(text, False, min(weight, stems[stem], 8.0)))
     return out
 
 
 @dataclass(frozen=True)
 class Model:
     terms: list[Term]
+    friends: frozenset[str]
     weights: np.ndarray
     bias: float
 
@@ -396,32 +410,40 @@ def count_terms(sample: DataFrame) -> tuple[list[tuple[str, bool, int, int]], in
     return [(t, s, n, other.get((t, s), 0)) for (t, s), n in known.items()], n_toxic, n_other
 
 
-def without_false_friends(sample: DataFrame, terms: list[Term]) -> list[Term]:
-    """Terms whose misspellings occur in more than a thousandth of the other documents lose them."""
+def false_friends(sample: DataFrame, terms: list[Term], n_toxic: int, n_other: int) -> frozenset[str]:
+    """Words near a term that enough other documents hold and that aren't much more frequent in toxic ones.
+
+    They match no term; all other misspellings of the terms still do.
+    """
     sent = sample.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
         lexicon = Lexicon(sent.value)
         for batch in batches:
             seen: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                found = (lexicon.find(w) for w in set(tokens((text or "").encode())))
-                seen.update({m.term for m in found if m is not None and m.edits})
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())],
-                                             ["term", "n"])
-
-    clean = sample.where("toxic = 0")
-    hits = clean.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    least = max(1, clean.count())
-    many = {r["term"] for r in hits if 1000 * r["n"] > least}
-    return [Term(t.text, t.stem, t.weight, k not in many) for k, t in enumerate(terms)]
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for word in set(tokens((text or "").encode())):
+                    match = lexicon.find(word)
+                    if match is not None and match.edits:
+                        seen[word, toxic] += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w for w, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.int32()),
+                 pa.array(list(seen.values()), pa.int64())], ["word", "toxic", "n"])
+
+    found = sample.select(F.col("toxic").cast("int"), "text").mapInArrow(run, "word string, toxic int, n long")
+    split = lambda t: F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias(f"n{t}")
+    counts = found.groupBy("word").agg(split(0), split(1)).where(
+        (F.col("n0") >= MIN_DOCS)
+        & ((F.col("n1") + 0.5) / (n_toxic + 1) < MIN_RATIO * (F.col("n0") + 0.5) / (n_other + 1))
+    )
+    return frozenset(r["word"] for r in counts.orderBy(F.desc("n0"), "word").limit(FALSE_FRIENDS).collect())
 
 
-def with_evidence(docs: DataFrame, terms: list[Term]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+def with_evidence(docs: DataFrame, terms: list[Term], friends: frozenset[str]) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((terms, friends))
 
     def make():
-        lexicon = Lexicon(sent.value)
+        lexicon = Lexicon(*sent.value)
 
         def work(rows: pa.StructArray) -> pa.Array:
             return pa.array([evidence(t, lexicon) for t in texts_of(rows)], pa.list_(pa.float64()))
@@ -436,13 +458,14 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, rows: int = SAMP
     drawn = materialise(sample_documents(docs, labels, "toxic", training, rows), "toxic-drawn")
     sample = materialise(without_copies(drawn), "toxic-sample")
     counts, n_toxic, n_other = count_terms(sample)
-    terms = without_false_friends(sample, choose_terms(counts, n_toxic, n_other)) if n_toxic and n_other else []
-    got = with_evidence(sample, terms).select(
+    terms = choose_terms(counts, n_toxic, n_other) if n_toxic and n_other else []
+    friends = false_friends(sample, terms, n_toxic, n_other) if terms else frozenset()
+    got = with_evidence(sample, terms, friends).select(
         F.col("row.doc_id").alias("i"), F.col("row.toxic").alias("y"), F.col("found").alias("x")
     ).groupBy("i", "y").agg(F.min("x").alias("x")).orderBy("i").collect()
     x = np.array([r["x"] for r in got], float).reshape(-1, len(FEATURES))
     weights, bias = fit_logistic(x, np.array([r["y"] for r in got], float))
-    return Model(terms, weights, bias)
+    return Model(terms, friends, weights, bias)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -451,7 +474,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def make():
         own = sent.value
-        lexicon = Lexicon(own.terms)
+        lexicon = Lexicon(own.terms, own.friends)
 
         def work(rows: pa.StructArray) -> pa.Array:
             x = np.array([evidence(t, lexicon) for t in texts_of(rows)], float).reshape(-1, len(FEATURES))
