@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from turnwise.llm import (
+    byte_bpe,
+    centroids,
     decontamination,
+    fill_middle,
     html_text,
     language_id,
     lm_scoring,
@@ -20,7 +23,7 @@ from turnwise.llm import (
     toxicity,
 )
 from turnwise.llm import sql as S
-from turnwise.llm.common import documents
+from turnwise.llm.common import bounded_batches, documents
 from turnwise.session import tune
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +33,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
     def register(fn: Run) -> Run:
-        QUERIES[name] = lambda spark, folder: fn(tune(spark), folder)
+        QUERIES[name] = lambda spark, folder: fn(bounded_batches(tune(spark)), folder)
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -87,3 +90,19 @@ def op4(spark, folder):
 @query("op10_html_extraction")
 def op10(spark, folder):
     return html_text.main_texts(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+@query("op11_centroid_clustering", S.CLUSTERING)
+def op11(spark, folder):
+    return centroids.clustering(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@query("op12_fill_in_middle", S.FILL_IN_MIDDLE)
+def op12(spark, folder):
+    return fill_middle.digests(documents(spark, folder))
+
+
+@query("op13_byte_bpe")
+def op13(spark, folder):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digests(documents(spark, folder), path, public_tokenizers.PATTERN)

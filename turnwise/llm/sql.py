@@ -47,3 +47,46 @@ select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0) as
   cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(joined, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
 from d left join words_hit using (r) left join items using (r)"""
+
+
+def _clustering(rounds: int = 10) -> str:
+    """The rounds of the clustering one after the other, each a few common table expressions."""
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (p[i] - c[i]) * (p[i] - c[i])))"
+    parts = ["""v as materialized (select row_number() over () as r, vec_id,
+  list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as p from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)""",
+             """c0 as materialized (select j, c from (select p as c, row_number() over (
+  order by sha256('3:' || coalesce(cast(vec_id as varchar), '')), p) - 1 as j from v) where j < 8)"""]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} as materialized (select r, any_value(vec_id) as vec_id, any_value(p) as p,
+  min({{'d': {gap}, 'j': j}}) as near from v, c{k} group by r)""")
+        if k < rounds:
+            parts.append(f"""s{k} as (select near.j as j, i, sum(p[i]) as s, count(*) as n
+  from (select near, p, unnest(range(1, 65)) as i from a{k}) group by 1, 2)""")
+            parts.append(f"""c{k + 1} as materialized (select c{k}.j, coalesce(m.c, c{k}.c) as c from c{k} left join (
+  select j, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as c from s{k} group by j) m using (j))""")
+    return "with " + ",\n".join(parts) + f"""
+select vec_id, cast(near.j as integer) as cluster, cast(near.d as bigint) as distance,
+  cast(sum(near.d) over (partition by near.j) as bigint) as cluster_inertia, cast(sum(near.d) over () as bigint) as inertia,
+  sha256(array_to_string(c, ',')) as centroid_sha256
+from a{rounds} join c{rounds} on j = near.j"""
+
+
+CLUSTERING = _clustering()
+
+FILL_IN_MIDDLE = """
+with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text,
+  regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u,
+  sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+k as (select *, len(u) as n, cast('0x' || substr(h, 1, 8) as bigint) % (len(u) + 1) as x,
+  cast('0x' || substr(h, 9, 8) as bigint) % (len(u) + 1) as y, cast('0x' || substr(h, 17, 8) as bigint) % 100 as z,
+  cast('0x' || substr(h, 25, 8) as bigint) % 100 as w from t),
+f as (select *, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or z >= 90
+  then 'plain' when w < 20 then 'spm' else 'psm' end as form,
+  array_to_string(u[1:least(x, y)], '') as a, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') as b,
+  array_to_string(u[greatest(x, y) + 1:], '') as c from k)
+select doc_id, cast(n as bigint) as n, form,
+  case when form <> 'plain' then length(a) end as prefix_chars, case when form <> 'plain' then length(b) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || a || '<S>' || c || '<M>' || b
+    else '<S>' || c || '<P>' || a || '<M>' || b end) as output_sha256, sha256(text) as restored_sha256
+from f"""
