@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from turnwise.llm import html_text as H
 from turnwise.llm import language_id as I
-from turnwise.llm import lm_scoring as L
 from turnwise.llm import quality_model as M
 from turnwise.llm import toxicity as X
 
@@ -183,115 +182,6 @@ def test_languages(spark, docs, odd_texts):
     assert I.predictions(none).first().lang_pred == "und" and I.predictions(docs([])).count() == 0
 
 
-# --- language model ---
-
-
-def test_elias_fano_and_trie_match_the_tables():
-    values = np.sort(np.random.default_rng(0).integers(0, 90_000, 700))
-    assert (L.EliasFano.of(values).at(np.arange(700)) == values).all()
-    lists = [L.words_of(t) for t in (b"The cat sat on the mat", b"the dog ate 12 cats", b"", b"a b c \xc3\xa9t\xc3\xa9")] * 3
-    key, _, _ = L.grams(lists)
-    keys, n = np.unique(key, return_counts=True)
-    keys = keys.astype(np.int64)
-    share = L.first_order(np.bincount(key & 31, minlength=32).astype(float))
-    table, levels = {}, {}
-    for x in range(32):
-        own = (keys >> 5 & 31) == x
-        if own.any():
-            for order, grams, p, context, back in L.smoothed(keys[own], n[own], share):
-                for g, v in zip(grams.tolist(), p, strict=True):
-                    table.setdefault((order, g), [np.nan, np.nan])[0] = v
-                for g, v in zip(context.tolist(), back, strict=True):
-                    table.setdefault((order - 1, g), [np.nan, np.nan])[1] = v
-    for (order, g), (p, back) in table.items():
-        levels.setdefault(g >> 5 * (order - 1), {})[order, g] = (p, back)
-    tries = {}
-    for lead, rows in levels.items():
-        rows.setdefault((1, lead), (np.nan, np.nan))
-        tries[lead] = L.build_trie(*(np.array(c) for c in zip(*[(o, g, p, b) for (o, g), (p, b) in rows.items()], strict=True)))
-    scorer = L.Scorer(L.Model(tries, share, L.byte_scores({})))
-
-    def by_table(g):
-        total = 0.0
-        for order in range(5, 1, -1):
-            cut = g & ((1 << 5 * order) - 1)
-            p, _ = table.get((order, cut), (np.nan, 0))
-            if not np.isnan(p):
-                return total + p
-            back = table.get((order - 1, cut >> 5), (0, np.nan))[1]
-            total += 0.0 if np.isnan(back) else back
-        return total + math.log10(share[g & 31])
-
-    asked = np.r_[keys, np.random.default_rng(1).integers(0, 1 << 25, 300)]
-    assert np.allclose(scorer.ask(asked), [by_table(int(g)) for g in asked], atol=0.02)  # 8-bit quantisation
-    for context in (int(keys[3]) >> 5, 0b1111011110):
-        assert sum(10 ** by_table(context << 5 | w) for w in range(32)) == pytest.approx(1.0)
-
-
-def test_base_scores_match_brute_force(docs, odd_texts, monkeypatch):
-    monkeypatch.setattr(L, "FREQUENT", 3)  # nearly all words come by the join
-    monkeypatch.setattr(L, "CHUNK_BYTES", 50_000)
-    texts = odd_texts + [f"The word {k % 5} of Ä{k % 3} is THE word" for k in range(40)]
-    rows = {r.doc_id: r for r in L.score_documents(docs(texts)).collect()}
-    held = {i for i, r in rows.items() if r.held_out}
-    token = lambda t: [*(t or "").translate({c: c + 32 for c in range(65, 91)}).encode().split(), None]
-    counts = Counter(w for i, t in enumerate(texts) if i not in held for w in token(t))
-    total, kinds = sum(counts.values()), len(counts)
-    assert held and len(rows) == len(texts)
-    for i, t in enumerate(texts):
-        words = token(t)
-        base = math.fsum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in words)
-        r = rows[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(counts[w] > 0 for w in words), total)
-        assert r.base_score == pytest.approx(base, rel=1e-12) and math.isfinite(r.score) and r.score < 0
-    assert L.score_documents(docs([])).count() == 0
-
-
-@needs_data
-def test_word_order_counts(docs, monkeypatch):
-    monkeypatch.setattr(L, "CHUNK_BYTES", 4000)
-    r = random.Random(3)
-    names = [f"{a}{b}" for a in ("ka", "мо", "te", "12") for b in ("lo", "ри", "su", "34")]
-    follows = {w: r.sample(names, 2) for w in names}
-
-    def walk():
-        out = [r.choice(names)]
-        while len(out) < 40:
-            out.append(r.choice(follows[out[-1]]))
-        return out
-
-    texts = [walk() for _ in range(120)]
-    mixed_up = [r.sample(t, len(t)) for t in texts]
-    frame = docs([" ".join(t) for t in texts])
-    both = frame.unionByName(docs([" ".join(t) for t in mixed_up], first=1000).where(
-        F.crc32(F.col("doc_id").cast("string")) % L.FOLDS == L.HELD_OUT))
-    got = L.score_documents(both).where("held_out").groupBy((F.col("doc_id") >= 1000).alias("mixed")).agg(
-        (F.sum("score") / F.sum("n_tokens")).alias("s")).collect()
-    score = {x.mixed: x.s for x in got}
-    assert score[False] > score[True] + 0.3
-
-
-def test_word_grams_match_brute_force(docs):
-    texts = ["a b a b c", "A  b\tc", "", None, "a b a", "é a b"]
-    grams, contexts = L.word_gram_counts(docs(texts))
-    n, total, kinds = Counter(), Counter(), {}
-    for t in texts:
-        w = ["<s>", "<s>", *(t or "").lower().split(), "</s>"]
-        for i in range(2, len(w)):
-            for k in (1, 2):
-                n[tuple(w[i - k:i + 1])] += 1
-                total[tuple(w[i - k:i])] += 1
-                kinds.setdefault(tuple(w[i - k:i]), set()).add(w[i])
-    assert sorted(x.n for x in grams.collect()) == sorted(n.values())
-    assert sorted((x.total, x.kinds) for x in contexts.collect()) == sorted((total[c], len(k)) for c, k in kinds.items())
-
-
-def test_model_beats_the_base_on_held_out_documents(spark):
-    larger = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    sums = L.score_documents(larger).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
-    assert sums[1] > sums[0]
-
-
 # --- pages ---
 
 

@@ -1,111 +1,85 @@
-"""Language-model scores from an n-gram trie with Elias-Fano pointers.
-
-Two models are gathered from all training documents.
-
-*Base*: word counts. A document's words are looked up without sending the vocabulary anywhere whole:
-words with at least 1/300000 of all tokens (so 300000 at most) are broadcast; documents are dealt to
-chunks of about 16 MB of text, a chunk asks for the distinct other words of its documents, the
-answers come from a join with the word counts, and a chunk meets its answers in one task.
-
-*Symbols*: a 5-gram model over 32 symbol classes of bytes (each small letter, digits, other ASCII,
-lead bytes, continuation bytes, separator, end), with interpolated Witten-Bell smoothing, and a byte's
-probability within its class given the byte before. 32 classes bound the model whatever the corpus:
-at most 32**5 five-grams. Smoothing runs in Spark by the nearest context symbol; the tries, one per
-leading symbol, are built in Spark too. A trie level holds symbols, probabilities quantised to 8 bits,
-backoffs quantised to 8 bits, and the monotone pointers to the next level in Elias-Fano code. Workers
-map the levels from an unlinked file and look up a gram by a successor search within the range that
-its context points to. A dense memory of answers (one per gram) spares asking twice.
-
-Both are mixed: a token's share of the training tokens and the probability of its symbols after the
-text before, half each; unknown tokens also share the mass of tokens seen once.
-
-*Word n-grams*: counts of all word pairs and triples, without a bound; they grow with the corpus. Tasks
-add them up before they hand them on, by 64-bit hashes of the words (pairs and triples that share a hash
-would share a count). A chunk asks for its distinct pairs and triples, and the answers come from joins
-on the hash of the whole gram, so no common word or pair gathers in one task. Interpolated Witten-Bell
-smoothing leads from the mixed probability to the pair and from there to the triple; that is the score.
-
-Null texts are empty: one end token. Empty training data gives a uniform model and c = 0 for all.
-Repeated rows score alike; an empty table gives an empty result.
+"""Language-model scores from word n-gram tries with Elias-Fano pointers.
+
+Documents are packed into chunks of about 8 MB of text, each one row of a table in the shared folder, in the
+order in which tasks read them; so copies of a document stay where they are, and chunks don't grow. A chunk
+keeps its tokens as numbers of its different words. It sends to every part one coded block: its words that
+aren't frequent, and its different triples of words (the word and the two before it), each with its count in training documents.
+Parts are given by a hash of the word, or of the nearest word before. A part adds up all blocks, which gives
+the corpus's counts, builds one trie (``word_trie``: pairs are marginal sums of triples, smoothed in place,
+Elias-Fano pointers, 8-bit probabilities, mapped memory, context-relative successor search), and answers every
+block in the block's own order: exact counts of words, and a byte or two for each gram. So a gram crosses the
+network once, and its answer once. Answers meet their chunk, which finds its grams again and scores.
+
+Counts grow with the corpus, without a bound: all words, pairs and triples of all training documents.
+
+A word that precedes more than a part's share of all tokens is *split*: its triples spread by both words before,
+and its pairs travel as blocks of their own, by a hash of the pair. Which words are split changes no model value
+but one: the kinds of words after a split word are counted by a HyperLogLog++ sketch with 1 % error. What follows
+one pair of words stays in one part; that is at most one row per different word and chunk.
+
+The probability of a word by itself is its share of the training tokens; unknown words share the mass of words
+seen once, half of it evenly over as many as are known and half by their spelling (``spelling``). Interpolated
+Witten-Bell smoothing leads from there to the pair and to the triple; that is the score.
+
+Grams travel as hashes whose widths grow with the corpus, so that an unseen gram is taken for another with a
+chance of at most one in 1000 for the near word and one in 16 times the share of all words that stand there.
+
+*Base*: exact counts of exact words. Words with at least 1/300000 of all tokens (so 300000 at most) are broadcast.
+
+Null texts are empty: one end token. Empty training data gives the spelling model without words and c = 0 for all.
+Repeated rows score alike; a missing id hashes as empty text. A very long text is a chunk of its own. An empty
+table gives an empty result. Extra columns take no part.
 """
 
 from __future__ import annotations
 
-import math
-import mmap
-import pickle
-import tempfile
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import LOWER, bounded_batches, fold, materialise
+from turnwise.llm.common import bounded_batches, fold, materialise
 from turnwise.llm.near_dedup import mix, word_hashes
+from turnwise.llm.spelling import train_spelling, words_of, worker_scorer
+from turnwise.llm.word_trie import (
+    CODE_BOOK,
+    WordTrie,
+    build,
+    codes_of,
+    group_starts,
+    pack,
+    pack_grams,
+    pack_keys,
+    unpack,
+    unpack_grams,
+    unpack_keys,
+)
 
 FOLDS, HELD_OUT = 7, 2
-ORDER, BITS = 5, 5
-CLASSES = 1 << BITS
-DIGIT, OTHER, LEAD, FOLLOW, SEPARATOR, END = 26, 27, 28, 29, 30, 31
-#: Weight of the class-wide byte share in a byte's probability given the byte before.
-PRIOR = 4.0
-#: Weight of a known word's own share in its probability; its symbols have the rest.
-WORD_SHARE = 0.5
-#: Text of a chunk; a task also holds the counts of a chunk's words, pairs and triples, several times its text.
-CHUNK_BYTES = 16 << 20
+#: Text of a chunk and of a part; a task also holds a chunk's or a part's grams, several times its text.
+CHUNK_BYTES, PART_BYTES = 8 << 20, 8 << 20
 FREQUENT = 300_000
 #: Distinct words a task counts before it hands them on.
 COUNTED = 500_000
-#: Pairs and triples a task holds before it adds them up and hands them on.
-GRAMS_HELD = 4_000_000
-
-_CLASS = np.full(256, OTHER, np.uint8)
-_CLASS[97:123] = np.arange(26)
-_CLASS[48:58] = DIGIT
-_CLASS[128:192], _CLASS[192:], _CLASS[32] = FOLLOW, LEAD, SEPARATOR
-#: Classes of more than one byte.
-_WIDE = np.isin(_CLASS, (DIGIT, OTHER, LEAD, FOLLOW))
-_PAIRS = 1 << ORDER * BITS
-_NO_PAIR = 1 << 16
-
-
-def words_of(text: bytes) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return text.translate(LOWER).split()
-
-
-def grams(word_lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Five-gram and byte-pair numbers of the symbols of several texts, and where each text starts.
-
-    A text is its words, each followed by a separator, and the end; before it stand separators. The
-    pair number is 65536 where a symbol's class has one byte only.
-    """
-    pad = b" " * (ORDER - 1)
-    parts = [b"".join((pad, b" ".join(w), b" " if w else b"", b"E")) for w in word_lists]
-    sizes = np.array([len(p) for p in parts])
-    raw = np.frombuffer(b"".join(parts), np.uint8)
-    symbol = _CLASS[raw].astype(np.uint32)
-    ends = sizes.cumsum()
-    symbol[ends - 1] = END
-    key = symbol.copy()
-    for back in range(1, ORDER):
-        key[back:] |= symbol[:-back] << np.uint32(BITS * back)
-    pair = np.zeros(len(raw), np.uint32)
-    pair[1:] = raw[:-1].astype(np.uint32) << np.uint32(8) | raw[1:]
-    pair[~_WIDE[raw]] = _NO_PAIR
-    pair[ends - 1] = _NO_PAIR
-    real = np.ones(len(raw), bool)
-    for back in range(ORDER - 1):
-        real[ends - sizes + back] = False
-    starts = np.r_[0, (sizes - (ORDER - 1)).cumsum()[:-1]]
-    return key[real], pair[real], starts
-
-
-# --- gathering -------------------------------------------------------------------------------------------------------
+#: Words whose hashes are worked out at once.
+HASHED = 50_000
+#: Weight of the spelling in an unknown word's probability; an even share has the rest.
+SPELLED = 0.5
+#: Relative error of the kinds of words after a split word.
+KINDS_ERROR = 0.01
+
+#: Numbers of the start and the end of a text, and of a chunk's first word.
+START, END, FIRST = 0, 1, 2
+_MARKS, _PAIR, _SPLIT = (np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for k in (101, 103, 107))
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -130,498 +104,384 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-_START, _STOP, _ONE, _TWO = (np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for k in (101, 103, 107, 109))
+@dataclass(frozen=True)
+class Plan:
+    """Totals of the training documents and the widths and places that follow from them."""
+
+    tokens: int
+    kinds: int
+    single: int
+    documents: int
+    parts: int
+
+    @property
+    def near_bits(self) -> int:
+        return min(44, self.kinds.bit_length() + 10)
+
+    @property
+    def word_bits(self) -> int:
+        return min(31, max(16, self.kinds.bit_length() + 4))
+
+    @property
+    def pair_bits(self) -> int:
+        return min(44, self.tokens.bit_length() + 10)
+
+    def part_of(self, key: np.ndarray, bits: int) -> np.ndarray:
+        """Ranges of a key of so many bits."""
+        return (key * np.uint64(self.parts)) >> np.uint64(bits)
+
+
+# --- chunks ----------------------------------------------------------------------------------------------------------
+
+
+CHUNK = "chunk long, docs binary, words binary, tokens binary"
+
+
+def numbered(docs: pa.Table) -> tuple[bytes, bytes, bytes]:
+    """Documents (doc_id, held_out, text) as their ids and lengths, their different words, and the words' numbers in
+    turn, each text closed by an end. The most frequent words have the smallest numbers, which pack best."""
+    seen: defaultdict[bytes, int] = defaultdict(count().__next__)
+    token, lengths = array("i"), []
+    for text in docs.column("text"):
+        words = words_of(text.as_buffer().to_pybytes() if text.is_valid else b"")
+        token.extend(map(seen.__getitem__, words))
+        lengths.append(len(words))
+    raw = np.array(token, np.int64)
+    found = list(seen)
+    order = np.array(sorted(range(len(found)), key=found.__getitem__), np.int64)
+    order = order[np.argsort(-np.bincount(raw, minlength=len(found))[order], kind="stable")]
+    number = np.empty(len(found), np.int64)
+    number[order] = np.arange(FIRST, FIRST + len(found))
+    tokens = np.insert(number[raw], np.cumsum(lengths, dtype=np.int64), END)
+    head = docs.select(["doc_id", "held_out"]).append_column("length", pa.array(np.array(lengths, np.int64) + 1))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, head.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(head)
+    return (sink.getvalue().to_pybytes(), zstandard.compress(b" ".join([found[k] for k in order]), 6), pack(tokens))
+
+
+def chunk_table(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """Consecutive documents, numbered; one row per chunk."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
+
+    def out(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+        chunk = (TaskContext.get().partitionId() << 32) + number
+        parts = numbered(pa.Table.from_batches(held))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk], pa.int64()), *[pa.array([x], pa.binary()) for x in parts]], ["chunk", "docs", "words", "tokens"]
+        )
 
+    def run(batches):
+        held, size, number = [], 0, 0
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy()
+            total = lengths.cumsum()
+            at = 0
+            while at < batch.num_rows:
+                base = total[at - 1] if at else 0
+                end = max(at + (not held), int(np.searchsorted(total, base + chunk_bytes - size, side="right")))
+                if end > at:
+                    held.append(batch.slice(at, end - at))
+                    size += int(total[end - 1] - base)
+                if end < batch.num_rows:
+                    yield out(held, number)
+                    held, size, number = [], 0, number + 1
+                at = end
+        if held:
+            yield out(held, number)
+
+    return materialise(rows.mapInArrow(run, CHUNK), "chunks")
+
+
+class Chunk:
+    """A chunk's documents as numbers of its different words; all tokens in turn."""
+
+    def __init__(self, docs: bytes, words: bytes, tokens: bytes):
+        table = pa.ipc.open_stream(docs).read_all()
+        self.doc_id, self.held_out = table.column("doc_id"), table.column("held_out").to_numpy()
+        self.length = table.column("length").to_numpy()
+        self.words = zstandard.decompress(words).split()
+        self.token = unpack(tokens)[0].astype(np.int32)
+        self.start = self.length.cumsum() - self.length
+        parts = [word_hashes(b" ".join(self.words[at:at + HASHED])) for at in range(0, len(self.words), HASHED)]
+        self.hash = np.concatenate([mix(np.arange(FIRST, dtype=np.uint64) + _MARKS), *parts])
+        self.near, self.far = self._before(1), self._before(2)
+        self.train = np.repeat(~self.held_out, self.length)
+
+    def _before(self, back: int) -> np.ndarray:
+        """The token so many places before each, in its text."""
+        out = np.full(len(self.token), START, np.int32)
+        if back < len(out):
+            out[back:] = self.token[:-back]
+        for k in range(back):
+            at = self.start + k
+            out[at[self.length > k]] = START
+        return out
+
+    def numbers_of(self, words: dict[bytes, int]) -> list[tuple[int, bytes]]:
+        """Numbers of the given words in this chunk; the start has the name of the empty word."""
+        return [(k, w) for k, w in enumerate((b"", None, *self.words)) if w in words]
+
+
+@dataclass
+class Asked:
+    """What a chunk asks for: each kind sorted by part and then by its key."""
+
+    words: np.ndarray
+    word_n: np.ndarray
+    word_part: np.ndarray
+    near: np.ndarray
+    rest: np.ndarray
+    n: np.ndarray
+    gram_part: np.ndarray
+    of_gram: np.ndarray
+    pair: np.ndarray
+    pair_n: np.ndarray
+    pair_part: np.ndarray
+    of_pair: np.ndarray
+    split_token: np.ndarray
+
+
+def in_order(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """Order by three columns of small numbers; one sort where they fit into one number."""
+    low, high = (int(x.max(initial=0)).bit_length() for x in (third, second))
+    if int(first.max(initial=0)).bit_length() + low + high > 63:
+        return np.lexsort((third, second, first))
+    return np.argsort(first << (low + high) | second << low | third)
+
+
+def asked_by(chunk: Chunk, plan: Plan, frequent, split: dict[bytes, int]) -> Asked:
+    h = chunk.hash
+    is_split = np.zeros(len(h), bool)
+    is_split[[k for k, _ in chunk.numbers_of(split)]] = True
+    split_token = is_split[chunk.near]
+    # near numbers: those of words, then those of both words before where the near one is split
+    own = h[chunk.near[split_token]]
+    both, both_at = np.unique(mix(mix(own + _SPLIT) + h[chunk.far[split_token]]), return_inverse=True)
+    shift = np.uint64(64 - plan.near_bits)
+    one = np.uint64(1)
+    near_keys, near_rank = np.unique(
+        np.concatenate([h >> shift << one, both >> shift << one | one]), return_inverse=True
+    )
+    near_number = chunk.near.astype(np.int64)
+    near_number[split_token] = len(h) + both_at
+    keys, rank = np.unique(h >> np.uint64(64 - plan.word_bits), return_inverse=True)
+    # all keys are leading bits of hashes, so the order by ranks is that by keys, and parts are ranges of near
+    columns = near_rank[near_number], rank[chunk.far], rank[chunk.token]
+    del near_number
+    order = in_order(*columns)
+    first, second, third = (c[order] for c in columns)
+    del columns
+    start = group_starts(first, second, third)
+    of_gram = np.empty(len(order), np.int64)
+    of_gram[order] = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(order)]))
+    near = near_keys[first[start]]
+    rest = keys[second[start]] << np.uint64(plan.word_bits) | keys[third[start]]
+    n = np.bincount(of_gram[chunk.train], minlength=len(start))
+    pair = mix(mix(own + _PAIR) + h[chunk.token[split_token]]) >> np.uint64(64 - plan.pair_bits)
+    pairs, of_pair = np.unique(pair, return_inverse=True)
+    pair_n = np.bincount(of_pair[chunk.train[split_token]], minlength=len(pairs))
+    in_train = np.bincount(chunk.token[chunk.train], minlength=len(h))
+    rare = np.array([k for k, w in enumerate(chunk.words, FIRST) if w not in frequent], np.int64)
+    word_part = plan.part_of(h[rare] >> np.uint64(32), 32)
+    by_part = np.argsort(word_part, kind="stable")
+    rare = rare[by_part]
+    return Asked(
+        rare, in_train[rare], word_part[by_part], near, rest, n, plan.part_of(near >> one, plan.near_bits), of_gram,
+        pairs, pair_n, plan.part_of(pairs, plan.pair_bits), of_pair, split_token,
+    )
 
-def word_grams(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each token (words and the end): numbers of the word before, the two words before, the pair and the triple.
 
-    The number of the two words before is that of their pair. Before a text stand two starts.
-    """
-    word = np.r_[word_hashes(text), _STOP]
-    one = mix(np.r_[_START, word[:-1]] + _ONE)
-    pair = mix(one + word)
-    two = np.r_[mix(mix(np.array([_START]) + _ONE) + _START), pair[:-1]]
-    return tuple(x.view(np.int64) for x in (one, two, pair, mix(mix(two + _TWO) + word)))
+def blocks_of(chunk: Chunk, asked: Asked, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+    """Per part that a chunk asks anything of: words, their counts, pairs and grams."""
+    bounds = np.arange(parts + 1)
+    at = [np.searchsorted(x, bounds) for x in (asked.word_part, asked.pair_part, asked.gram_part)]
+    for part in range(parts):
+        w, p, g = (slice(x[part], x[part + 1]) for x in at)
+        if any(x.start < x.stop for x in (w, p, g)):
+            words = b" ".join([chunk.words[k - FIRST] for k in asked.words[w].tolist()])
+            yield (part, zstandard.compress(words, 3), pack(asked.word_n[w]), pack_keys(asked.pair[p], asked.pair_n[p]),
+                   pack_grams(asked.near[g], asked.rest[g], asked.n[g]))
 
 
-def word_gram_counts(train: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """gram and n of all pairs and triples; context, total and kinds (different next tokens) of all that comes before."""
-    bounded_batches(train.sparkSession)
+BLOCK = "part int, chunk long, words binary, word_n binary, pairs binary, grams binary"
+ANSWER = "chunk long, part int, word_n binary, pair_n binary, gram_codes binary"
 
-    def out(held: list[np.ndarray]) -> pa.RecordBatch:
-        gram, context = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (held[::2], held[1::2]))
-        gram, first, n = np.unique(gram, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(context[first]), pa.array(n.astype(np.int64))],
-                                          ["gram", "context", "n"])
 
+def asks(chunks: DataFrame, plan: Plan, frequent, split: dict[bytes, int]) -> DataFrame:
     def run(batches):
-        held: list[np.ndarray] = []
-        size = 0
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                one, two, pair, triple = word_grams(text or b"")
-                held += [pair, one, triple, two]
-                size += 2 * len(pair)
-            if size > GRAMS_HELD:
-                yield out(held)
-                held, size = [], 0
-        yield out(held)
-
-    found = train.select("text").mapInArrow(run, "gram long, context long, n long")
-    counted = materialise(found.groupBy("gram", "context").agg(F.sum("n").alias("n")), "word-grams")
-    contexts = counted.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    return counted.select("gram", "n"), contexts
-
-
-def ask_grams(cut: DataFrame) -> DataFrame:
-    """chunk and the distinct numbers of its pairs, triples and what comes before them, found where the chunk meets."""
-    def run(texts: pa.Table) -> pa.Table:
-        keys: list[np.ndarray] = []
-        held = np.empty(0, np.int64)
-        for text in texts.column("text").cast(pa.binary()):
-            keys += word_grams(text.as_py() or b"")
-            if sum(map(len, keys[-4:])) > 100_000 or len(keys) > 4000:
-                held, keys = np.unique(np.concatenate([held, *keys])), []
-        held = np.unique(np.concatenate([held, *keys]))
-        chunk = texts.column("chunk")[0].as_py()
-        return pa.table({"chunk": np.full(len(held), chunk, np.int64), "key": held})
-
-    return cut.groupBy("chunk").applyInArrow(run, "chunk long, key long")
-
-
-class GramCounts:
-    """A chunk's answers: counts of grams, totals and kinds of contexts, 0 where unknown."""
-
-    def __init__(self, key: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray):
-        order = np.argsort(key)
-        self.key, self.values = key[order], [x[order] for x in (n, total, kinds)]
-
-    def _at(self, key: np.ndarray, *columns: int) -> list[np.ndarray]:
-        if not len(self.key):
-            return [np.zeros(len(key)) for _ in columns]
-        place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        known = self.key[place] == key
-        return [np.where(known, self.values[c][place], 0).astype(np.float64) for c in columns]
-
-    def refine(self, text: bytes, p: np.ndarray) -> np.ndarray:
-        """Probability of a text's tokens given two words before, from their probability without any."""
-        one, two, pair, triple = word_grams(text)
-        for context, gram in ((one, pair), (two, triple)):
-            (n,), (total, kinds) = self._at(gram, 0), self._at(context, 1, 2)
-            p = np.where(total > 0, (n + kinds * p) / np.maximum(total + kinds, 1), p)
-        return p
-
-
-def merge_counts(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, int)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
-
-
-def gram_counts(train: DataFrame) -> DataFrame:
-    """gram and n over all training documents; byte pairs are numbered from 32**5 on."""
-    bounded_batches(train.sparkSession)
+            for number, *data in zip(*batch.columns, strict=True):
+                chunk = Chunk(*[x.as_py() for x in data])
+                asked = asked_by(chunk, plan, frequent.value, split)
+                rows = [(row[0], number.as_py(), *row[1:]) for row in blocks_of(chunk, asked, plan.parts)]
+                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    ["part", "chunk", "words", "word_n", "pairs", "grams"],
+                )
 
-    def run(batches):
-        held = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            lists = [words_of(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            if not lists:
-                continue
-            key, pair, _ = grams(lists)
-            k, n = np.unique(key, return_counts=True)
-            p = np.bincount(pair, minlength=_NO_PAIR + 1)[:_NO_PAIR]
-            q = np.flatnonzero(p)
-            held = merge_counts(
-                np.concatenate([held[0], k.astype(np.int64), q + _PAIRS]), np.concatenate([held[1], n, p[q]])
-            )
-        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["gram", "n"])
-
-    return train.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def byte_scores(pairs: dict[int, int]) -> np.ndarray:
-    """log10 probability of a byte within its class given the byte before; 0 where the class has one byte, and for no pair."""
-    n = np.zeros((256, 256))
-    for pair, count in pairs.items():
-        n[pair >> 8, pair & 255] = count
-    share = np.ones(256)
-    out = np.zeros((256, 256))
-    for c in (DIGIT, OTHER, LEAD, FOLLOW):
-        own = np.flatnonzero(_CLASS == c)
-        total = n[:, own].sum(axis=0) + 1
-        share[own] = total / total.sum()
-        seen = n[:, own]
-        out[:, own] = np.log10((seen + PRIOR * share[own]) / (seen.sum(axis=1, keepdims=True) + PRIOR))
-    return np.r_[out.ravel(), 0.0]
-
-
-# --- smoothing -------------------------------------------------------------------------------------------------------
-
-
-def first_order(n: np.ndarray) -> np.ndarray:
-    """Smoothed shares of the symbols themselves."""
-    kinds = (n > 0).sum()
-    return (n + max(kinds, 1) / CLASSES) / (n.sum() + max(kinds, 1))
-
-
-def smoothed(keys: np.ndarray, n: np.ndarray, single: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per order above 1: grams with log10 probability, contexts with log10 backoff.
-
-    All five-grams with one nearest context symbol are given; a shorter context of theirs ends in
-    that symbol too, so all counts that interpolation needs are here.
-    """
-    out = []
-    lower_keys, lower_p = np.arange(CLASSES, dtype=np.int64), single
-    for order in range(2, ORDER + 1):
-        own, count = merge_counts(keys & ((1 << BITS * order) - 1), n)
-        context, start = np.unique(own >> BITS, return_index=True)
-        total, kinds = np.add.reduceat(count, start), np.diff(np.r_[start, len(own)])
-        back = kinds / (total + kinds)
-        of = np.repeat(np.arange(len(context)), kinds)
-        below = lower_p[np.searchsorted(lower_keys, own & ((1 << BITS * (order - 1)) - 1))]
-        p = count / (total + kinds)[of] + back[of] * below
-        out.append((order, own, np.log10(p), context, np.log10(back)))
-        lower_keys, lower_p = own, p
-    return out
-
-
-# --- the trie --------------------------------------------------------------------------------------------------------
-
-
-class EliasFano:
-    """A monotone sequence: low bits as they are, high bits in unary, with ones counted per 64-bit word."""
-
-    def __init__(self, low: np.ndarray, bits: int, high: np.ndarray, before: np.ndarray):
-        self.low, self.bits, self.high, self.before = low, bits, high, before
-
-    @classmethod
-    def of(cls, values: np.ndarray) -> EliasFano:
-        n, top = len(values), int(values[-1]) if len(values) else 0
-        bits = min(8, max(0, (top // max(1, n)).bit_length() - 1)) if top > n else 0
-        place = (values >> bits) + np.arange(n)
-        marks = np.zeros((int(place[-1]) // 64 + 1) * 64 if n else 64, np.uint8)
-        marks[place] = 1
-        high = np.packbits(marks, bitorder="little").view("<u8")
-        before = np.r_[0, marks.reshape(-1, 64).sum(axis=1).cumsum()[:-1]].astype("<u4")
-        return cls((values & ((1 << bits) - 1)).astype(np.uint8), bits, high, before)
-
-    def at(self, index: np.ndarray) -> np.ndarray:
-        """Values at the given places: select of the index-th one in the high bits."""
-        word = np.searchsorted(self.before, index, side="right") - 1
-        ones = np.unpackbits(np.ascontiguousarray(self.high[word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        seen = ones.cumsum(axis=1, dtype=np.uint8)
-        inside = (seen <= (index - self.before[word])[:, None]).sum(axis=1)
-        return (word.astype(np.int64) * 64 + inside - index << self.bits) | self.low[index]
-
-
-def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes 1..255 and their code book, by quantiles; code 0 is a missing value."""
-    known = ~np.isnan(values)
-    book = np.zeros(256)
-    code = np.zeros(len(values), np.uint8)
-    if known.any():
-        edges = np.unique(np.quantile(values[known], np.arange(1, 255) / 255))
-        place = np.searchsorted(edges, values[known], side="right")
-        size = np.bincount(place, minlength=255)
-        book[1:] = np.divide(np.bincount(place, values[known], 255), size, out=np.zeros(255), where=size > 0)
-        code[known] = place + 1
-    return code, book
-
-
-def build_trie(order: np.ndarray, gram: np.ndarray, p: np.ndarray, back: np.ndarray) -> bytes:
-    """Levels of the grams with one leading symbol, as bytes: a pickled index, then the arrays end to end."""
-    parts: list[np.ndarray] = []
-    index: list[dict] = []
-    above = gram[order == 1]
-    for level in range(1, ORDER + 1):
-        here = order == level
-        keys = gram[here]
-        sort = np.argsort(keys)
-        keys = keys[sort]
-        codes, book = quantise(p[here][sort])
-        backs, back_book = quantise(back[here][sort])
-        entry = {"p": codes, "back": backs, "symbol": (keys & (CLASSES - 1)).astype(np.uint8)}
-        extra = {"book": book, "back_book": back_book}
-        if level > 1:
-            pointers = EliasFano.of(np.r_[np.searchsorted(keys >> BITS, above, side="left"), len(keys)].astype(np.int64))
-            entry |= {"low": pointers.low, "high": pointers.high, "before": pointers.before}
-            extra["bits"] = pointers.bits
-        where = {}
-        for name, values in entry.items():
-            where[name] = (sum(len(x) for x in parts), values.dtype.str, len(values))
-            data = values.tobytes()
-            parts.append(data + bytes(-len(data) % 8))
-        index.append({"where": where} | extra)
-        above = keys
-    head = pickle.dumps(index)
-    return len(head).to_bytes(8, "little") + head + bytes(-len(head) % 8) + b"".join(parts)
-
-
-class Trie:
-    """One leading symbol's levels over mapped memory."""
-
-    def __init__(self, data: memoryview):
-        size = int.from_bytes(data[:8], "little")
-        base = 8 + size + -size % 8
-        self.levels = []
-        for entry in pickle.loads(data[8:8 + size]):
-            level = {k: v for k, v in entry.items() if k != "where"}
-            for name, (start, kind, n) in entry["where"].items():
-                level[name] = np.frombuffer(data, np.dtype(kind), n, base + start)
-            if "low" in level:
-                level["pointers"] = EliasFano(level["low"], level["bits"], level["high"], level["before"])
-            self.levels.append(level)
-
-    def child(self, level: int, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Places in ``level`` (from 1) of the parents' children with the symbol, or -1: the first child not
-        below the symbol is searched by halving within the range that the parent points to."""
-        here = self.levels[level]
-        low, high = here["pointers"].at(parent), here["pointers"].at(parent + 1)
-        end = high.copy()
-        for _ in range(BITS + 1):
-            open_ = low < high
-            middle = low + high >> 1
-            less = open_ & (here["symbol"][np.minimum(middle, len(here["symbol"]) - 1)] < symbol) if len(here["symbol"]) else open_ & False
-            low = np.where(less, middle + 1, low)
-            high = np.where(open_ & ~less, middle, high)
-        hit = low < end
-        hit[hit] = here["symbol"][low[hit]] == symbol[hit]
-        return np.where(hit, low, -1)
-
-    def lookup(self, gram: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability (nan if not stored) of grams of one order, and the backoff of their contexts (0 if none)."""
-        place = np.zeros(len(gram), np.int64)
-        back = np.zeros(len(gram))
-        for level in range(1, order):
-            symbol = gram >> BITS * (order - 1 - level) & (CLASSES - 1)
-            if level == order - 1:
-                known = place >= 0
-                here = self.levels[level - 1]
-                back[known] = here["back_book"][here["back"][place[known]]]
-            known = place >= 0
-            place[known] = self.child(level, place[known], symbol[known])
-        p = np.full(len(gram), np.nan)
-        known = place >= 0
-        here = self.levels[order - 1]
-        code = here["p"][place[known]]
-        p[known] = np.where(code > 0, here["book"][code], np.nan)
-        return p, back
+    return chunks.mapInArrow(run, BLOCK)
 
 
-@dataclass(frozen=True)
-class Model:
-    """What is sent to workers: a trie per leading symbol, single symbols, and bytes within classes."""
-
-    tries: dict[int, bytes]
-    single: np.ndarray
-    pairs: np.ndarray
-
-
-class Scorer:
-    """A model over mapped memory, with the answers found so far."""
-
-    def __init__(self, model: Model):
-        self.single, self.pairs = np.log10(model.single), model.pairs
-        self.tries: dict[int, Trie] = {}
-        if model.tries:
-            with tempfile.TemporaryFile() as file:  # has no name, so nothing stays behind
-                places = {}
-                for lead, data in model.tries.items():
-                    places[lead] = (file.tell(), len(data))
-                    file.write(data + bytes(-len(data) % 8))
-                file.flush()
-                mapped = memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
-            self.tries = {lead: Trie(mapped[at:at + size]) for lead, (at, size) in places.items()}
-        self.memory = np.full(_PAIRS, np.nan, np.float32)
-
-    def ask(self, gram: np.ndarray) -> np.ndarray:
-        """log10 probability of the last symbol of five-grams, with backoff to shorter ones."""
-        total = np.zeros(len(gram))
-        open_ = np.ones(len(gram), bool)
-        for order in range(ORDER, 1, -1):
-            cut = gram & ((1 << BITS * order) - 1)
-            lead = cut >> BITS * (order - 1)
-            for symbol in np.unique(lead[open_]):
-                own = np.flatnonzero(open_ & (lead == symbol))
-                if int(symbol) not in self.tries:
-                    continue
-                p, back = self.tries[int(symbol)].lookup(cut[own], order)
-                stored = ~np.isnan(p)
-                total[own] += np.where(stored, np.nan_to_num(p), back)
-                open_[own[stored]] = False
-        total[open_] += self.single[gram[open_] & (CLASSES - 1)]
-        return total
-
-    def token_scores(self, word_lists: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each token's symbols given those before: the texts' words and ends in turn."""
-        key, pair, starts = grams(word_lists)
-        found = self.memory[key]
-        missing = np.unique(key[np.isnan(found)])
-        if len(missing):
-            self.memory[missing] = self.ask(missing.astype(np.int64))
-            found = self.memory[key]
-        first = np.zeros(len(key), bool)
-        first[1:] = (key[:-1] & (CLASSES - 1)) == SEPARATOR
-        first[starts] = True
-        return np.add.reduceat(found.astype(np.float64) + self.pairs[pair], np.flatnonzero(first))
-
-
-def mixed(counts: np.ndarray, symbols: np.ndarray, tokens: int, kinds: int, single: int) -> np.ndarray:
-    """log10 probability of tokens from their training counts and their symbols' log10 probability.
-
-    Half a token's share of the training tokens, half its symbols' probability. The share of tokens seen
-    once is kept for unknown ones, spread over as many kinds as are known.
-    """
-    if not tokens:
-        return symbols
-    unknown = max(single, 1) / (tokens + 1)
-    both = (1 - unknown) * (WORD_SHARE * counts / tokens + (1 - WORD_SHARE) * 10.0**symbols)
-    return np.log10(both + np.where(counts > 0, 0.0, unknown / kinds))
-
-
-def train_model(train: DataFrame) -> Model:
-    """Counts, smooths and builds in Spark; at most 32 tries, 32 symbols and 65536 byte pairs reach the driver."""
-    gathered = materialise(gram_counts(train), "grams")
-    of_grams = gathered.where(F.col("gram") < _PAIRS)
-    single = np.zeros(CLASSES)
-    for r in of_grams.groupBy(F.col("gram").bitwiseAND(CLASSES - 1).alias("s")).agg(F.sum("n").alias("n")).collect():
-        single[r["s"]] = r["n"]
-    share = first_order(single)
-    pairs = {r["gram"] - _PAIRS: r["n"] for r in gathered.where(F.col("gram") >= _PAIRS).collect()}
-
-    def smooth(table: pa.Table) -> pa.Table:
-        keys, n = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
-        sort = np.argsort(keys)
-        rows = []
-        for order, own, p, context, back in smoothed(keys[sort], n[sort], share):
-            rows.append((np.full(len(own), order), own, p, np.full(len(own), np.nan)))
-            rows.append((np.full(len(context), order - 1), context, np.full(len(context), np.nan), back))
-        order, gram, p, back = (np.concatenate(x) for x in zip(*rows, strict=True))
-        lead = gram >> BITS * (order - 1)
-        return pa.table({"lead": lead, "level": order, "gram": gram, "p": p, "back": back})
-
-    def build(table: pa.Table) -> pa.Table:
-        level, gram, p, back = (table.column(c).to_numpy() for c in ("level", "gram", "p", "back"))
-        lead = int(table.column("lead")[0].as_py())
-        # a gram may come twice: with its probability, and as a context with its backoff
-        code = level.astype(np.int64) << 40 | gram
-        keys, place = np.unique(np.r_[code, 1 << 40 | lead], return_inverse=True)
-        values = np.full((2, len(keys)), np.nan)
-        for k, x in enumerate((p, back)):
-            known = ~np.isnan(x)
-            values[k, place[:-1][known]] = x[known]
-        data = build_trie(keys >> 40, keys & ((1 << 40) - 1), *values)
-        return pa.table({"lead": pa.array([lead], pa.int64()), "data": pa.array([data], pa.binary())})
-
-    nearest = F.shiftright("gram", BITS).bitwiseAND(CLASSES - 1).alias("nearest")
-    rows = of_grams.select(nearest, "gram", "n").groupBy("nearest").applyInArrow(
-        smooth, "lead long, level long, gram long, p double, back double"
-    )
-    tries = rows.groupBy("lead").applyInArrow(build, "lead long, data binary").collect()
-    return Model({r["lead"]: bytes(r["data"]) for r in tries}, share, byte_scores(pairs))
+# --- parts -----------------------------------------------------------------------------------------------------------
+
+
+def added_up(columns: list[tuple[np.ndarray, ...]], sizes: list[int], n: np.ndarray):
+    """Different keys of all blocks in order, their counts over all blocks, and where each block's keys are."""
+    keys = [np.concatenate(c) for c in zip(*columns, strict=True)]
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    start = group_starts(*keys)
+    total = np.add.reduceat(n[order], start) if len(order) else n
+    place = np.empty(len(order), np.int64)
+    place[order] = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(order)]))
+    return [k[start] for k in keys], total, np.split(place, np.cumsum(sizes)[:-1])
+
+
+def word_answers(texts: list[bytes], counts: list[bytes]) -> list[bytes]:
+    """Exact counts over all blocks, for each block in its order."""
+    blocks = [zstandard.decompress(t).split() for t in texts]
+    total: Counter = Counter()
+    for words, packed in zip(blocks, counts, strict=True):
+        for word, n in zip(words, unpack(packed)[0].tolist(), strict=True):
+            total[word] += n
+    return [pack(np.array([total[w] for w in words], np.int64)) for words in blocks]
+
+
+def pair_answers(packed: list[bytes]) -> list[bytes]:
+    blocks = [unpack_keys(x) for x in packed]
+    _, total, places = added_up([(k,) for k, _ in blocks], [len(k) for k, _ in blocks], np.concatenate([n for _, n in blocks]))
+    return [pack(total[at]) for at in places]
+
+
+def gram_answers(packed: list[bytes], width: int) -> list[bytes]:
+    """Builds the part's trie from all blocks and answers each block's grams, two codes a gram."""
+    blocks = [unpack_grams(x) for x in packed]
+    sizes = [len(x[0]) for x in blocks]
+    (near, rest), total, places = added_up([b[:2] for b in blocks], sizes, np.concatenate([b[2] for b in blocks]))
+    del blocks
+    seen = total > 0
+    trie = WordTrie(build(near[seen], rest[seen], total[seen], width), width)
+    a, b = (codes_of(x) for x in trie.ask(near, rest))
+    return [zstandard.compress(a[at].tobytes() + b[at].tobytes(), 1) for at in places]
+
+
+def answers(asked: DataFrame, plan: Plan) -> DataFrame:
+    width = plan.word_bits
+
+    def run(table: pa.Table) -> pa.Table:
+        texts, counts, pairs, grams = (table.column(c).to_pylist() for c in ("words", "word_n", "pairs", "grams"))
+        made = word_answers(texts, counts), pair_answers(pairs), gram_answers(grams, width)
+        return pa.table({"chunk": table.column("chunk"), "part": table.column("part")} | {
+            name: pa.array(values, pa.binary()) for name, values in zip(("word_n", "pair_n", "gram_codes"), made, strict=True)
+        })
+
+    return asked.groupBy("part").applyInArrow(run, ANSWER)
 
 
 # --- scoring ---------------------------------------------------------------------------------------------------------
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def followers(chunks: DataFrame, split: dict[bytes, int]) -> dict[bytes, int]:
+    """Kinds of words after each split word in training documents; one row per split word reaches the driver."""
+    names = list(split)
+
+    def run(batches):
+        known = {w: k for k, w in enumerate(names)}
+        for batch in batches:
+            for _, *data in zip(*batch.columns, strict=True):
+                chunk = Chunk(*[x.as_py() for x in data])
+                place = np.full(len(chunk.hash), -1)
+                for number, word in chunk.numbers_of(known):
+                    place[number] = known[word]
+                own = chunk.train & (place[chunk.near] >= 0)
+                keys = np.unique(place[chunk.near[own]] << 32 | chunk.token[own])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys >> 32), pa.array(chunk.hash[keys & 0xFFFFFFFF].view(np.int64))], ["name", "follower"]
+                )
+
+    rows = chunks.mapInArrow(run, "name long, follower long").groupBy("name").agg(
+        F.approx_count_distinct("follower", KINDS_ERROR).alias("kinds")
+    )
+    return {names[r["name"]]: r["kinds"] for r in rows.collect()}
+
+
+def alone(chunk: Chunk, n: np.ndarray, plan: Plan, scorer) -> np.ndarray:
+    """Probability of each different word by itself, from its training count; unknown words by spelling."""
+    unknown = max(plan.single, 1) / (plan.tokens + 1)
+    p = (1 - unknown) * n / max(plan.tokens, 1)
+    missing = np.flatnonzero(n[FIRST:] == 0)
+    for at in range(0, len(missing), HASHED):
+        own = missing[at:at + HASHED]
+        spelled = 10.0 ** scorer.token_scores([[chunk.words[k]] for k in own])[::2]
+        p[own + FIRST] = unknown * (SPELLED * spelled + (1 - SPELLED) / max(plan.kinds, 1))
+    if not n[END]:
+        p[END] = 10.0 ** scorer.token_scores([[]])[0]
+    return p
+
+
+def scored(
+    chunk: Chunk, replies: pa.Table, plan: Plan, frequent: dict[bytes, int], split: dict[bytes, int],
+    kinds_after: dict[bytes, int], scorer,
+) -> pa.Table:
+    """A chunk's rows from the answers of all parts."""
+    asked = asked_by(chunk, plan, frequent, split)
+    replies = replies.sort_by("part")
+    column = lambda name: replies.column(name).to_pylist()
+    n = np.array([0, plan.documents, *[frequent.get(w, 0) for w in chunk.words]], np.float64)
+    n[asked.words] = np.concatenate([unpack(x)[0] for x in column("word_n")])
+    codes = [np.frombuffer(zstandard.decompress(x), np.uint8).reshape(2, -1) for x in column("gram_codes")]
+    a, b = (CODE_BOOK[c] for c in np.concatenate(codes, axis=1))
+    below = alone(chunk, n, plan, scorer)[chunk.token]
+    pair_n = np.concatenate([unpack(x)[0] for x in column("pair_n")]).astype(np.float64)
+    at = asked.split_token
+    facts = np.zeros((len(chunk.hash), 2))
+    for number, word in chunk.numbers_of(split):
+        facts[number] = split[word], max(1, min(kinds_after.get(word, 1), split[word]))
+    total, kinds = facts[chunk.near[at]].T
+    below[at] = (pair_n[asked.of_pair] + kinds * below[at]) / np.maximum(total + kinds, 1)
+    own = np.log10(np.minimum(a[asked.of_gram] + b[asked.of_gram] * below, 1.0))
+    count_of = n[chunk.token]
+    base = np.log10(count_of + 1) - np.log10(plan.tokens + plan.kinds + 1)
+    sums = lambda x: np.add.reduceat(x, chunk.start)
+    return pa.table({
+        "doc_id": chunk.doc_id, "held_out": pa.array(chunk.held_out), "n_tokens": pa.array(chunk.length),
+        "n_known": pa.array(sums((count_of > 0).astype(np.int64))), "base_score": pa.array(sums(base)),
+        "score": pa.array(sums(own)),
+    })
+
+
+def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """Base and model scores of every document, both learned from the documents outside the held-out fold."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     own = docs.select("doc_id", "text")
     train = own.where(fold("doc_id", FOLDS) != HELD_OUT)
-    model = spark.sparkContext.broadcast(train_model(train))
     vocabulary = materialise(word_counts(train), "words")
-    n_train = train.count()
     seen = vocabulary.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("n") == 1, 1))).first()
-    tokens = (seen[0] or 0) + n_train
-    kinds, single = seen[1] + (1 if n_train else 0), seen[2] or 0
-    # as counts sum to the number of tokens, at most FREQUENT words reach this share of it
-    often = vocabulary.where(F.col("n") * FREQUENT >= tokens)
+    n_train, size = train.count(), own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    plan = Plan((seen[0] or 0) + n_train, seen[1] + (1 if n_train else 0), seen[2] or 0, n_train, -(-size // part_bytes) or 1)
+    model = spark.sparkContext.broadcast(train_spelling(vocabulary))
+    # as counts sum to the number of tokens, at most FREQUENT words reach this share of it, and at most as many
+    # words as there are parts more than a part's share
+    often = vocabulary.where(F.col("n") * FREQUENT >= plan.tokens)
     frequent = spark.sparkContext.broadcast({bytes(r["word"]): r["n"] for r in often.toLocalIterator()})
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-size // CHUNK_BYTES))
-    chunk = F.pmod(F.xxhash64(F.col("doc_id"), F.crc32(F.coalesce("text", F.lit("")))), F.lit(chunks)).alias("chunk")
-
-    def ask(batches):
-        common = frequent.value
-        wanted: dict[int, set[bytes]] = {}
-
-        def out() -> pa.RecordBatch:
-            chunk_ids = np.repeat(list(wanted), [len(w) for w in wanted.values()]).astype(np.int64)
-            words = [w for own_words in wanted.values() for w in own_words]
-            return pa.RecordBatch.from_arrays([pa.array(chunk_ids), pa.array(words, pa.binary())], ["chunk", "word"])
-
-        for batch in batches:
-            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                wanted.setdefault(number, set()).update(set(words_of(text or b"")) - common.keys())
-            if sum(map(len, wanted.values())) > COUNTED:
-                yield out()
-                wanted = {}
-        if wanted:
-            yield out()
-
-    cut = own.select(chunk, "doc_id", "text")
-    asked = cut.select("chunk", "text").mapInArrow(ask, "chunk long, word binary").distinct()
-    answers = asked.join(vocabulary.where(F.col("n") * FREQUENT < tokens), "word").select(
-        "chunk", "word", "n", *[F.lit(None).cast("long").alias(c) for c in ("key", "total", "kinds")]
-    )
-    word_gram, context = word_gram_counts(train)
-    facts = ask_grams(cut).join(word_gram, F.col("key") == F.col("gram"), "left").join(
-        context, F.col("key") == F.col("context"), "left"
-    ).where(F.col("n").isNotNull() | F.col("total").isNotNull())
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    answers = answers.unionByName(
-        facts.select("chunk", F.lit(None).cast("binary").alias("word"), zero("n"), "key", zero("total"), zero("kinds"))
-    )
+    split = {bytes(r["word"]): r["n"] for r in vocabulary.where(F.col("n") * plan.parts > plan.tokens).collect()}
+    if n_train * plan.parts > plan.tokens:
+        split[b""] = n_train  # the start of a text
+    chunks = chunk_table(own, chunk_bytes)
+    kinds_after = followers(chunks, split) if split else {}
     kind = own.schema["doc_id"].dataType.simpleString()
+    result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
-    def work(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        table = dict(frequent.value)
-        of_grams = counts.filter(pa.compute.is_valid(counts.column("key")))
-        known = GramCounts(*[of_grams.column(c).to_numpy() for c in ("key", "n", "total", "kinds")])
-        for batch in counts.filter(pa.compute.is_valid(counts.column("word"))).to_batches():
-            table.update(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True))
-        scorer = worker_scorer(model)
-        below = math.log10(tokens + kinds + 1)
-        columns: list[list[np.ndarray]] = [[], [], [], []]
-        for batch in texts.select(["text"]).to_batches(max_chunksize=500):
-            own_texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            lists = [words_of(t) for t in own_texts]
-            n = np.array([c for words in lists for c in (*[table.get(w, 0) for w in words], n_train)], np.float64)
-            length = np.array([len(words) + 1 for words in lists])
-            start = length.cumsum() - length
-            single_p = 10.0 ** mixed(n, scorer.token_scores(lists), tokens, kinds, single)
-            own = np.log10(np.concatenate([
-                known.refine(t, p) for t, p in zip(own_texts, np.split(single_p, start[1:]), strict=True)
-            ]))
-            made = (length, np.add.reduceat(n > 0, start, dtype=np.int64),
-                    np.add.reduceat(np.log10(n + 1), start) - length * below, np.add.reduceat(own, start))
-            for column, values in zip(columns, made, strict=True):
-                column.append(values)
-        names = ("n_tokens", "n_known", "base_score", "score")
-        return pa.table({"doc_id": texts.column("doc_id")} | {
-            name: np.concatenate(c) if c else np.empty(0) for name, c in zip(names, columns, strict=True)
-        }).cast(pa.schema([("doc_id", texts.schema.field("doc_id").type), ("n_tokens", pa.int64()),
-                           ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]))
-
-    scored = cut.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        work, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"
-    )
-    return scored.select(
-        "doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known",
-        F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score",
-    )
-
+    def work(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        chunk = Chunk(*[texts.column(c)[0].as_py() for c in ("docs", "words", "tokens")])
+        return scored(chunk, replies, plan, frequent.value, split, kinds_after, worker_scorer(model))
 
-_SCORERS: dict[int, Scorer] = {}
-
-
-def worker_scorer(model) -> Scorer:
-    """One per Python worker and model."""
-    if id(model.value) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[id(model.value)] = Scorer(model.value)
-    return _SCORERS[id(model.value)]
+    replied = answers(asks(chunks, plan, frequent, split), plan)
+    rows = chunks.groupBy("chunk").cogroup(replied.groupBy("chunk")).applyInArrow(work, result)
+    return rows.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(plan.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score",
+    )
