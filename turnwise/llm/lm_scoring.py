@@ -82,28 +82,6 @@ START, END, FIRST = 0, 1, 2
 _MARKS, _PAIR, _SPLIT = (np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for k in (101, 103, 107))
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """word (bytes) and n over all training documents, without the end token."""
-    bounded_batches(train.sparkSession)
-
-    def out(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"]
-        )
-
-    def run(batches):
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                seen.update(words_of(text or b""))
-            if len(seen) > COUNTED:
-                yield out(seen)
-                seen = Counter()
-        yield out(seen)
-
-    return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 @dataclass(frozen=True)
 class Plan:
     """Totals of the training documents and the widths and places that follow from them."""
@@ -148,7 +126,7 @@ def numbered(docs: pa.Table) -> tuple[bytes, bytes, bytes]:
         lengths.append(len(words))
     raw = np.array(token, np.int64)
     found = list(seen)
-    order = np.array(sorted(range(len(found)), key=found.__getitem__), np.int64)
+    order = np.array(list(map(seen.__getitem__, sorted(found))), np.int64)
     order = order[np.argsort(-np.bincount(raw, minlength=len(found))[order], kind="stable")]
     number = np.empty(len(found), np.int64)
     number[order] = np.arange(FIRST, FIRST + len(found))
@@ -224,6 +202,31 @@ class Chunk:
         return [(k, w) for k, w in enumerate((b"", None, *self.words)) if w in words]
 
 
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """word (bytes) and n over all training documents, without the end token."""
+
+    def out(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"]
+        )
+
+    def run(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for _, *data in zip(*batch.columns, strict=True):
+                chunk = Chunk(*[x.as_py() for x in data])
+                in_train = np.bincount(chunk.token[chunk.train], minlength=len(chunk.hash))[FIRST:]
+                for word, n in zip(chunk.words, in_train.tolist(), strict=True):
+                    if n:
+                        seen[word] += n
+                if len(seen) > COUNTED:
+                    yield out(seen)
+                    seen = Counter()
+        yield out(seen)
+
+    return chunks.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 @dataclass
 class Asked:
     """What a chunk asks for: each kind sorted by part and then by its key."""
@@ -457,10 +460,11 @@ def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, part_bytes:
     """Base and model scores of every document, both learned from the documents outside the held-out fold."""
     spark = bounded_batches(docs.sparkSession)
     own = docs.select("doc_id", "text")
-    train = own.where(fold("doc_id", FOLDS) != HELD_OUT)
-    vocabulary = materialise(word_counts(train), "words")
+    chunks = chunk_table(own, chunk_bytes)
+    vocabulary = materialise(word_counts(chunks), "words")
     seen = vocabulary.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("n") == 1, 1))).first()
-    n_train, size = train.count(), own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    in_train = (fold("doc_id", FOLDS) != HELD_OUT).cast("long")
+    n_train, size = (x or 0 for x in own.agg(F.sum(in_train), F.sum(F.octet_length("text"))).first())
     plan = Plan((seen[0] or 0) + n_train, seen[1] + (1 if n_train else 0), seen[2] or 0, n_train, -(-size // part_bytes) or 1)
     model = spark.sparkContext.broadcast(train_spelling(vocabulary))
     # as counts sum to the number of tokens, at most FREQUENT words reach this share of it, and at most as many
@@ -470,7 +474,6 @@ def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, part_bytes:
     split = {bytes(r["word"]): r["n"] for r in vocabulary.where(F.col("n") * plan.parts > plan.tokens).collect()}
     if n_train * plan.parts > plan.tokens:
         split[b""] = n_train  # the start of a text
-    chunks = chunk_table(own, chunk_bytes)
     kinds_after = followers(chunks, split) if split else {}
     kind = own.schema["doc_id"].dataType.simpleString()
     result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
