@@ -10,8 +10,10 @@ pages: ``labelled_pages`` lays out articles with menus, headers, sidebars, notic
 comments and footers in many ways, with the label of each part known.
 
 Null and empty pages give an empty text. Broken markup never fails: unclosed tags close with the
-block-level tag around them, unknown tags are inline. Whole pages are read, however long. Repeated
-rows are extracted each; an empty table gives an empty result.
+block-level tag around them, unknown tags are inline, stray quote marks in a tag open nothing. Text of
+mathematics, drawings, buttons and of what stands in for scripts and objects is labelled like other text.
+Whole pages are read, however long or deep: time and memory are linear in the page. Repeated rows are
+extracted each; an empty table gives an empty result; extra columns take no part in ``main_texts``.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import functools
 import html
 import random
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,11 @@ from turnwise.llm.common import texts_of, with_found
 
 #: Tags that start and end a block, tags whose content isn't text, tags without content.
 BLOCK_TAGS = frozenset(
-    "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure "
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol option p pre section "
     "select summary table tbody td tfoot th thead tr ul".split()
 )
-SILENT_TAGS = frozenset("script style noscript template textarea title svg math object iframe select option button".split())
+SILENT_TAGS = frozenset("script style template textarea title iframe select option".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: A start of the first tag closes an open one of the second kind.
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"),
@@ -53,34 +55,68 @@ PHRASES = re.compile(
     r"terms of|read more|related|share (?:this|on)|repl(?:y|ies)|comments?\b|posted by|menu|home\b|search|contact",
     re.IGNORECASE,
 )
+_HINTS = CONTENT_WORDS | MARGIN_WORDS
 #: Characters below which a block is read for the phrases.
 SHORT = 160
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-                    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+#: A quote opens a value only right after "="; anywhere else it is part of a name or an unquoted value. Possessive
+#: repeats keep the scan linear on broken markup.
+_VALUE = r"\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)"
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
+                    rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:{_VALUE})?+|=)*+)(?:>|\Z)", re.DOTALL)
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+_NAMED = frozenset(("class", "id", "role"))
 _PIECES = re.compile(r"[a-z]+")
 _HEADING = re.compile("h[1-6]$")
-_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in ("script", "style", "title", "textarea", "noscript")}
+_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in ("script", "style", "title", "textarea")}
+
+
+#: Ancestor tags that a block's features name.
+ANCESTORS = frozenset(
+    "article main nav header footer aside form section ul ol table blockquote figure pre dl a fieldset dialog menu head".split()
+)
 
 
 @dataclass
 class Block:
+    """A leaf block: its nearest tag and block-level tag, and which of the fixed tags and words are above it."""
+
     text: str
-    path: tuple[str, ...]
+    leaf: str
+    inner: str
+    above: frozenset[str]
     hints: frozenset[str]
     linked: int = 0
 
 
 @dataclass
 class _Open:
+    """An open tag with what it and all tags above it say; shared with the parent where it adds nothing."""
+
     tag: str
-    hints: frozenset[str] = field(default_factory=frozenset)
+    inner: str = "none"
+    above: frozenset[str] = frozenset()
+    hints: frozenset[str] = frozenset()
+
+
+def _below(parent: _Open, tag: str, attributes: str) -> _Open:
+    words = {
+        w for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in _NAMED
+        for w in _PIECES.findall((m[2] or m[3] or m[4] or "").lower())
+    } & _HINTS
+    return _Open(
+        tag, tag if tag in BLOCK_TAGS else parent.inner,
+        parent.above | {tag} if tag in ANCESTORS and tag not in parent.above else parent.above,
+        parent.hints | words if words - parent.hints else parent.hints,
+    )
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order."""
+    """Leaf blocks with text, in page order. Time is linear in the page, however deep its tags lie."""
     out: list[Block] = []
-    open_: list[_Open] = []
+    open_: list[_Open] = [_Open("none")]
+    places: dict[str, list[int]] = {}  # where each tag stands in open_
+    walls: list[int] = [0]  # where block-level tags do
+    stops: list[int] = [0]  # the same without headings
     parts: list[str] = []
     links = silent = linked = 0
     at = 0
@@ -89,16 +125,21 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            hints = frozenset().union(*[o.hints for o in open_])
-            out.append(Block(text, tuple(o.tag for o in open_), hints, linked))
+            top = open_[-1]
+            out.append(Block(text, top.tag, top.inner, top.above, top.hints, linked))
         parts, linked = [], 0
 
-    def close(count: int) -> None:
+    def close(place: int) -> None:
+        """Closes the tag at a place with all inside it."""
         nonlocal links, silent
-        for _ in range(count):
+        while len(open_) > place:
             tag = open_.pop().tag
+            places[tag].pop()
             links -= tag == "a"
             silent -= tag in SILENT_TAGS
+            for held in (walls, stops):
+                if held[-1] == len(open_):
+                    held.pop()
 
     def add(text: str) -> None:
         nonlocal linked
@@ -122,32 +163,31 @@ def blocks_of(page: str) -> list[Block]:
             if name in BLOCK_TAGS:
                 flush()
             # an end tag closes the nearest open tag of its name, unless an outer block lies between
-            for depth, o in enumerate(reversed(open_), 1):
-                if o.tag == name:
-                    close(depth)
-                    break
-                if name not in BLOCK_TAGS and o.tag in BLOCK_TAGS:
-                    break
+            if places.get(name) and (name in BLOCK_TAGS or places[name][-1] > walls[-1]):
+                close(places[name][-1])
             continue
         if name == "br":
             add(" ")
             continue
         if name in BLOCK_TAGS:
             flush()
-            for depth, o in enumerate(reversed(open_), 1):  # a block start ends an open paragraph with all inside it
-                if o.tag == "p" or o.tag in CLOSES.get(name, ()):
-                    close(depth)
-                    break
-                if o.tag in BLOCK_TAGS and not _HEADING.match(o.tag):
-                    break
-        if name in VOID_TAGS or token[3].endswith("/"):
+            nearest = open_[stops[-1]].tag  # a block start ends an open paragraph with all inside it
+            if nearest == "p" or nearest in CLOSES.get(name, ()):
+                close(stops[-1])
+        if name in VOID_TAGS:
             continue
         if name in _END:
             end = _END[name].search(page, at)
             at = end.end() if end else len(page)
             continue
-        words = [w for m in _ATTRIBUTE.finditer(token[3]) for w in _PIECES.findall((m[2] or m[3] or m[4] or "").lower())]
-        open_.append(_Open(name, frozenset(words)))
+        if token[3].endswith("/"):
+            continue
+        places.setdefault(name, []).append(len(open_))
+        if name in BLOCK_TAGS:
+            walls.append(len(open_))
+            if not _HEADING.match(name):
+                stops.append(len(open_))
+        open_.append(_below(open_[-1], name, token[3]))
         links += name == "a"
         silent += name in SILENT_TAGS
     add(page[at:])
@@ -161,13 +201,8 @@ def features(blocks: list[Block]) -> list[list[str]]:
     for k, b in enumerate(blocks):
         n = len(b.text)
         words = b.text.split()
-        tag = b.path[-1] if b.path else "none"
-        inner = next((t for t in reversed(b.path) if t in BLOCK_TAGS), "none")
-        names = ["bias", f"tag={inner}", f"leaf={tag}"]
-        names += [f"in={t}" for t in sorted(set(b.path) & {
-            "article", "main", "nav", "header", "footer", "aside", "form", "section", "ul", "ol", "table", "blockquote",
-            "figure", "pre", "dl", "a", "fieldset", "dialog", "menu", "head",
-        })]
+        names = ["bias", f"tag={b.inner}", f"leaf={b.leaf}"]
+        names += [f"in={t}" for t in sorted(b.above)]
         names += [f"content:{w}" for w in sorted(b.hints & CONTENT_WORDS)]
         names += [f"margin:{w}" for w in sorted(b.hints & MARGIN_WORDS)]
         if b.hints & MARGIN_WORDS:
@@ -184,7 +219,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
             names.append("clauses")
         if n < SHORT and PHRASES.search(b.text):
             names.append("phrase")
-        if _HEADING.match(inner):
+        if _HEADING.match(b.inner):
             names.append("heading")
         names.append("first" if k == 0 else "last" if k == len(blocks) - 1 else "inside")
         out.append(names)
