@@ -1,7 +1,9 @@
 """Classifiers, language identification, language model, page extraction, pipeline: held-out quality and edge cases."""
 
 import math
+import itertools
 import random
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -166,6 +168,25 @@ def test_toxicity_predictions(spark, docs, odd_texts):
     assert X.civil_documents(frame, labels).columns == frame.columns
 
 
+def test_only_confirmed_copies_leave_the_sample(spark):
+    r = random.Random(9)
+    words = lambda n: [f"w{r.randrange(10_000)}" for _ in range(n)]
+    long, passage = words(200), words(60)
+    near = [*long[:199], "other"]
+    carriers = [words(100) + passage for _ in range(30)]  # share a passage, at a similarity far below 0.8
+    texts = [long, near, long, *carriers, [], [], ["one"], ["one"]]
+    sample = spark.createDataFrame([(i, " ".join(t) or None, 0) for i, t in enumerate(texts)] * 2, "doc_id long, text string, toxic int")
+    kept = [x.doc_id for x in X.without_copies(sample).collect()]
+    assert sorted(kept) == [0, *range(3, 36)]
+    assert X.without_copies(sample.limit(0)).count() == 0
+
+
+def test_empty_documents(docs, spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert X.predictions(docs([]), labels).collect() == []
+    assert X.civil_documents(docs([]), labels).collect() == []
+
+
 # --- language identification ---
 
 
@@ -218,6 +239,50 @@ def test_blocks_of_broken_markup():
     assert texts("<ul><li>a<li>b</ul>") == ["a", "b"] and len(texts("<p>" * 5000 + "x")) == 1
 
 
+def test_no_article_text_is_lost():
+    texts = lambda page: [b.text for b in H.blocks_of(page)]
+    assert texts("<p title=it's>First one.</p><p>Don't lose it.</p>") == ["First one.", "Don't lose it."]
+    assert texts("<p class=\"a\"\">One.</p><p a = 'x > y' b>Sec\"ond.</p>") == ["One.", 'Sec"ond.']
+    assert texts("<p title='open>a</p><p>b") == ["a", "b"] and texts("<!-->a<p>b</p><!---->c<!-- d --!>e") == ["a", "b", "ce"]
+    assert texts("<p>Press <button>OK</button>, then <math><mi>x</mi></math><noscript> or</noscript> <object>it</object>.</p>") == [
+        "Press OK, then x or it."]
+    assert texts("<a href=x/y/>t</a><div class=x/>u") == ["t", "u"]
+
+
+@pytest.mark.parametrize("piece", ["<div class=x>a", "<h1>a", "<u><div><b></u></i>x", "<p title=it's \" b>a</section>", "<b><i></u>x"])
+def test_deep_and_broken_pages_take_linear_time(piece):
+    field = H.trained_field()
+
+    def seconds(n):
+        start = time.perf_counter()
+        H.main_text(piece * n, field)
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(20_000) < 40 * max(seconds(2000), 0.01)
+
+
+def test_a_very_long_page():
+    line = "Some plain words of a long page, told at length. "
+    page = "<article>" + f"<p>{line * 20}</p>" * 10_000 + "</article>"
+    text = H.main_text(page, H.trained_field())
+    assert len(page) > 9_000_000 and text.count("\n") == 9999 and len(text) == 10_000 * (len(line) * 20) - 1
+
+
+def test_labels_match_all_paths_on_real_pages():
+    """Viterbi over the trained field against all label sequences of the first blocks of laid out pages."""
+    field = H.trained_field()
+    for page, _ in H.labelled_pages(12, seed=77):
+        rows = H.features(H.blocks_of(page)[:9])
+        each = field.scores(rows)
+        best = max(
+            itertools.product((0, 1), repeat=len(rows)),
+            key=lambda y: field.start[y[0]] + sum(each[i][v] for i, v in enumerate(y)) + sum(
+                field.move[a, b] for a, b in itertools.pairwise(y)),
+        )
+        assert list(best) == list(field.decode(rows))
+
+
 def test_page_rows(spark):
     article = "<article><h1>Title here</h1><p>First  line, with words.</p><p>Second &eacute; line.</p></article>"
     page = f"<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>{article}<footer>&copy; x</footer></body></html>"
@@ -225,7 +290,10 @@ def test_page_rows(spark):
     got = H.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
     text = "Title here\nFirst line, with words.\nSecond é line."
     assert [(r.text, r.n_chars) for r in got] == [(text, len(text))] * 2 + [("", 0)] * 2
-    assert H.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    schema = "page_id long, url string, html string, text string, row string, found string, n_chars int"
+    assert H.main_texts(spark.createDataFrame([], schema)).count() == 0
+    clash = spark.createDataFrame([(None, "u", page, "t", "r", "f", 7)], schema)
+    assert [tuple(r) for r in H.main_texts(clash).collect()] == [(None, "u", text, len(text))]
 
 
 # --- pipeline ---
