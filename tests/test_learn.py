@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from turnwise.learn import models, validate
+from turnwise.learn import certify, models, validate
 from turnwise.learn.models import Spec
 from turnwise.operators import metrics
 from turnwise.schemas import BASE_FEATURES
@@ -92,3 +92,21 @@ def test_medians_interpolate(spark):
 def test_ablation_grid_shapes():
     sizes = {s.name: len(s.features) for s in validate.ablation_specs()}
     assert sizes == {"lr_13": 13, "lr_18": 18, "rf_13": 13, "rf_16": 16, "rf_15": 15, "rf_18": 18}
+
+
+def test_optimality_holds_for_a_fit_and_fails_for_others(table):
+    model = models.fit(table, SPEC)
+    rows = certify.optimality(model, table, SPEC).collect()
+    assert [r.feature for r in rows] == ["a", "b", certify.INTERCEPT] and all(r.optimal for r in rows)
+    x, y = _matrix(table)
+    assert [r.observed for r in rows] == pytest.approx([*(x.T @ y), y.sum()])
+    held = models.fit(table.filter("fold <> 1"), SPEC)
+    assert not all(r.optimal for r in certify.optimality(held, table, SPEC).collect())
+
+
+def test_a_forest_replays_by_its_node_table(table):
+    spec = Spec("rf", "random_forest", ("a", "b"), "y")
+    model = models.fit(table, spec)
+    want = {(r.g, r.b): r.p for r in models.score(model, table).collect()}
+    got = {(r.g, r.b): r.p for r in certify.replay(model, table, spec.features, ["g", "b"]).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)

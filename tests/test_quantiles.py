@@ -16,25 +16,36 @@ def _frame(spark, seed=3, n=20_000):
     return spark.createDataFrame(rows, "skewed double, signed double, ties double, holes double, empty double"), rows
 
 
-def test_sketch_brackets_give_exact_values(spark):
-    df, rows = _frame(spark)
-    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
-    columns = ["skewed", "signed", "ties", "holes", "empty"]
-    for kwargs in ({}, {"accuracy": 200}):
-        got = exact_quantiles(df, columns, probs, **kwargs)
-        for i, c in enumerate(columns):
-            present = [r[i] for r in rows if r[i] is not None]
-            want = np.quantile(present, probs).tolist() if present else [None] * len(probs)
-            assert got[c] == want or np.allclose(got[c], want, rtol=1e-12)
-
+PROBABILITIES = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
 
-def test_wrong_brackets_fall_back_to_the_whole_range(spark, monkeypatch):
-    from turnwise.operators import quantiles
 
-    df, rows = _frame(spark, n=2000)
-    monkeypatch.setattr(quantiles, "_brackets", lambda d, cs, ps, a: {(c, i): (1e9, 1e9) for c in cs for i in range(len(ps))})
-    got = exact_quantiles(df, ["skewed"], [0.25, 0.5])
-    assert np.allclose(got["skewed"], np.quantile([r[0] for r in rows], [0.25, 0.5]))
+def test_selection_gives_exact_values(spark):
+    df, rows = _frame(spark)
+    columns = ["skewed", "signed", "ties", "holes", "empty"]
+    got = exact_quantiles(df, columns, PROBABILITIES)
+    for i, c in enumerate(columns):
+        present = [r[i] for r in rows if r[i] is not None]
+        want = np.quantile(present, PROBABILITIES).tolist() if present else [None] * len(PROBABILITIES)
+        assert got[c] == want or np.allclose(got[c], want, rtol=1e-12)
+
+
+def test_odd_values(spark):
+    """Zeros of both signs, the smallest and largest numbers, one value only, NaN as missing, whole numbers."""
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 1.0, 1.0, -1.0, 1e-300, 2.0]
+    rows = [(x, 7.5, float("nan") if i % 2 else x, i - 5) for i, x in enumerate(odd)]
+    df = spark.createDataFrame(rows, "odd double, same float, holes double, whole int")
+    got = exact_quantiles(df, ["odd", "same", "holes", "whole"], PROBABILITIES)
+    assert np.allclose(got["odd"], np.quantile(odd, PROBABILITIES), rtol=1e-12)
+    assert got["same"] == [7.5] * len(PROBABILITIES)
+    assert np.allclose(got["holes"], np.quantile(odd[::2], PROBABILITIES), rtol=1e-12)
+    assert np.allclose(got["whole"], np.quantile(range(-5, 6), PROBABILITIES))
+    assert exact_quantiles(df.limit(0), ["odd"], [0.5]) == {"odd": [None]} and exact_quantiles(df, [], [0.5]) == {}
+
+
+def test_one_value_in_a_third_of_all_rows(spark):
+    values = [3.0] * 1000 + [3.0 + i / 1e6 for i in range(1000)] + [float(i) for i in range(1000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert np.allclose(exact_quantiles(df, ["x"], PROBABILITIES)["x"], np.quantile(values, PROBABILITIES), rtol=1e-12)
 
 
 def test_describe_uses_sample_deviation(spark):

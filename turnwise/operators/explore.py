@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.numeric import as_column
 from turnwise.operators.quantiles import exact_quantiles
+from turnwise.session import materialise
 
 QUARTILES = [0.25, 0.5, 0.75]
 UNRANKED = "Unranked (>5)"
@@ -27,6 +28,7 @@ def compare_groups(df: DataFrame, by: str, *, count: str = "ply_number", loss: s
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, min, exact quartiles and max; one row per column."""
+    df = materialise(df.select(*columns), "described")  # three passes read it
     quartiles = exact_quantiles(df, columns, QUARTILES)
     row = df.agg(
         F.array(
@@ -71,7 +73,7 @@ def rank_distribution(df: DataFrame, rank: str = "played_move_rank_top5") -> Dat
 
 def iqr_fence(df: DataFrame, value: str) -> DataFrame:
     """One row with exact quartiles and the upper fence; the values' domain may be unbounded."""
-    q25, q75 = exact_quantiles(df, [value], [0.25, 0.75])[value]
+    q25, q75 = exact_quantiles(materialise(df.select(value), "fenced"), [value], [0.25, 0.75])[value]
     row = df.sparkSession.createDataFrame([(q25, q75)], "q25 double, q75 double")
     return row.select("*", (F.col("q75") - F.col("q25")).alias("iqr"),
                       (F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))).alias("upper_bound"))

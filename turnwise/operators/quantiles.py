@@ -1,8 +1,9 @@
 """Exact quantiles with linear interpolation, also of columns with unbounded values.
 
 ``percentile`` keeps a count per distinct value in one buffer. That is fine for values
-with a bounded domain. For others :func:`exact_quantiles` brackets each
-wanted order statistic with a sketch and sorts only what falls inside the bracket.
+with a bounded domain. For others :func:`exact_quantiles` selects by digits: one pass counts
+the rows by the leading digits of an order-preserving key, for all columns at once; a second pass
+reads only rows that share the leading digits of a wanted rank.
 """
 
 from __future__ import annotations
@@ -10,118 +11,96 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.operators.ordering import running_totals
 
-#: Sketch accuracy: a bracket holds about ``4 / ACCURACY`` of the rows.
-ACCURACY = 20_000
-#: Pieces a bracket is ranked in.
-PIECES = 1024
+#: Steps of the leading digits per factor of e, and pieces that a step is ranked in.
+STEPS, PIECES = 64, 1024
+#: Above the largest size of a double's logarithm, so that the sign comes first in the key.
+OFFSET = 800
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    *,
-    accuracy: int = ACCURACY,
-) -> dict[str, list[float | None]]:
-    """Interpolated quantiles per column, missing values left out.
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
+    """Interpolated quantiles per column; missing values and NaN are left out.
 
-    Four jobs, whatever the size: counts, sketches, what lies below the brackets, and the ranks
-    inside them. What reaches the driver has one row per column and probability.
+    Two passes over ``df``, whatever its size or values. What reaches the driver has at most two rows per
+    column and probability. A column without values gives None.
     """
     columns, probabilities = list(columns), list(probabilities)
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    targets = []
-    for c in columns:
-        for i, p in enumerate(probabilities):
-            if counts[c]:
-                at = p * (counts[c] - 1)
-                targets.append((c, i, math.floor(at), math.ceil(at), at - math.floor(at)))
-    brackets = _brackets(df, columns, probabilities, accuracy)
-    ends = _order_statistics(df, targets, brackets)
-    missed = [t for t in targets if ends[t[:2]] is None]
-    if missed:  # the sketch was off: take the whole range
-        ends |= _order_statistics(df, missed, {t[:2]: (None, None) for t in missed})
+    if not columns:
+        return {}
+    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns}
+    wanted = _located(df, [value[c] for c in columns], probabilities)
+    found = _selected(df, [value[c] for c in columns], wanted)
     out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    for c, i, _, _, weight in targets:
-        low, high = ends[c, i]
-        out[c][i] = low + (high - low) * weight
+    ends: dict[tuple[int, int], dict[str, float]] = {}
+    for row in wanted:
+        ends.setdefault((row["c"], row["i"]), {})[row["end"]] = found[row["c"], row["rank"]]
+        low_high = ends[row["c"], row["i"]]
+        if len(low_high) == 2:
+            at = probabilities[row["i"]] * (row["total"] - 1)
+            low, high = low_high["low"], low_high["high"]
+            out[columns[row["c"]]][row["i"]] = low + (high - low) * (at - math.floor(at))
     return out
 
 
-def _brackets(df, columns, probabilities, accuracy):
-    """Values the sketch puts safely below and above each quantile."""
-    margin = 2.0 / accuracy
-    lows = F.array(*[F.lit(max(0.0, p - margin)) for p in probabilities])
-    highs = F.array(*[F.lit(min(1.0, p + margin)) for p in probabilities])
-    row = df.agg(
-        *[F.percentile_approx(c, lows, accuracy).alias(f"lo_{c}") for c in columns],
-        *[F.percentile_approx(c, highs, accuracy).alias(f"hi_{c}") for c in columns],
-    ).first()
-    return {
-        (c, i): (row[f"lo_{c}"][i], row[f"hi_{c}"][i])
-        for c in columns
-        if row[f"lo_{c}"] is not None
-        for i in range(len(probabilities))
-    }
-
-
-def _order_statistics(df, targets, brackets):
-    """Values at the two ranks around each target, None where the bracket misses them.
-
-    Values inside brackets are counted per distinct value before they are ranked, and
-    each bracket is ranked in buckets, so neither ties nor a wide bracket meet in one
-    task.
-    """
-    below, inside = [], []
-    for n, (c, i, *_rest) in enumerate(targets):
-        low, high = brackets[c, i]
-        value = F.col(c).cast("double")
-        below.append(F.count_if(value < low if low is not None else F.lit(False)).alias(f"b{n}"))
-        held = value.isNotNull()
-        if low is not None:
-            held = held & (value >= low)
-        if high is not None:
-            held = held & (value <= high)
-        inside.append(F.when(held, F.struct(F.lit(n).alias("target"), value.alias("value"))))
-    starts = df.agg(*below).first()
-    values = (
-        df.select(F.explode(F.filter(F.array(*inside), lambda x: x.isNotNull())).alias("v"))
-        .groupBy("v.target", "v.value")
-        .agg(F.count(F.lit(1)).alias("n"))
+def _key(value: Column, steps: int) -> Column:
+    """A whole number that never decreases with the value: steps of its logarithm, by sign."""
+    size = F.greatest(F.least(F.abs(value), F.lit(1.7e308)), F.lit(5e-324))
+    step = F.floor((F.log(size) + OFFSET) * steps)
+    return F.when(value > 0, step).when(value < 0, -step).when(value == 0, F.lit(0))
+
+
+def _located(df: DataFrame, values: Sequence[Column], probabilities: Sequence[float]) -> list:
+    """First pass: for both ranks around each quantile, the leading digits they share and how many rows lie before."""
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), _key(v, STEPS).alias("b")) for i, v in enumerate(values)])
+    sizes = (
+        df.select(F.explode(F.filter(cells, lambda x: x["b"].isNotNull())).alias("v"))
+        .groupBy("v.c", "v.b").agg(F.count(F.lit(1)).alias("n"))
     )
-    bucket = _magnitude(F.col("value"))
-    for n, (c, i, *_rest) in enumerate(targets):
-        low, high = brackets[c, i]
-        if low is not None and high is not None and high > low:
-            step = F.floor((F.col("value") - F.lit(float(low))) / F.lit(float(high) - float(low)) * PIECES)
-            bucket = F.when(F.col("target") == n, step).otherwise(bucket)
-    ranked = running_totals(values, ["target"], ["value"], bucket, {"upto": "n"})
-    ranks = F.lit(None)
-    for n, (_c, _i, lo, hi, _w) in enumerate(targets):
-        start = starts[f"b{n}"]
-        ranks = F.when(
-            F.col("target") == n, F.array(F.lit(lo - start), F.lit(hi - start))
-        ).otherwise(ranks)
-    hit = (
-        ranked.withColumn("rank", F.explode(ranks))
-        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-        .select("target", "rank", "value")
+    column = Window.partitionBy("c")  # as many rows as there are steps
+    counted = sizes.select(
+        "*", F.sum("n").over(column.orderBy("b")).alias("upto"), F.sum("n").over(column).alias("total")
+    )
+    ranks = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(end).alias("end"), round_(F.lit(p) * (F.col("total") - 1)).cast("long").alias("rank"))
+        for i, p in enumerate(probabilities) for end, round_ in (("low", F.floor), ("high", F.ceil))
+    ])
+    return (
+        counted.select("c", "b", "n", "upto", "total", F.inline(ranks))
+        .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        .select("c", "i", "end", "b", "rank", (F.col("upto") - F.col("n")).alias("before"), "total").collect()
     )
-    found = {(r["target"], r["rank"]): r["value"] for r in hit.collect()}
-    out = {}
-    for n, (c, i, lo, hi, _w) in enumerate(targets):
-        start = starts[f"b{n}"]
-        pair = (found.get((n, lo - start)), found.get((n, hi - start)))
-        out[c, i] = None if None in pair else pair
-    return out
 
 
-def _magnitude(value: Column) -> Column:
-    """Bucket that never decreases with the value: 64 steps per factor of e, per sign."""
-    size = F.floor(F.log(F.greatest(F.abs(value), F.lit(1e-300))) * 64) + 50_000
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
+def _selected(df: DataFrame, values: Sequence[Column], wanted: Sequence) -> dict[tuple[int, int], float]:
+    """Second pass: the values at the wanted ranks, by column and rank.
+
+    Rows with the wanted digits are counted per distinct value before they are ranked, and each step is ranked
+    in pieces, so neither ties nor a wide step meet in one task.
+    """
+    steps: dict[int, dict[int, tuple[int, set[int]]]] = {}
+    for row in wanted:
+        steps.setdefault(row["c"], {}).setdefault(row["b"], (row["before"], set()))[1].add(row["rank"])
+    if not steps:
+        return {}
+    held, ranks = [], []
+    for c, own in steps.items():
+        digits = _key(values[c], STEPS)
+        held.append(F.when(digits.isin(list(own)), F.struct(F.lit(c).alias("c"), digits.alias("b"), values[c].alias("value"))))
+        ranks += [F.struct(F.lit(c).alias("wc"), F.lit(b).cast("long").alias("wb"), F.lit(before).cast("long").alias("before"),
+                           F.array(*[F.lit(r).cast("long") for r in sorted(inside)]).alias("ranks"))
+                  for b, (before, inside) in own.items()]
+    distinct = (
+        df.select(F.explode(F.filter(F.array(*held), lambda x: x.isNotNull())).alias("v"))
+        .groupBy("v.c", "v.b", "v.value").agg(F.count(F.lit(1)).alias("n"))
+    )
+    ranked = running_totals(distinct, ["c", "b"], ["value"], _key(F.col("value"), STEPS * PIECES), {"upto": "n"})
+    own = F.filter(F.array(*ranks), lambda x: (x["wc"] == F.col("c")) & (x["wb"] == F.col("b")))[0]
+    hit = ranked.withColumn("own", own).select(
+        "c", "value", F.explode(F.filter("own.ranks", lambda r: (r < F.col("own.before") + F.col("upto"))
+                                         & (r >= F.col("own.before") + F.col("upto") - F.col("n")))).alias("rank")
+    )
+    return {(r["c"], r["rank"]): r["value"] for r in hit.collect()}

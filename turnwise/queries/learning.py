@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import functools
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.learn import models, validate
+from turnwise.learn import certify, models, validate
 from turnwise.learn.models import Spec
-from turnwise.operators import folds, metrics, report
+from turnwise.operators import folds, metrics
 from turnwise.operators.features import benchmark_features
 from turnwise.plans.prediction import predict
 from turnwise.queries.registry import PLAYER, plies, query, rounded, scored, sql_r6
@@ -186,97 +187,182 @@ def _folded_features(spark, folder, *, complexity: bool = False):
 
 
 def _oof(spark, folder, spec: Spec):
-    """Out-of-fold rows; the probability is the model's, so what SQL can state of it stands for it."""
-    out = validate.out_of_fold(_folded_features(spark, folder), [spec])
-    fair = F.col("p").between(0, 1)
-    return out.select("game_id", "fold", LABEL, "model", fair.alias("is_probability"))
+    return validate.out_of_fold(_folded_features(spark, folder), [spec]).select("game_id", "fold", LABEL, "model", "p")
 
 
 def _oof_sql(model: str) -> str:
     return f"""
-select game_id, fold, is_cheating, '{model}' as model, true as is_probability from features join folded using (physical_game_id)"""
+select game_id, fold, is_cheating, '{model}' as model from features join folded using (physical_game_id)"""
 
 
 @query("lr_oof", _oof_sql("logistic_regression"), ("features", "folded"))
 def lr_oof(spark, folder):
-    """Every row exactly once, with its fold and label."""
-    return _oof(spark, folder, _LR)
+    """Every row exactly once, with its fold and label; ``lr_optimality`` proves the models behind it."""
+    return _oof(spark, folder, _LR).drop("p")
 
 
 @query("rf_oof", _oof_sql("random_forest"), ("features", "folded"))
 def rf_oof(spark, folder):
-    return _oof(spark, folder, _RF)
+    return _oof(spark, folder, _RF).drop("p")
 
 
-def _checked_metrics(table):
-    """Row counts of the cells, and whether every measure lies where it must."""
-    measures = [F.col(c).between(0, 1) for c in _METRICS]
-    consistent = F.abs(F.col("accuracy") - (F.col("tp") + F.col("tn")) / (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))) < 1e-9
-    return table.select(
-        "model", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows"),
-        (F.col("fn") + F.col("tp")).alias("positives"),
-        functools.reduce(lambda a, b: a & b, measures, consistent).alias("measures_fit"),
-        (F.col("roc_auc") > 0.4).alias("ranks"),
+@query("oof_values")
+def oof_values(spark, folder):
+    """Out-of-fold probabilities of both models."""
+    table = _folded_features(spark, folder)
+    return validate.out_of_fold(table, [_LR, _RF]).select("game_id", "fold", LABEL, "model", "p")
+
+
+_SUMS = ", ".join(f"sum(is_cheating * ({c} - a_{c}) / s_{c}) as {c}" for c in BASE_FEATURES)
+
+
+@query("lr_optimality", f"""
+select * from (with t as (select k.fold as held, f.* from features f join folded g using (physical_game_id)
+  join (select distinct fold from folded union all select -1) k on g.fold <> k.fold),
+m as (select held, {', '.join(f'median({c}) as m_{c}' for c in BASE_FEATURES)} from t group by held),
+x as (select held, is_cheating, {', '.join(f'coalesce(cast({c} as double), m_{c}, 0) as {c}' for c in BASE_FEATURES)} from t join m using (held)),
+s as (select held, {', '.join(f'avg({c}) as a_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) as s_{c}' for c in BASE_FEATURES)}
+  from x group by held),
+z as (select held, count(*) as n, sum(is_cheating) as positives, {_SUMS} from x join s using (held) group by held)
+""" + " union all ".join(
+    f"select held as fold, '{name}' as feature, n as rows, round(cast({value} as double), 4) + 0.0 as observed,"
+    f" round(cast({value} as double), 4) + 0.0 as fitted from z"
+    for name, value in [*((c, c) for c in BASE_FEATURES), (certify.INTERCEPT, "positives")]
+) + ")", ("features", "folded"))
+def lr_optimality(spark, folder):
+    """Both sides of the optimality condition for the model of every fold, and (-1) of all rows.
+
+    The model's side shows the labels' one where the fit is within the bound, and its own value where it
+    isn't; so a fit that isn't the best one differs from the SQL, which knows labels and features only.
+    """
+    table = _folded_features(spark, folder)
+    models_ = {fold: m for (_, fold), m in validate.fold_models(table, [_LR]).items()} | {-1: models.fit(table, _LR)}
+    parts = [
+        certify.optimality(model, table.filter(F.col("fold") != fold), _LR).select(F.lit(fold).alias("fold"), "*")
+        for fold, model in models_.items()
+    ]
+    shown = F.when(F.col("optimal"), F.col("observed")).otherwise(F.col("fitted"))
+    return functools.reduce(DataFrame.unionByName, parts).select(
+        "fold", "feature", "rows", (F.round("observed", 4) + F.lit(0.0)).alias("observed"),
+        (F.round(shown, 4) + F.lit(0.0)).alias("fitted"),
     )
 
 
-def _metrics_sql(models_: list[str], where: str = "") -> str:
+@query("rf_replay")
+def rf_replay(spark, folder):
+    """The forest of fold 0 on its held-out rows: its own probability beside that of its node table."""
+    table = _folded_features(spark, folder)
+    model = models.fit(table.filter("fold <> 0"), _RF)
+    held = table.filter("fold = 0")
+    own = models.score(model, held).select("game_id", "p")
+    return own.join(certify.replay(model, held, _RF.features, ["game_id"]).withColumnRenamed("p", "replayed"), "game_id")
+
+
+def _stumps(table):
+    """Two-level trees whose numbers are medians of the data: tree k splits by feature k, then by the next one."""
+    middle = models.medians(table, BASE_FEATURES)
+    rows = []
+    for k, name in enumerate(BASE_FEATURES):
+        after = (k + 1) % len(BASE_FEATURES)
+        rows += [(k, 0, k, middle[name], 1, 2, 0.5), (k, 1, after, middle[BASE_FEATURES[after]], 3, 4, 0.5),
+                 (k, 2, None, None, -1, -1, 0.25), (k, 3, None, None, -1, -1, 0.125 * (k % 8)), (k, 4, None, None, -1, -1, 1.0)]
+    return table.sparkSession.createDataFrame(
+        rows, "tree int, node int, feature int, threshold double, left int, right int, share double")
+
+
+def _walk_sql() -> str:
+    filled = lambda c: f"coalesce(cast({c} as double), (select median({c}) from features), 0)"
+    middle = lambda c: f"coalesce((select median({c}) from features), 0)"
+    after = lambda k: BASE_FEATURES[(k + 1) % len(BASE_FEATURES)]
+    trees = [
+        f"case when {filled(c)} > {middle(c)} then 0.25 when {filled(after(k))} <= {middle(after(k))} then {0.125 * (k % 8)} else 1.0 end"
+        for k, c in enumerate(BASE_FEATURES)
+    ]
+    return f"select game_id, {sql_r6('(' + ' + '.join(trees) + f') / {len(trees)}.0')} as p from features"
+
+
+@query("forest_walk", _walk_sql(), ("features",))
+def forest_walk(spark, folder):
+    """A forest given as a table, walked by joins: the scoring that ``rf_replay`` checks fitted forests by."""
+    table = _features(spark, folder)
+    filled = models.impute(table, models.medians(table, BASE_FEATURES))
+    return rounded(certify.walk(filled, _stumps(table), BASE_FEATURES, ["game_id"], 2, len(BASE_FEATURES)), "p")
+
+
+def _cells(table):
+    """Rows and positives that the cells of a table of metrics add up to."""
+    return table.select(
+        "model", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows"), (F.col("fn") + F.col("tp")).alias("positives"))
+
+
+def _cells_of_sql(models_: list[str], where: str = "") -> str:
     return " union all ".join(f"""
-select '{m}' as model, count(*) as rows, cast(sum(is_cheating) as bigint) as positives, true as measures_fit, true as ranks
+select '{m}' as model, count(*) as rows, cast(sum(is_cheating) as bigint) as positives
 from features join folded using (physical_game_id) {where}""" for m in models_)
 
 
-@query("holdout_eval", _metrics_sql(["logistic_regression", "random_forest"], "where fold = 0"), ("features", "folded"))
-def holdout_eval(spark, folder):
+def _holdout(spark, folder):
     table = _folded_features(spark, folder)
     parts = [validate.holdout(table, spec) for spec in (_LR, _RF)]
-    return _checked_metrics(parts[0].unionByName(parts[1]))
+    return parts[0].unionByName(parts[1])
+
+
+@query("holdout_eval", _cells_of_sql(["logistic_regression", "random_forest"], "where fold = 0"), ("features", "folded"))
+def holdout_eval(spark, folder):
+    return _cells(_holdout(spark, folder))
+
 
+@query("holdout_values")
+def holdout_values(spark, folder):
+    """Metrics of both models on the rows of fold 0."""
+    return _holdout(spark, folder)
 
-@query("feature_importance", " union all ".join(
-    f"select '{m}' as model, '{f}' as feature, true as is_weight, true as totals_fit"
-    for m in ("logistic_regression", "random_forest") for f in BASE_FEATURES
-))
+
+@query("feature_importance")
 def feature_importance(spark, folder):
     """All weights of both final models; a forest's are shares that sum to 1."""
     table = _features(spark, folder)
-    out = []
-    for spec in (_LR, _RF):
-        found = models.importances(models.fit(table, spec), BASE_FEATURES, spark)
-        total = found.agg(F.sum("weight").alias("t")).scalar()
-        forest = spec is _RF
-        out.append(found.select(
-            F.lit(spec.name).alias("model"), "feature",
-            (F.col("weight").between(0, 1) if forest else F.col("weight").isNotNull() & ~F.isnan("weight")).alias("is_weight"),
-            (F.abs(total - 1) < 1e-9 if forest else F.lit(True)).alias("totals_fit"),
-        ))
+    out = [
+        models.importances(models.fit(table, spec), BASE_FEATURES, spark).select(F.lit(spec.name).alias("model"), "feature", "weight")
+        for spec in (_LR, _RF)
+    ]
     return out[0].unionByName(out[1])
 
 
-@query("ablation_grid", _metrics_sql([s.name for s in validate.ablation_specs(LABEL)]), ("features", "folded"))
+def _ablation(spark, folder):
+    return validate.ablation(_folded_features(spark, folder, complexity=True), LABEL)
+
+
+@query("ablation_grid", _cells_of_sql([s.name for s in validate.ablation_specs(LABEL)]), ("features", "folded"))
 def ablation_grid(spark, folder):
-    return _checked_metrics(validate.ablation(_folded_features(spark, folder, complexity=True), LABEL))
+    return _cells(_ablation(spark, folder))
 
 
-@query("score_players", """
-select physical_game_id, player_color, true as class_fits, true as scores_sum, true as card_fits, 'compatible' as experimental_status,
-  true as experimental_fits from (select distinct physical_game_id, player_color from engine_rows join plies using (physical_game_id, ply_number))""",
-       ("engine_rows",))
-def score_players(spark, folder):
+@query("ablation_values")
+def ablation_values(spark, folder):
+    """Pooled out-of-fold metrics of the grid."""
+    return _ablation(spark, folder)
+
+
+def _players(spark, folder):
     """Both models from labelled plies; class, scores and card of every player and game from its engine lines."""
     table = _features(spark, folder, complexity=True)
     wide = Spec("complexity", "logistic_regression", tuple(ALL_FEATURES), LABEL)
     p = plies(spark, folder)
-    out = predict(p, adapters.engine_lines(p), models.fit(table, _LR), game="physical_game_id", played="move_player",
-                  complexity_model=models.fit(table, wide))
-    assisted = F.col("classification") == report.ASSISTED
-    own = F.when(assisted, F.col("engine_assisted_likelihood")).otherwise(F.col("human_like_likelihood"))
-    score = F.col("experimental.score")
-    return out.select(
-        *PLAYER, (assisted == (F.col("p") >= report.THRESHOLD)).alias("class_fits"),
-        (F.abs(F.col("engine_assisted_likelihood") + F.col("human_like_likelihood") - 1) < 2e-4).alias("scores_sum"),
-        (F.abs(F.col("card.primary_pct") - own * 100) < 1e-6).alias("card_fits"),
-        F.col("experimental.status").alias("experimental_status"),
-        (score.between(0, 1) & ((F.col("experimental.classification") == report.ASSISTED) | (score <= report.THRESHOLD))).alias(
-            "experimental_fits"),
-    )
+    return predict(p, adapters.engine_lines(p), models.fit(table, _LR), game="physical_game_id", played="move_player",
+                   complexity_model=models.fit(table, wide))
+
+
+@query("score_players", """
+select distinct physical_game_id, player_color, 'compatible' as experimental_status
+from engine_rows join plies using (physical_game_id, ply_number)""", ("engine_rows",))
+def score_players(spark, folder):
+    """Who is scored, and whether the depth of the engine lines admits the experimental score."""
+    return _players(spark, folder).select(*PLAYER, F.col("experimental.status").alias("experimental_status"))
+
+
+@query("score_players_values")
+def score_players_values(spark, folder):
+    """Class, likelihoods, card and experimental score of every player and game."""
+    return _players(spark, folder).select(
+        *PLAYER, "classification", "p", "engine_assisted_likelihood", "human_like_likelihood", "card", "experimental")
