@@ -89,6 +89,20 @@ def test_output_path():
     assert sinks.engine_output_path("out.d/x") == "out.d/x_engine_analysis"
 
 
+def test_a_failed_write_leaves_the_old_output(spark, tmp_path):
+    path = str(tmp_path / "out")
+    good = spark.createDataFrame([(1, "a")], "id int, name string")
+    sinks.write_csv(good, path, ["id", "name"])
+    broken = good.withColumn("name", F.raise_error(F.lit("broken")).cast("string"))
+    for write in (lambda: sinks.write_csv(broken, path, ["id", "name"]), lambda: sinks.write_document(broken, path)):
+        with pytest.raises(Exception, match="broken"):
+            write()
+    assert [tuple(r) for r in spark.read.csv(path, header=True).collect()] == [("1", "a")]
+    sinks.write_csv(spark.read.csv(path, header=True).withColumn("id", F.lit(2)), path, ["id"])  # reads what it replaces
+    assert [tuple(r) for r in spark.read.csv(path, header=True).collect()] == [("2",)]
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
 def test_manifest_files_flatten(spark, tmp_path):
     doc = {"files_processed": [{"file": "a", "category": "c", "moves_extracted": 3,
                                 "provenance_audit": {"provenance_status": "s", "authenticity": "t"}}, {"file": "b"}]}

@@ -222,3 +222,16 @@ def test_games_without_an_event_tag_stay_apart(spark, tmp_path):
     assert [(r.game_index, r.headers["White"], [m.san for m in r.moves]) for r in rows] == [
         (1, "One", ["e4", "e5"]), (2, "Two", ["d4", "d5", "c4"]), (3, "One", ["e4", "e5"]), (4, "Two", ["d4", "d5", "c4"]),
     ]
+
+
+def test_variations_deeper_than_the_passes_and_unbalanced_ones(spark):
+    """Depths around the number of passes, also beside each other, give the same line; so do broken ones the same reason."""
+    def nested(depth):
+        return "(" * depth + "1. a4 " + ") ".join([""] * depth) + ")"
+
+    texts = [f"1. e4 {nested(d)} e5 {nested(1)} 2. Nf3 {nested(2 * d)} *" for d in (1, G.LEVELS - 1, G.LEVELS, G.LEVELS + 1, 40)]
+    broken = [f"1. e4 {x} e5 *" for x in ("(a", "a)", ") b (", nested(9) + ")", "(" + nested(9), "((" + nested(3) + ")")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + broken)], "i int, t string")
+    rows = df.select("i", G.mainline("t").alias("line")).orderBy("i").collect()
+    assert [r.line.split() for r in rows[:len(texts)]] == [["e4", "e5", "Nf3"]] * len(texts)
+    assert all("(" in r.line or ")" in r.line for r in rows[len(texts):])

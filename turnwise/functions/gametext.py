@@ -64,16 +64,24 @@ def known_value(value: Column | str) -> Column:
 def mainline(record: Column | str) -> Column:
     """Main line of a record with each clock comment turned into ``<h:mm:ss>``.
 
-    Three passes: one drops comments, headers and marks from left to right and keeps
-    clocks, one drops variations with all that is nested in them, one drops move numbers,
-    results and the empty clocks the first pass leaves. A text whose parentheses don't balance
+    One pass drops comments, headers and marks from left to right and keeps clocks. Passes in
+    time linear in the text then drop the innermost variations, a level each; only what nests deeper
+    still is walked piece by piece. The last pass drops move numbers, results and the empty clocks
+    the first one leaves. A text whose parentheses don't balance
     keeps one, by which :func:`reject_reason` knows it.
     """
     text = F.regexp_replace(as_column(record), _NOT_MOVES, " <$1> ")
+    for _ in range(LEVELS):
+        text = F.regexp_replace(text, _INNERMOST, " ")
     text = F.when(text.rlike("[()]"), _outside_variations(text)).otherwise(text)
     return F.trim(F.regexp_replace(text, _NUMBERS, " "))
 
 
+#: Levels of variations that regular expressions drop before the rest is walked, and an innermost variation.
+LEVELS = 6
+_INNERMOST = r"\([^()]*+\)"
+
+
 def _outside_variations(text: Column) -> Column:
     """Text at depth 0, whatever the depth of the variations between.
 

@@ -11,6 +11,7 @@ from turnwise.functions import gametext as G
 from turnwise.queries.registry import KEYS, array_sql, plies, query, r6, sql_r6
 from turnwise.schemas import CATEGORIES
 from turnwise.session import scratch_folder
+from turnwise.session import materialise
 from turnwise.sources import games
 from turnwise.sources.adapters import SAN_SAMPLES, table
 
@@ -142,8 +143,8 @@ select physical_game_id, block, 'The "' || physical_game_id || '" one' as white,
 from {_BLOCKED} group by 1, 2""", ("plies",))
 def reject_split(spark, folder):
     """Good games with their ply count, rejects with reason and player."""
-    p = parsed(spark, folder, faults=True)
     keys = ["physical_game_id", "block"]
+    p = materialise(parsed(spark, folder, faults=True).select(*keys, "headers", "moves", "reject_reason"), "split")
     bad = games.rejects(p, keys).select(*keys, "white", "error", F.lit(0).cast("bigint").alias("plies"))
     good = games.good_games(p).select(
         *keys, G.header("headers", "White").alias("white"), F.lit(None).cast("string").alias("error"),

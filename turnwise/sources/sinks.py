@@ -1,20 +1,48 @@
-"""Sinks: fixed-column CSV, one-row JSON documents. Spark's job commit makes them atomic."""
+"""Sinks: fixed-column CSV, one-row JSON documents. An output is replaced only by a whole new one."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Write the listed columns with a header; other columns are dropped, NULL is empty text."""
-    df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    rows = df.select(*columns)
+    swapped(rows, path, lambda to: rows.write.option("header", True).option("escape", '"').csv(to))
 
 
 def write_document(row: DataFrame, path: str) -> None:
     """Write a one-row frame of nested columns as a JSON document."""
-    row.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    swapped(row, path, lambda to: row.write.option("ignoreNullFields", False).json(to))
+
+
+def swapped(df: DataFrame, path: str, write: Callable[[str], None]) -> None:
+    """Writes beside ``path`` and takes its place by renames once the job has committed.
+
+    A job that fails leaves the old output as it was, and so does one whose input is the old output
+    itself. Between the two renames nothing stands at ``path``; if the second fails, the old output is put back.
+    """
+    context = df.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path
+    mark = uuid.uuid4().hex
+    target, fresh, old = place(path), place(f"{path}.{mark}.new"), place(f"{path}.{mark}.old")
+    system = target.getFileSystem(context._jsc.hadoopConfiguration())
+    try:
+        write(fresh.toString())
+        replaced = system.exists(target)
+        if replaced and not system.rename(target, old):
+            raise OSError(f"could not move {path} aside")
+        if not system.rename(fresh, target):
+            if replaced:
+                system.rename(old, target)
+            raise OSError(f"could not move the new output to {path}")
+        if replaced:
+            system.delete(old, True)
+    finally:
+        system.delete(fresh, True)
 
 
 def engine_output_path(base: str) -> str:
