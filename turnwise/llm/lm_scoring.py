@@ -1,6 +1,6 @@
 """Language-model scores from word n-gram tries with Elias-Fano pointers.
 
-Documents are packed into chunks of about 8 MB of text, each one row of a table in the shared folder, in the
+Documents are packed into chunks of about 4 MB of text, each one row of a table in the shared folder, in the
 order in which tasks read them; so copies of a document stay where they are, and chunks don't grow. A chunk
 keeps its tokens as numbers of its different words. It sends to every part one coded block: its words that
 aren't frequent, and its different triples of words (the word and the two before it), each with its count in training documents.
@@ -66,10 +66,10 @@ from turnwise.llm.word_trie import (
 
 FOLDS, HELD_OUT = 7, 2
 #: Text of a chunk and of a part; a task also holds a chunk's or a part's grams, several times its text.
-CHUNK_BYTES, PART_BYTES = 8 << 20, 8 << 20
+CHUNK_BYTES, PART_BYTES = 4 << 20, 6 << 20
 FREQUENT = 300_000
 #: Distinct words a task counts before it hands them on.
-COUNTED = 500_000
+COUNTED = 250_000
 #: Words whose hashes are worked out at once.
 HASHED = 50_000
 #: Weight of the spelling in an unknown word's probability; an even share has the rest.
