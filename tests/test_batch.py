@@ -10,7 +10,7 @@ from test_gametext import BARE, MINIMAL, NO_MOVES, TWO
 from turnwise.learn import models
 from turnwise.plans import batch, eda, prediction, training
 from turnwise.schemas import BASE_FEATURES, BENCHMARK_PLIES, MOVE_COLUMNS, PROFILE_COLUMNS
-from turnwise.sources import adapters, sinks, tables
+from turnwise.sources import adapters, games, sinks, tables
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -169,3 +169,56 @@ def test_bucketed_tables_enrich_without_a_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("drop table bucketed_plies")
         spark.sql("drop table bucketed_lines")
+
+
+def _checked(spark, path, text):
+    """A file with the file system's checksums beside it."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    out = name.getFileSystem(spark._jsc.hadoopConfiguration()).create(name)
+    out.write(text.encode())
+    out.close()
+
+
+@pytest.mark.parametrize("kept", [0, 100, 70_000])
+def test_a_truncated_file_is_one_reject_and_the_others_stay(spark, root, tmp_path, kept):
+    for name in ("human_games/opera_game_1858.pgn", "unlabeled/a.pgn", "unlabeled/b.pgn"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text((Path(root) / name).read_text())
+    long = tmp_path / "unlabeled" / "aa.pgn"
+    _checked(spark, long, MINIMAL + "\n" + "\n".join([MINIMAL] * 1500))
+    whole = batch.run(spark, str(tmp_path))
+    assert whole.rejects.filter("source_file = 'unlabeled/aa.pgn'").count() == 0
+    assert whole.files.filter("file = 'unlabeled/aa.pgn'").first().games_processed == 1501
+    with open(long, "r+b") as file:
+        file.truncate(kept)
+    result = batch.run(spark, str(tmp_path))
+    bad = {r.source_file: (r.source_category, r.error, r.game_index) for r in result.rejects.collect()}
+    assert bad == {
+        "unlabeled/a.pgn": ("unlabeled", "no mainline moves", 2),
+        "unlabeled/aa.pgn": ("unlabeled", batch.UNREAD if kept else batch.NO_RECORDS, None),
+    }
+    assert result.moves.select("game_id").distinct().count() == 4 and result.moves.count() == 27
+
+
+def test_bytes_read_add_up_to_the_size_of_a_file(spark, tmp_path):
+    """Byte order mark, blank stretches, a separator at the end, no Event tag, no line end, bytes that aren't UTF-8."""
+    texts = {
+        "mark": "﻿" + MINIMAL, "blank": " \n\n", "end": MINIMAL + "\n[Event ", "bare": BARE, "start": "\n" + MINIMAL * 3,
+        "raw": MINIMAL, "one": "x",
+    }
+    folder = tmp_path / "unlabeled"
+    folder.mkdir()
+    for name, text in texts.items():
+        (folder / f"{name}.pgn").write_bytes(text.encode() + (b"\n{\xff\xfe} e4 *" if name == "raw" else b""))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    listed = games.list_categories(spark, str(tmp_path))
+    try:
+        for size in (old, "64b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            pieces = games.scan_category_pieces(spark, str(tmp_path))
+            assert games.unread_files(pieces, listed).collect() == []
+            part = pieces.filter("source_file <> 'unlabeled/bare.pgn' and not (source_file = 'unlabeled/start.pgn' and __at % 4 = 1)")
+            lost = {r.source_file for r in games.unread_files(part, listed).collect()}
+            assert "unlabeled/bare.pgn" in lost and lost <= {"unlabeled/bare.pgn", "unlabeled/start.pgn"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

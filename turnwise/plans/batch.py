@@ -27,6 +27,7 @@ from turnwise.sources import sinks
 POSITION_COLUMNS = {"uci": "string", "fen_before": "string", "legal_moves_count": "int", "game_phase": "string"}
 VERSION = "2.0.0"
 NO_RECORDS = "no parseable game found"
+UNREAD = "file could not be read to its end"
 # Names of the published provenance totals, and the published remark.
 PROVENANCE_TOTALS = {
     "verified_historical_games": "verified_historical_human",
@@ -63,10 +64,16 @@ def run(
     ``positions`` adds per-ply board columns and ``lines`` engine candidate lines, both
     keyed by (source_file, game_index, ply_number). Without lines every ply counts as
     not evaluated. Parsed games and enriched moves are written once each, since several
-    outputs read them.
+    outputs read them. A file that can't be read to its end is one reject, without any of its
+    games; the others' games stay. Files are read once, and their texts enter no shuffle.
     """
-    records = G.parse_records(G.scan_categories(spark, root, categories))
-    parsed = materialise(records.drop("file", "record", "mainline"), "games")
+    listed = G.list_categories(spark, root, categories)
+    records = G.parse_records(G.scan_category_pieces(spark, root, categories))
+    has_record = F.col("record").isNotNull().alias("__record")
+    pieces = materialise(records.select("*", has_record).drop("record", "mainline"), "pieces")
+    unread = G.unread_files(pieces, listed)
+    whole = pieces.filter("__record").join(unread, "source_file", "left_anti")
+    parsed = materialise(G.number_games(whole).drop("file", "__record"), "games")
     good = G.good_games(parsed)
     if max_games_per_file:
         good = G.first_n_per_file(good, max_games_per_file)
@@ -91,10 +98,10 @@ def run(
     ), "moves")
     profiles = profile(moves, rounded=True).select(*PROFILE_COLUMNS)
     seen = parsed.select("source_file", "source_category").distinct()
-    listed = G.list_categories(spark, root, categories)
-    silent = listed.join(seen, "source_file", "left_anti")
+    silent = listed.drop("size").join(seen, "source_file", "left_anti").join(unread, "source_file", "left_anti")
     bad = G.rejects(parsed, ["source_file", "source_category", "game_index"]).unionByName(
-        silent.withColumn("error", F.lit(NO_RECORDS)), allowMissingColumns=True
+        silent.withColumn("error", F.lit(NO_RECORDS)).unionByName(unread.withColumn("error", F.lit(UNREAD))),
+        allowMissingColumns=True,
     )
     per_file = moves.groupBy("source_file").agg(
         F.count_distinct("game_id").alias("games_processed"), F.count(F.lit(1)).alias("moves_extracted")

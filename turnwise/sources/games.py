@@ -15,6 +15,9 @@ from turnwise.session import materialise
 
 #: Records start at the Event tag; the separator eats this prefix of all but the first.
 _EVENT = "[Event "
+_SEPARATOR = "\n" + _EVENT
+#: Bytes of a byte order mark.
+_MARK = 3
 
 #: Games per piece when the game numbers of a hot file are counted.
 INDEX_RUN = 100_000
@@ -29,37 +32,81 @@ HEADER_TAGS = {
 }
 
 
-def scan_records(spark: SparkSession, path: str, *, glob: str = "*.[pP][gG][nN]",
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Records of all files below ``path``: file, game_index (from 1 per file), record.
+def scan_pieces(spark: SparkSession, path: str, *, glob: str = "*.[pP][gG][nN]", tolerant: bool = False) -> DataFrame:
+    """Records of all files below ``path``, not numbered yet; one read, no shuffle.
 
-    Files stay splittable: the separator between records is the line end before an Event
-    tag. A record is cut again, row by row, where a tag line follows moves, so games without
-    that tag stay apart. Bytes that are not UTF-8 are replaced.
+    Columns file, __block, __at, __piece (their order), record, __bytes, __size. A blank stretch of a
+    file is a row with a NULL record, so that the __bytes of a file add up to what was read of it.
+    ``tolerant`` goes on behind a file that breaks off or is gone; ``unread_files`` finds those.
+    A file without the right to read it ends the job either way.
     """
     raw = (
-        spark.read.option("lineSep", "\n" + _EVENT)
+        spark.read.option("lineSep", _SEPARATOR)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
+        .option("ignoreCorruptFiles", tolerant)
+        .option("ignoreMissingFiles", tolerant)
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("__block"),
             F.monotonically_increasing_id().alias("__at"),
+            F.col("_metadata.file_size").alias("__size"),
             F.col("value"),
         )
     )
     text = F.regexp_replace("value", "^\ufeff", "")
     # what follows an eaten prefix is the quoted event name
     record = F.when(text.rlike(r'^\s*"'), F.concat(F.lit(_EVENT), text)).otherwise(text)
-    cut = raw.filter(F.col("value").rlike(r"\S")).select(
-        "file", "__block", "__at", F.posexplode(split_games(record)).alias("__piece", "record")
+    blank = F.array(F.lit(None).cast("string"))
+    cut = raw.select(
+        "file", "__block", "__at", "__size", (F.octet_length("value") + len(_SEPARATOR)).alias("__taken"),
+        F.posexplode(F.when(F.col("value").rlike(r"\S"), split_games(record)).otherwise(blank)).alias("__piece", "record"),
     )
+    taken = F.when(F.col("__piece") == 0, F.col("__taken")).otherwise(0).cast("bigint")
+    return cut.select("file", "__block", "__at", "__piece", "record", taken.alias("__bytes"), "__size")
+
+
+def number_games(pieces: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds game_index, from 1 per file in the order of the file, and drops the columns of the scan."""
     numbered = number_rows(
-        cut, ["file"], ["__block", "__at", "__piece"], "game_index",
+        pieces, ["file"], ["__block", "__at", "__piece"], "game_index",
         spread=F.struct("__block", F.shiftright("__at", 16)), hot_rows=hot_rows,
     )
-    return numbered.select("file", F.col("game_index").cast("int").alias("game_index"), "record")
+    return numbered.withColumn("game_index", F.col("game_index").cast("int")).drop(
+        "__block", "__at", "__piece", "__bytes", "__size")
+
+
+def scan_records(spark: SparkSession, path: str, *, glob: str = "*.[pP][gG][nN]",
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Records of all files below ``path``: file, game_index (from 1 per file), record.
+
+    Files stay splittable: the separator between records is the line end before an Event
+    tag. A record is cut again, row by row, where a tag line follows moves, so games without
+    that tag stay apart. Bytes that are not UTF-8 are replaced. An unreadable file ends the job.
+    """
+    pieces = scan_pieces(spark, path, glob=glob).filter(F.col("record").isNotNull())
+    return number_games(pieces, hot_rows=hot_rows).select("file", "game_index", "record")
+
+
+def scan_category_pieces(spark: SparkSession, root: str, categories: Sequence[str] = CATEGORIES) -> DataFrame:
+    """``scan_pieces`` of the allow-listed category folders, going on behind broken files."""
+    pieces = scan_pieces(spark, _category_glob(root, categories), tolerant=True)
+    return pieces.select("*", *_relative("file"))
+
+
+def unread_files(pieces: DataFrame, listed: DataFrame) -> DataFrame:
+    """Listed files of which something wasn't read: source_file, source_category.
+
+    Separators are eaten, so a whole file gives its size, and the length of one separator more unless
+    it ends with one. A byte order mark is eaten as well; no game is that short.
+    """
+    read = pieces.groupBy("source_file", "source_category").agg(
+        F.sum("__bytes").alias("__read"), F.max("__size").alias("__scanned"))
+    known = listed.select("source_file", "source_category", F.col("size").alias("__listed"))
+    both = known.join(read, ["source_file", "source_category"], "full")
+    missing = F.coalesce("__scanned", "__listed") - F.coalesce("__read", F.lit(0))
+    return both.filter(missing > F.when(F.col("__read").isNull(), 0).otherwise(_MARK)).select("source_file", "source_category")
 
 
 def split_games(record: Column) -> Column:
@@ -163,15 +210,15 @@ def scan_categories(spark: SparkSession, root: str, categories: Sequence[str] =
 
 
 def list_categories(spark: SparkSession, root: str, categories: Sequence[str] = CATEGORIES) -> DataFrame:
-    """Every game file below the category folders, also empty ones. Reads no content.
+    """Every game file below the category folders with its size, also empty ones. Reads no content.
 
     The file system lists them, as it does for any scan; Spark's own sources leave out empty files.
     """
     jvm = spark.sparkContext._jvm
     pattern = jvm.org.apache.hadoop.fs.Path(_category_glob(root, categories))
     files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [(f.getPath().toUri().getRawPath(),) for f in files.globStatus(pattern) or []]
-    return spark.createDataFrame(found, "path string").select(*_relative("path"))
+    found = [(f.getPath().toUri().getRawPath(), f.getLen()) for f in files.globStatus(pattern) or []]
+    return spark.createDataFrame(found, "path string, size bigint").select(*_relative("path"), "size")
 
 
 def _category_glob(root: str, categories: Sequence[str]) -> str:
