@@ -75,6 +75,57 @@ def test_folds_keep_groups_and_spread_strata(spark):
     assert all(r.overlap_groups == 0 and r.train_rows == 480 and r.train_groups == 240 for r in summary)
 
 
+def _unevenness(sizes, fold_of):
+    """Sum over both labels of the squared shares of the folds; 2 / folds at best."""
+    load = [[0, 0] for _ in range(5)]
+    for g, (rows, pos) in sizes.items():
+        load[fold_of[g]][0] += pos
+        load[fold_of[g]][1] += rows - pos
+    return sum((x / max(sum(column), 1)) ** 2 for column in zip(*load) for x in column)
+
+
+@pytest.mark.parametrize("case", ["few large", "one huge", "no positives", "many sizes"])
+def test_balanced_folds_are_as_even_as_greedy_ones_by_hand(spark, case):
+    rng = random.Random(3)
+    sizes = {
+        "few large": {f"g{i}": (40 + i, 10 * (i % 3)) for i in range(7)} | {f"s{i}": (1, i % 2) for i in range(60)},
+        "one huge": {"g": (500, 200)} | {f"s{i}": (2, i % 3) for i in range(600)},
+        "no positives": {f"s{i}": (1 + i % 4, 0) for i in range(50)},
+        "many sizes": {f"s{i}": (r := rng.randint(1, 60), rng.randint(0, r)) for i in range(200)},
+    }[case]
+    df = spark.createDataFrame([(g, int(k < p)) for g, (r, p) in sizes.items() for k in range(r)], "g string, y int")
+    out = folds.balanced_folds(df, "g", "y").collect()
+    assert {r.g: (r.rows, r.positives) for r in out} == sizes
+    got = _unevenness(sizes, {r.g: r.fold for r in out})
+    plain = _unevenness(sizes, {r.g: r.fold for r in folds.assign_folds(df, "g", "y").collect()})
+    assert got <= plain + 1e-9
+    totals = sum(p for _, p in sizes.values()), sum(r - p for r, p in sizes.values())
+    load, want = [[0, 0] for _ in range(5)], {}
+    share = lambda p, q: ((p * totals[1]) ** 2 + (q * totals[0]) ** 2, p + q, p)
+    for g, (r, p) in sorted(sizes.items(), key=lambda s: share(s[1][1], s[1][0] - s[1][1]), reverse=True):
+        f = min(range(5), key=lambda f: (load[f][0] * p * totals[1] ** 2 + load[f][1] * (r - p) * totals[0] ** 2, sum(load[f]), f))
+        load[f][0] += p
+        load[f][1] += r - p
+        want[g] = f
+    assert got == pytest.approx(_unevenness(sizes, want))
+
+
+def test_dealing_in_lots_stays_even_and_whole():
+    shares = folds.deal([(2, 1, 1_000_003), (900_000, 100_000, 1)], 5)
+    assert sum(shares[2, 1]) == 1_000_003 and sum(shares[900_000, 100_000]) == 1
+    huge = shares[900_000, 100_000].index(1)
+    rows = [2 * n + 900_000 * (k == huge) for k, n in enumerate(shares[2, 1])]
+    assert max(rows) - min(rows) < 800_000 and shares[2, 1][huge] == min(shares[2, 1])
+    assert folds.deal([], 5) == {}
+
+
+def test_balanced_folds_of_nulls_and_of_nothing(spark):
+    df = spark.createDataFrame([("a", None), ("b", 1), (None, 0), (None, None)], "g string, y int")
+    assert sorted((r.g or "", r.rows, r.positives) for r in folds.balanced_folds(df, "g", "y").collect()) == [
+        ("", 2, 0), ("a", 1, 0), ("b", 1, 1)]
+    assert folds.balanced_folds(df.limit(0), "g", "y").count() == 0
+
+
 def test_leak_is_found(spark):
     df = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("c", 2)], "g string, fold int")
     got = {r.fold: (r.val_groups, r.overlap_groups) for r in folds.leakage(df, "g").collect()}

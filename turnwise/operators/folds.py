@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions.numeric import rate
 from turnwise.operators.ordering import running_totals
+from turnwise.session import materialise
+
+#: Lots in which the groups of one stratum are handed out, at most.
+LOTS = 1000
 
 
 def assign_folds(df: DataFrame, group: str, label: str, *, folds: int = 5, seed: int = 42) -> DataFrame:
@@ -16,15 +23,71 @@ def assign_folds(df: DataFrame, group: str, label: str, *, folds: int = 5, seed:
     order, each stratum from its own start. Dealing is a running count over hash
     buckets, so a stratum of all groups does not meet in one task.
     """
+    dealt = _dealt(_strata(df, group, label, seed), group)
+    fold = (F.col("__at") - 1 + F.col("rows") + F.col("positives")) % folds
+    return dealt.select(group, "rows", "positives", fold.cast("int").alias("fold"))
+
+
+def balanced_folds(df: DataFrame, group: str, label: str, *, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Like ``assign_folds``, with folds as even as a greedy choice makes them, also for few large groups.
+
+    The strata, those that weigh most first, are handed out group by group, each to the fold where it
+    adds least to the squares of both labels' shares. The driver holds the histogram of (rows,
+    positives) only; which groups of a stratum go where is their hash order. A stratum of more than
+    ``LOTS`` groups goes out in that many lots.
+    """
+    groups = materialise(_strata(df, group, label, seed), "groups")
+    cells = groups.groupBy("rows", "positives").agg(F.count(F.lit(1)).alias("n")).collect()
+    shares = deal([tuple(c) for c in cells], folds)
+    ends = [(rows, positives, [sum(share[:k]) for k in range(1, folds)]) for (rows, positives), share in shares.items()]
+    table = df.sparkSession.createDataFrame(ends, "rows bigint, positives bigint, __ends array<bigint>")
+    fold = F.size(F.filter("__ends", lambda end: end < F.col("__at")))
+    return _dealt(groups, group).join(table, ["rows", "positives"]).select(
+        group, "rows", "positives", fold.cast("int").alias("fold"))
+
+
+def deal(cells: Iterable[tuple[int, int, int]], folds: int) -> dict[tuple[int, int], list[int]]:
+    """Groups per fold of every cell (rows, positives, groups); whole numbers, so the same everywhere."""
+    cells = list(cells)
+    positives = sum(p * n for _, p, n in cells)
+    negatives = sum((r - p) * n for r, p, n in cells)
+
+    def weight(cell):
+        r, p, _ = cell
+        return -((p * negatives) ** 2 + ((r - p) * positives) ** 2), -r, -p
+
+    load = [(0, 0)] * folds
+    out = {}
+    for r, p, n in sorted(cells, key=weight):
+        def cost(fold):
+            pos, neg = load[fold]
+            return pos * p * negatives**2 + neg * (r - p) * positives**2, pos + neg, fold  # noqa: B023
+
+        share, size = [0] * folds, -(-n // LOTS)
+        heap = [cost(fold) for fold in range(folds)]
+        heapq.heapify(heap)
+        for start in range(0, n, size):
+            fold, lot = heap[0][2], min(size, n - start)
+            share[fold] += lot
+            load[fold] = load[fold][0] + p * lot, load[fold][1] + (r - p) * lot
+            heapq.heapreplace(heap, cost(fold))
+        out[r, p] = share
+    return out
+
+
+def _strata(df: DataFrame, group: str, label: str, seed: int) -> DataFrame:
+    """Groups with rows and positives, and the digest that orders them."""
     digest = F.md5(F.concat(F.coalesce(F.col(group).cast("string"), F.lit("")), F.lit(f":{seed}")))
-    groups = df.groupBy(group).agg(
+    return df.groupBy(group).agg(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col(label).cast("int")), F.lit(0)).alias("positives")
     ).select("*", digest.alias("__digest"), F.lit(1).alias("__one"))
-    dealt = running_totals(
+
+
+def _dealt(groups: DataFrame, group: str) -> DataFrame:
+    """Place of a group in its stratum, from 1 in hash order."""
+    return running_totals(
         groups, ["rows", "positives"], ["__digest", group], F.substring("__digest", 1, 3), {"__at": "__one"}
     )
-    fold = (F.col("__at") - 1 + F.col("rows") + F.col("positives")) % folds
-    return dealt.select(group, "rows", "positives", fold.cast("int").alias("fold"))
 
 
 def fold_summary(groups: DataFrame, group: str) -> DataFrame:

@@ -38,7 +38,7 @@ def train(plies: DataFrame, *, order: str = "half_move", complexity: bool = Fals
     """Grouped cross validation of both models, then final fits on every row."""
     columns = tuple(ALL_FEATURES if complexity else BASE_FEATURES)
     features = benchmark_features(plies, order=order, complexity=complexity)
-    table = validate.with_folds(features, GROUP, LABEL, folds=n_folds, seed=seed)
+    table = validate.with_folds(features, GROUP, LABEL, folds=n_folds, seed=seed, balanced=True)
     specs = [Spec(kind, kind, columns, LABEL) for kind in ("logistic_regression", "random_forest")]
     predictions = materialise(
         validate.out_of_fold(table, specs, folds=n_folds).select("model", "fold", "game_id", LABEL, "p"), "oof"

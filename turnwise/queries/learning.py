@@ -16,6 +16,7 @@ from turnwise.queries.registry import PLAYER, plies, query, rounded, scored, sql
 from turnwise.schemas import ALL_FEATURES, BASE_FEATURES
 from turnwise.session import materialise
 from turnwise.sources import adapters
+from turnwise.sources.adapters import table
 
 GROUP, LABEL = "physical_game_id", "is_cheating"
 _METRICS = metrics.NAMES
@@ -27,8 +28,8 @@ def _fold_groups(spark, folder):
 
 def _with_folds(spark, folder):
     """Scores with their fold, from one table: the scores feed both sides of the join."""
-    table = materialise(scored(spark, folder), "scored")
-    return table.join(folds.assign_folds(table, GROUP, "y").select(GROUP, "fold"), GROUP)
+    rows = materialise(scored(spark, folder), "scored")
+    return rows.join(folds.assign_folds(rows, GROUP, "y").select(GROUP, "fold"), GROUP)
 
 
 @query("group_kfold", """
@@ -37,6 +38,39 @@ def group_kfold(spark, folder):
     return _fold_groups(spark, folder)
 
 
+_FOLDS = range(5)
+_COSTS = ", ".join(
+    f"{{'c': p{k} * n_pos * negatives * negatives + q{k} * (n_rows - n_pos) * positives * positives, 'r': p{k} + q{k}, 'k': {k}}}"
+    for k in _FOLDS
+)
+
+
+@query("balanced_kfold", f"""
+select * from (with recursive grouped as (
+  select o_custkey as g, count(*) as n_rows, count(*) filter (o_orderpriority = '1-URGENT') as n_pos from orders group by 1),
+ordered as (select g, n_rows, n_pos, positives, negatives,
+  row_number() over (partition by n_rows, n_pos order by md5(cast(g as varchar) || ':42'), g) as place, row_number() over (
+    order by (n_pos * negatives) * (n_pos * negatives) + ((n_rows - n_pos) * positives) * ((n_rows - n_pos) * positives) desc,
+    n_rows desc, n_pos desc) as step
+  from grouped, (select cast(sum(n_pos) as hugeint) as positives, cast(sum(n_rows - n_pos) as hugeint) as negatives from grouped)),
+dealt as (
+  select cast(0 as bigint) as step, -1 as fold, cast(0 as bigint) as n_rows, cast(0 as bigint) as n_pos,
+    {', '.join(f'cast(0 as hugeint) as p{k}, cast(0 as hugeint) as q{k}' for k in _FOLDS)}
+  union all
+  select step, fold, n_rows, n_pos,
+    {', '.join(f'p{k} + case when fold = {k} then n_pos else 0 end, q{k} + case when fold = {k} then n_rows - n_pos else 0 end' for k in _FOLDS)}
+  from (select o.step, o.n_rows, o.n_pos, {', '.join(f'p{k}, q{k}' for k in _FOLDS)}, list_sort([{_COSTS.replace('n_rows', 'o.n_rows').replace('n_pos', 'o.n_pos')}])[1].k as fold
+    from dealt d join ordered o on o.step = d.step + 1)),
+shares as (select n_rows, n_pos, fold, count(*) as n, sum(count(*)) over (partition by n_rows, n_pos order by fold) as upto
+  from dealt where step > 0 group by 1, 2, 3)
+select g as o_custkey, n_rows as rows, cast(n_pos as bigint) as positives, cast(fold as int) as fold
+from ordered o join shares s using (n_rows, n_pos) where place <= upto and place > upto - n)""")
+def balanced_kfold(spark, folder):
+    """Customers as groups of their orders; an urgent order is a positive."""
+    orders = table(spark, folder, "orders").select("o_custkey", (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    return folds.balanced_folds(orders, "o_custkey", "urgent")
+
+
 @query("fold_summary", f"""
 select fold, cast((select sum(n_rows) from folded) - sum(n_rows) as bigint) as train_rows, cast(sum(n_rows) as bigint) as val_rows,
   (select count(*) from folded) - count(*) as train_groups, count(*) as val_groups,

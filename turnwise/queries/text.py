@@ -70,24 +70,13 @@ def match_records(spark, folder) -> DataFrame:
     san = F.element_at(F.array(*[F.lit(s) for s in SAN_SAMPLES]), (1 + F.col("cents") % 10).cast("int"))
     p = plies(spark, folder).withColumns({"san": san, "match": F.col("physical_game_id").cast("bigint")})
     token = F.concat("san", F.when(F.col("cents") % 7 == 0, " (1. d4 {aside} (1... d5))").otherwise(""))
-    tags = {"White": F.concat(F.lit("W"), F.col("physical_game_id")), "Result": F.col("result")}
+    tags = {"Site": F.col("site"), "Date": F.col("date"), "Round": F.col("round"),
+            "White": F.concat(F.lit("W"), F.col("physical_game_id")), "Result": F.col("result")}
     return games.render_text(p, ["match"], token, tags)
 
 
-_MATCHES_SQL = f"""
-  select cast(physical_game_id as bigint) as match, count(*) as plies, cast(physical_game_id as bigint) % 3 as place,
-    'f' || cast(cast(physical_game_id as bigint) % 7 as varchar) || '.pgn' as name,
-    array_to_string(list({array_sql(SAN_SAMPLES)}[1 + cents % 10] order by ply_number), ' ') as sans
-  from plies group by physical_game_id"""
-
-
-@query("pgn_category_scan", f"""
-select {array_sql(list(CATEGORIES))}[1 + place] || '/' || name as source_file, 'W' || cast(match as varchar) as white,
-  row_number() over (order by place, name, match) as game_id,
-  row_number() over (partition by place, name order by match) as game_index, plies, md5(sans) as sans_md5
-from ({_MATCHES_SQL})""", ("plies",))
-def pgn_category_scan(spark, folder):
-    """Matches written as game files into category folders, then listed, read, parsed and numbered.
+def game_files(spark, folder) -> str:
+    """Root of the matches written as game files into category folders, 21 in all.
 
     Half of the games of a file have no Event tag, so records hold several games.
     """
@@ -99,7 +88,26 @@ def pgn_category_scan(spark, folder):
         F.concat(event, F.regexp_replace("record", r"\n+$", ""), F.lit(" *\n")).alias("value"),
     )
     games.write_files(made, root, order="match")
-    parsed = games.parse_records(games.scan_categories(spark, root))
+    return root
+
+
+_MATCHES_SQL = f"""
+  select cast(physical_game_id as bigint) as match, count(*) as plies, cast(physical_game_id as bigint) % 3 as place,
+    'f' || cast(cast(physical_game_id as bigint) % 7 as varchar) || '.pgn' as name, site, date, round, result,
+    array_to_string(list({array_sql(SAN_SAMPLES)}[1 + cents % 10] order by ply_number), ' ') as sans,
+    sum(length({array_sql(SAN_SAMPLES)}[1 + cents % 10]) + 1 + case when cents % 7 = 0 then length(' (1. d4 {{aside}} (1... d5))') else 0 end) as body
+  from plies group by physical_game_id, site, date, round, result"""
+_FILE_SQL = f"{array_sql(list(CATEGORIES))}[1 + place] || '/' || name as source_file"
+
+
+@query("pgn_category_scan", f"""
+select {_FILE_SQL}, 'W' || cast(match as varchar) as white,
+  row_number() over (order by place, name, match) as game_id,
+  row_number() over (partition by place, name order by match) as game_index, plies, md5(sans) as sans_md5
+from ({_MATCHES_SQL})""", ("plies",))
+def pgn_category_scan(spark, folder):
+    """Game files listed, read, parsed and numbered."""
+    parsed = games.parse_records(games.scan_categories(spark, game_files(spark, folder)))
     numbered = games.with_game_ids(games.good_games(parsed))
     return numbered.select(
         "source_file", G.header("headers", "White").alias("white"), F.col("game_id").cast("bigint").alias("game_id"),
@@ -108,6 +116,38 @@ def pgn_category_scan(spark, folder):
     )
 
 
+@query("pgn_first_game", f"""
+select {_FILE_SQL}, case when site = '?' then null else site end as site,
+  case when date = '????.??.??' then null else date end as date, case when round = '-' then null else round end as round,
+  'W' || cast(match as varchar) as white, plies, md5(sans) as sans_md5
+from (select *, row_number() over (partition by place, name order by match) as nth from ({_MATCHES_SQL})) where nth = 1""", ("plies",))
+def pgn_first_game(spark, folder):
+    """The first game of every game file, whole."""
+    parsed = games.parse_records(games.scan_categories(spark, game_files(spark, folder)))
+    return games.first_games(parsed).select(
+        "source_file", *[G.header("headers", t).alias(t.lower()) for t in ("Site", "Date", "Round", "White")],
+        F.size("moves").cast("bigint").alias("plies"), F.md5(F.array_join("moves.san", " ")).alias("sans_md5"),
+    )
+
+
+@query("pgn_file_coverage", f"""
+select {_FILE_SQL}, cast(sum(size) as bigint) as size, cast(sum(size) as bigint) as bytes_read, count(*) as games, false as unread
+from (select *, case when match % 2 = 0 then length('[Event "E"]') + 1 else 0 end + length('[Site ""]') + length(site) + 1
+  + length('[Date ""]') + length(date) + 1 + length('[Round ""]') + length(round) + 1
+  + length('[White "W"]') + length(cast(match as varchar)) + 1 + length('[Result ""]') + length(result) + 1
+  + 1 + body - 1 + length(' *') + 2 as size from ({_MATCHES_SQL})) group by place, name""", ("plies",))
+def pgn_file_coverage(spark, folder):
+    """Listed size of every game file, the bytes that a tolerant scan read of it, and its verdict."""
+    root = game_files(spark, folder)
+    listed = games.list_categories(spark, root)
+    pieces = materialise(games.scan_category_pieces(spark, root).withColumn("__game", F.col("record").isNotNull()).drop("record"), "pieces")
+    unread = games.unread_files(pieces, listed).select("source_file", F.lit(True).alias("unread"))
+    read = pieces.groupBy("source_file").agg(
+        (F.sum("__bytes") - len(games.SEPARATOR)).alias("bytes_read"), F.count_if("__game").alias("games"))
+    return listed.join(read, "source_file", "left").join(unread, "source_file", "left").select(
+        "source_file", "size", "bytes_read", "games", F.coalesce("unread", F.lit(False)).alias("unread"))
+
+
 def parsed(spark, folder, *, faults: bool = False) -> DataFrame:
     return games.parse_records(records(spark, folder, faults=faults))
 
@@ -121,21 +161,6 @@ def pgn_roundtrip(spark, folder):
     return out.select("physical_game_id", "block", F.col("ply_number").alias("ply"), "san", "clock_seconds")
 
 
-@query("pgn_first_game", f"""
-select physical_game_id, event, case when site = '?' then null else site end as site,
-  case when date = '????.??.??' then null else date end as date, case when round = '-' then null else round end as round,
-  'The "' || physical_game_id || '" one' as white, count(*) as plies
-from {_BLOCKED} where block = 0 group by all""", ("plies",))
-def pgn_first_game(spark, folder):
-    indexed = parsed(spark, folder).withColumn("game_index", F.col("block") + 1).withColumn("file", F.col("physical_game_id"))
-    first = games.first_games(indexed)
-    return first.select(
-        "physical_game_id",
-        *[G.header("headers", t).alias(t.lower()) for t in ("Event", "Site", "Date", "Round", "White")],
-        F.size("moves").cast("bigint").alias("plies"),
-    )
-
-
 @query("reject_split", f"""
 select physical_game_id, block, 'The "' || physical_game_id || '" one' as white, case {_FAULT} when 0 then 'no mainline moves'
   when 1 then 'unreadable move token' when 2 then 'unbalanced variation' end as error,

@@ -15,7 +15,7 @@ from turnwise.session import materialise
 
 #: Records start at the Event tag; the separator eats this prefix of all but the first.
 _EVENT = "[Event "
-_SEPARATOR = "\n" + _EVENT
+SEPARATOR = "\n" + _EVENT
 #: Bytes of a byte order mark.
 _MARK = 3
 
@@ -41,7 +41,7 @@ def scan_pieces(spark: SparkSession, path: str, *, glob: str = "*.[pP][gG][nN]",
     A file without the right to read it ends the job either way.
     """
     raw = (
-        spark.read.option("lineSep", _SEPARATOR)
+        spark.read.option("lineSep", SEPARATOR)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .option("ignoreCorruptFiles", tolerant)
@@ -60,7 +60,7 @@ def scan_pieces(spark: SparkSession, path: str, *, glob: str = "*.[pP][gG][nN]",
     record = F.when(text.rlike(r'^\s*"'), F.concat(F.lit(_EVENT), text)).otherwise(text)
     blank = F.array(F.lit(None).cast("string"))
     cut = raw.select(
-        "file", "__block", "__at", "__size", (F.octet_length("value") + len(_SEPARATOR)).alias("__taken"),
+        "file", "__block", "__at", "__size", (F.octet_length("value") + len(SEPARATOR)).alias("__taken"),
         F.posexplode(F.when(F.col("value").rlike(r"\S"), split_games(record)).otherwise(blank)).alias("__piece", "record"),
     )
     taken = F.when(F.col("__piece") == 0, F.col("__taken")).otherwise(0).cast("bigint")
