@@ -203,6 +203,21 @@ def test_languages(spark, docs, odd_texts):
 # --- pages ---
 
 
+def test_copies_count_once_in_the_language_sample(spark, monkeypatch):
+    """A third of all rows equal in every column, and as many copies under ids of their own."""
+    rows = [(None, "the same words again", "en")] * 400 + [(k, "and these words too", "en") for k in range(400)]
+    rows += [(k, f"words of text {k}", "en" if k % 2 else "de") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    fit = I.fit
+    monkeypatch.setattr(I, "fit", lambda counts, names: seen.append((len(counts), Counter(names))) or fit(counts, names))
+    I.train(docs, F.lit(True), per_language=10**6)
+    I.train(docs, F.lit(True), per_language=20)
+    (everything, kinds), (few, _) = seen
+    assert everything == 402 and kinds == {"en": 202, "de": 200}
+    assert 10 <= few <= 90
+
+
 def test_fresh_labelled_pages():
     model = H.trained_field()
     right = total = 0

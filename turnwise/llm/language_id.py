@@ -25,7 +25,7 @@ from turnwise.llm.common import bounded_batches, fold, texts_of, with_found
 FOLDS, HELD_OUT = 3, 1
 DIMENSIONS = 4096
 CENTROIDS = 3
-#: Labelled documents per language that centroids are fitted on, about; the hash threshold is set for it.
+#: Different labelled texts per language that centroids are fitted on, about; the hash threshold is set for it.
 SAMPLE_PER_LANGUAGE = 400
 UNKNOWN = "und"
 _KEEP = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -102,16 +102,21 @@ def fit(rows: np.ndarray, languages: list[str], k: int = CENTROIDS) -> Model:
 
 
 def train(docs: DataFrame, training: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
-    """Centroids from a hash sample of the training documents with a language; None without any."""
+    """Centroids from a hash sample of the different training texts of each language; None without any.
+
+    Copies of a text count once, so that no number of them makes the sample larger.
+    """
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & training)
-    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
+    kinds = F.approx_count_distinct(F.xxhash64("text")).alias("kinds")
+    sizes = {r["lang"]: r["kinds"] for r in own.groupBy("lang").agg(kinds).collect()}
     if not sizes:
         return None
     cuts = docs.sparkSession.createDataFrame(
         [(name, int(_STEPS * min(1.0, per_language / n))) for name, n in sizes.items()], "lang string, cut long"
     )
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("language")), F.lit(_STEPS))
+    place = F.pmod(F.xxhash64(F.col("text"), F.lit("language")), F.lit(_STEPS))
     sample = own.select("lang", "text", place.alias("place")).join(F.broadcast(cuts), "lang").where("place < cut")
+    sample = sample.dropDuplicates(["lang", "text"])
     bounded_batches(docs.sparkSession)
 
     def run(batches):
