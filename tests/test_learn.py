@@ -82,6 +82,7 @@ def test_holdout(table):
 def test_label_columns_are_refused(table):
     with pytest.raises(ValueError, match="is_cheating_move"):
         models.check_features([*BASE_FEATURES, "is_cheating_move"])
+    assert models.usable_features(["a", "player_hint_shown", "b", "assistance_line_rank"]) == ["a", "b"]
 
 
 def test_medians_interpolate(spark):

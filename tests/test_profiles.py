@@ -217,5 +217,10 @@ def test_depth_gate(spark):
 def test_display_and_aliases(spark, values):
     assert values([(0.1234,), (None,), (float("nan"),)], "x double", report.display_value("x", "blunder_rate"),
                   report.display_value("x", "mean_loss")) == [("12.3%", "0.12"), ("N/A", "N/A"), ("N/A", "N/A")]
+    # ties go to the even digit of the binary value, whole numbers show as they are
+    assert values([(0.0625, 6), (0.0635, None)], "x double, n int", report.display_value("x", "top1_match_rate"),
+                  report.display_value("x", "mean_loss"), report.display_value("n", "move_count")) == [
+        ("6.2%", "0.06", "6"), ("6.3%", "0.06", "N/A")]
+    assert values([(0.125,), (-2.675,)], "x double", report.display_value("x", "mean_loss")) == ["0.12", "-2.67"]
     df = spark.createDataFrame([("White", 3)], "player string, ply_number int")
     assert report.alias_both_ways(df).columns == ["player", "ply_number", "player_color", "ply"]

@@ -35,11 +35,16 @@ class Spec:
 
 
 def check_features(features: Sequence[str]) -> None:
-    leaking = sorted(set(features) & set(LABEL_BEARING))
+    leaking = sorted(set(features) - set(usable_features(features)))
     if leaking:
         raise ValueError(f"label-bearing columns cannot be features: {leaking}")
 
 
+def usable_features(columns: Sequence[str]) -> list[str]:
+    """The columns that may become features: those that don't carry the label, in their order."""
+    return [c for c in columns if c not in LABEL_BEARING]
+
+
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Interpolated median per column; 0.0 for a column without values."""
     found = exact_quantiles(df, columns, [0.5])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.functions.numeric import as_column
+from turnwise.functions.numeric import as_column, round_exact
 
 # Class names, threshold, labels and the depth the complexity models need.
 ASSISTED, HUMAN = "engine-assisted", "human-like"
@@ -68,10 +68,18 @@ def depth_gate(df: DataFrame, probability: str, depth: Column | str, *, require:
 
 
 def display_value(value: Column | str, name: str) -> Column:
-    """``N/A`` for missing, percent for rates, two decimals otherwise."""
+    """``N/A`` for missing, whole numbers as they are, percent for rates, two decimals otherwise.
+
+    Decimals are rounded half to even on the binary value, so 6.25 % shows as 6.2 %.
+    """
     x = as_column(value)
-    text = F.format_string("%.1f%%", x * 100) if "rate" in name else F.format_string("%.2f", x)
-    return F.when(x.isNull() | F.isnan(x.cast("double")), "N/A").otherwise(text)
+    number = x.cast("double")
+    if "rate" in name:
+        text = F.format_string("%.1f%%", round_exact(number * 100, 1))
+    else:
+        text = F.format_string("%.2f", round_exact(number, 2))
+    whole = F.typeof(x).isin("tinyint", "smallint", "int", "bigint")
+    return F.when(x.isNull() | F.isnan(number), "N/A").when(whole, x.cast("string")).otherwise(text)
 
 
 def alias_both_ways(df: DataFrame, pairs: dict[str, str] | None = None) -> DataFrame:

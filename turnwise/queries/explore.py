@@ -12,7 +12,7 @@ from turnwise.operators import audit, cohort, explore
 from turnwise.operators.features import benchmark_features
 from turnwise.operators.profile import profile
 from turnwise.plans.eda import CORRELATED
-from turnwise.queries.registry import PLAYER, enriched, plies, query, rounded, sql_r6
+from turnwise.queries.registry import PLAYER, enriched, plies, query, rounded, scored, sql_r6
 from turnwise.schemas import BASE_FEATURES, MOVE_COLUMNS, MOVE_TABLE
 from turnwise.session import materialise, scratch_folder
 from turnwise.sources import sinks, tables
@@ -116,8 +116,6 @@ def duplicate_keys(spark, folder):
 select count(*) filter (y = 0) as negatives, count(*) filter (y = 1) as positives, {sql_r6('avg(y)')} as positive_rate,
   {sql_r6('1 - avg(y)')} as majority_share from scored""", ("scored",))
 def class_balance(spark, folder):
-    from turnwise.queries.registry import scored
-
     return rounded(audit.class_balance(scored(spark, folder), "y"), "positive_rate", "majority_share")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from turnwise.operators import audit, explore
 from turnwise.operators.ordering import number_rows
 from turnwise.queries.registry import KEYS, engine_rows, enriched, plies, query
-from turnwise.sources import games
+from turnwise.sources import adapters, games
 from turnwise.sources.adapters import table
 
 
@@ -123,9 +123,7 @@ select physical_game_id, ply_number, game_id from plies where game_id in (select
 def semi_sample(spark, folder):
     """Plies of the games in a list that another query draws up."""
     p = plies(spark, folder)
-    from turnwise.sources.adapters import scored as scores
-
-    wanted = scores(p).filter((F.col("y") == 1) & (F.col("p") >= 0.6)).select("game_id").distinct()
+    wanted = adapters.scored(p).filter((F.col("y") == 1) & (F.col("p") >= 0.6)).select("game_id").distinct()
     return p.join(wanted, "game_id", "left_semi").select(*KEYS, "game_id")
 
 

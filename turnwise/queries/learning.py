@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from turnwise.operators.features import benchmark_features
 from turnwise.plans.prediction import predict
 from turnwise.queries.registry import PLAYER, plies, query, rounded, scored, sql_r6
 from turnwise.schemas import ALL_FEATURES, BASE_FEATURES
-from turnwise.session import materialise
+from turnwise.session import materialise, scratch_folder
 from turnwise.sources import adapters
 from turnwise.sources.adapters import table
 
@@ -250,7 +251,7 @@ def oof_values(spark, folder):
 _SUMS = ", ".join(f"sum(is_cheating * ({c} - a_{c}) / s_{c}) as {c}" for c in BASE_FEATURES)
 
 
-@query("lr_optimality", f"""
+_OPTIMALITY_SQL = f"""
 select * from (with t as (select k.fold as held, f.* from features f join folded g using (physical_game_id)
   join (select distinct fold from folded union all select -1) k on g.fold <> k.fold),
 m as (select held, {', '.join(f'median({c}) as m_{c}' for c in BASE_FEATURES)} from t group by held),
@@ -262,7 +263,10 @@ z as (select held, count(*) as n, sum(is_cheating) as positives, {_SUMS} from x
     f"select held as fold, '{name}' as feature, n as rows, round(cast({value} as double), 4) + 0.0 as observed,"
     f" round(cast({value} as double), 4) + 0.0 as fitted from z"
     for name, value in [*((c, c) for c in BASE_FEATURES), (certify.INTERCEPT, "positives")]
-) + ")", ("features", "folded"))
+) + ")"
+
+
+@query("lr_optimality", _OPTIMALITY_SQL, ("features", "folded"))
 def lr_optimality(spark, folder):
     """Both sides of the optimality condition for the model of every fold, and (-1) of all rows.
 
@@ -272,14 +276,69 @@ def lr_optimality(spark, folder):
     table = _folded_features(spark, folder)
     models_ = {fold: m for (_, fold), m in validate.fold_models(table, [_LR]).items()} | {-1: models.fit(table, _LR)}
     parts = [
-        certify.optimality(model, table.filter(F.col("fold") != fold), _LR).select(F.lit(fold).alias("fold"), "*")
+        _sides(model, table.filter(F.col("fold") != fold)).select(F.lit(fold).alias("fold"), "*")
         for fold, model in models_.items()
     ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _sides(model, train):
+    """Both sides of the condition; the model's one is its own value where the fit isn't within the bound."""
+    found = certify.optimality(model, train, _LR)
     shown = F.when(F.col("optimal"), F.col("observed")).otherwise(F.col("fitted"))
-    return functools.reduce(DataFrame.unionByName, parts).select(
-        "fold", "feature", "rows", (F.round("observed", 4) + F.lit(0.0)).alias("observed"),
-        (F.round(shown, 4) + F.lit(0.0)).alias("fitted"),
-    )
+    return found.select(
+        "feature", "rows", (F.round("observed", 4) + F.lit(0.0)).alias("observed"), (F.round(shown, 4) + F.lit(0.0)).alias("fitted"))
+
+
+@query("model_reload", f"select feature, rows, observed, fitted from ({_OPTIMALITY_SQL}) where fold = -1", ("features", "folded"))
+def model_reload(spark, folder):
+    """The optimality condition of a regression over all rows, after it was saved and loaded again."""
+    table = _features(spark, folder)
+    path = f"{scratch_folder(spark)}/model-{uuid.uuid4().hex}"
+    models.save(models.fit(table, _LR), path)
+    return _sides(models.load(path), table)
+
+
+_STABILITY = ["unstable_top1_match_rate", "stable_top1_match_rate", "depth_drop_rate"]
+_CRITICAL = ["critical_top1_match_rate", "critical_mean_cp_loss"]
+_SUBSETS = {"lr_13": [], "rf_13": [], "rf_16": _STABILITY, "rf_15": _CRITICAL,
+            "lr_18": _STABILITY + _CRITICAL, "rf_18": _STABILITY + _CRITICAL}
+
+
+@query("feature_subsets", " union all ".join(
+    f"select '{name}' as model, '{c}' as feature, count({c}) as known, {sql_r6(f'avg({c})')} as mean from features"
+    for name, more in _SUBSETS.items() for c in BASE_FEATURES + more), ("features",))
+def feature_subsets(spark, folder):
+    """What every model of the ablation grid sees: its features, their known values and means."""
+    table = _features(spark, folder, complexity=True)
+    parts = []
+    for spec in validate.ablation_specs(LABEL):
+        seen = table.select(*spec.features)
+        cells = [F.struct(F.lit(c).alias("feature"), F.count(c).alias("known"), F.avg(c).alias("mean")) for c in seen.columns]
+        parts.append(seen.agg(F.array(*cells).alias("c")).select(F.lit(spec.name).alias("model"), F.inline("c")))
+    return rounded(functools.reduce(DataFrame.unionByName, parts), "mean")
+
+
+# columns of the labelled plies beside values made for those that the test tables lack
+_LABELLED = {
+    "centipawn_loss": "centipawn_loss", "eval_before": "eval_before", "is_used": "cast(is_used as int)", "player_elo": "nullif(player_elo, '')",
+    "player_hint_shown": "case when is_cheating_move then 1 end", "assistance_search_depth": "case when is_cheating_move then cents % 20 end",
+    "assistance_line_rank": "case when is_cheating_move then cents % 5 end", "is_cheating_move": "cast(is_cheating_move as int)",
+    "is_accused_by_opponent": "case when cents % 50 = 0 then 1 end", "legal_moves_count": "legal_moves_count",
+}
+_DENIED = ("player_hint_shown", "assistance_search_depth", "assistance_line_rank", "is_cheating_move", "is_accused_by_opponent")
+
+
+@query("feature_denylist", " union all ".join(
+    f"select '{c}' as name, {str(c not in _DENIED).lower()} as admitted, count({e}) as known from plies" for c, e in _LABELLED.items()), ("plies",))
+def feature_denylist(spark, folder):
+    """Which columns of a labelled table may become features, with their known values."""
+    labelled = plies(spark, folder).select(*[F.expr(e).alias(c) for c, e in _LABELLED.items()])
+    admitted = models.usable_features(labelled.columns)
+    cells = [
+        F.struct(F.lit(c).alias("name"), F.lit(c in admitted).alias("admitted"), F.count(c).alias("known")) for c in labelled.columns
+    ]
+    return labelled.agg(F.array(*cells).alias("c")).select(F.inline("c"))
 
 
 @query("rf_replay")

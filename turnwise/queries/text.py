@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,8 +76,11 @@ def match_records(spark, folder) -> DataFrame:
     return games.render_text(p, ["match"], token, tags)
 
 
-def game_files(spark, folder) -> str:
-    """Root of the matches written as game files into category folders, 21 in all.
+FILE_NAMES = [f"f{k}" for k in range(7)]
+
+
+def game_files(spark, folder, names: Sequence[str] = FILE_NAMES) -> str:
+    """Root of the matches written as game files into category folders, three times as many as names.
 
     Half of the games of a file have no Event tag, so records hold several games.
     """
@@ -84,14 +88,14 @@ def game_files(spark, folder) -> str:
     event = F.when(F.col("match") % 2 == 0, F.lit('[Event "E"]\n')).otherwise("")
     made = match_records(spark, folder).select(
         "match", F.element_at(F.array(*map(F.lit, CATEGORIES)), (1 + F.col("match") % 3).cast("int")).alias("category"),
-        F.concat(F.lit("f"), (F.col("match") % 7).cast("string")).alias("name"),
+        F.element_at(F.array(*map(F.lit, names)), (1 + F.col("match") % len(names)).cast("int")).alias("name"),
         F.concat(event, F.regexp_replace("record", r"\n+$", ""), F.lit(" *\n")).alias("value"),
     )
     games.write_files(made, root, order="match")
     return root
 
 
-_MATCHES_SQL = f"""
+MATCHES_SQL = f"""
   select cast(physical_game_id as bigint) as match, count(*) as plies, cast(physical_game_id as bigint) % 3 as place,
     'f' || cast(cast(physical_game_id as bigint) % 7 as varchar) || '.pgn' as name, site, date, round, result,
     array_to_string(list({array_sql(SAN_SAMPLES)}[1 + cents % 10] order by ply_number), ' ') as sans,
@@ -104,7 +108,7 @@ _FILE_SQL = f"{array_sql(list(CATEGORIES))}[1 + place] || '/' || name as source_
 select {_FILE_SQL}, 'W' || cast(match as varchar) as white,
   row_number() over (order by place, name, match) as game_id,
   row_number() over (partition by place, name order by match) as game_index, plies, md5(sans) as sans_md5
-from ({_MATCHES_SQL})""", ("plies",))
+from ({MATCHES_SQL})""", ("plies",))
 def pgn_category_scan(spark, folder):
     """Game files listed, read, parsed and numbered."""
     parsed = games.parse_records(games.scan_categories(spark, game_files(spark, folder)))
@@ -120,7 +124,7 @@ def pgn_category_scan(spark, folder):
 select {_FILE_SQL}, case when site = '?' then null else site end as site,
   case when date = '????.??.??' then null else date end as date, case when round = '-' then null else round end as round,
   'W' || cast(match as varchar) as white, plies, md5(sans) as sans_md5
-from (select *, row_number() over (partition by place, name order by match) as nth from ({_MATCHES_SQL})) where nth = 1""", ("plies",))
+from (select *, row_number() over (partition by place, name order by match) as nth from ({MATCHES_SQL})) where nth = 1""", ("plies",))
 def pgn_first_game(spark, folder):
     """The first game of every game file, whole."""
     parsed = games.parse_records(games.scan_categories(spark, game_files(spark, folder)))
@@ -135,7 +139,7 @@ select {_FILE_SQL}, cast(sum(size) as bigint) as size, cast(sum(size) as bigint)
 from (select *, case when match % 2 = 0 then length('[Event "E"]') + 1 else 0 end + length('[Site ""]') + length(site) + 1
   + length('[Date ""]') + length(date) + 1 + length('[Round ""]') + length(round) + 1
   + length('[White "W"]') + length(cast(match as varchar)) + 1 + length('[Result ""]') + length(result) + 1
-  + 1 + body - 1 + length(' *') + 2 as size from ({_MATCHES_SQL})) group by place, name""", ("plies",))
+  + 1 + body - 1 + length(' *') + 2 as size from ({MATCHES_SQL})) group by place, name""", ("plies",))
 def pgn_file_coverage(spark, folder):
     """Listed size of every game file, the bytes that a tolerant scan read of it, and its verdict."""
     root = game_files(spark, folder)

@@ -99,4 +99,6 @@ def _table_type(name: str) -> T.DataType:
 
 
 MOVE_TABLE = T.StructType([T.StructField(c, _table_type(c)) for c in MOVE_COLUMNS])
+BASE_PLY_TABLE = T.StructType([T.StructField(c, _table_type(c)) for c in BASE_PLY_COLUMNS])
+ENGINE_PLY_TABLE = T.StructType([T.StructField(c, _table_type(c)) for c in [*BASE_PLY_COLUMNS, *ENGINE_COLUMNS]])
 PROFILE_TABLE = T.StructType([T.StructField(c, _table_type(c)) for c in PROFILE_COLUMNS])

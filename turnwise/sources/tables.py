@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnwise.schemas import BENCHMARK_PLIES, ENGINE_LINES, MOVE_TABLE, PROFILE_TABLE
+from turnwise.schemas import (
+    BASE_PLY_TABLE,
+    BENCHMARK_PLIES,
+    ENGINE_LINES,
+    ENGINE_PLY_TABLE,
+    MOVE_TABLE,
+    PROFILE_TABLE,
+)
 
 _FLOATS = (T.DoubleType, T.FloatType)
 
@@ -34,6 +41,16 @@ def move_table(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, MOVE_TABLE)
 
 
+def base_ply_table(spark: SparkSession, path: str) -> DataFrame:
+    """Base plies as a batch writes them, 19 columns."""
+    return _csv(spark, path, BASE_PLY_TABLE)
+
+
+def engine_ply_table(spark: SparkSession, path: str) -> DataFrame:
+    """The enriched copy of the base plies, 29 columns."""
+    return _csv(spark, path, ENGINE_PLY_TABLE)
+
+
 def profile_table(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, PROFILE_TABLE)
 
