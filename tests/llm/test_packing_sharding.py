@@ -6,9 +6,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from turnwise.llm import common
 from turnwise.llm import packing as P
 from turnwise.llm import sharding as S
 
@@ -111,3 +113,49 @@ def test_shards(docs, odd_texts):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(loads.values()) < 1.35 * min(loads.values())
     assert S.shard_documents(docs([])).count() == 0
+
+
+def test_loads_are_those_of_the_heap_over_whole_groups(docs, odd_texts):
+    texts = odd_texts + [f"text {k % 40} " + "x" * (k % 90) for k in range(400)] + ["copy"] * 50
+    rows = S.shard_documents(docs(texts), shards=5, parts=100_000).collect()
+    groups = Counter()
+    for t in texts:
+        groups[t or ""] += len((t or "").encode()) + 8
+    want = Counter(dict.fromkeys(range(5), 0))
+    for size in sorted(groups.values(), reverse=True):
+        want[min(want, key=want.get)] += size
+    got = Counter()
+    for r in rows:
+        got[r.shard] += r.size
+    assert sorted(got.values()) == sorted(want.values())
+    assert max(len(t or "") for t in texts) > 100_000  # the long text is one of the groups
+
+
+@pytest.mark.parametrize("bits", [2, 18])
+def test_equal_rows_are_numbered_in_short_stretches(spark, monkeypatch, bits):
+    """A third of all rows equal, without id; no key's rows and no equal rows need to meet."""
+    monkeypatch.setattr(common, "RUN_BITS", bits)
+    rows = [(None, "same")] * 100 + [(None, None)] * 30 + [(k, "same" if k % 3 else "other") for k in range(170)]
+    table = common.materialise(spark.createDataFrame(rows, "id int, key string").repartition(3), "equal")
+    out = common.number_within(common.located(table), ["key"], "n")
+    assert out.columns == ["id", "key", "n"]
+    found = defaultdict(list)
+    for r in out.collect():
+        found[r.key].append(r.n)
+    assert {k: len(v) for k, v in found.items()} == Counter(key for _, key in rows)
+    assert all(sorted(v) == list(range(len(v))) for v in found.values())
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, out.collect()), key=repr)
+    widest = common.located(table).groupBy("key", "_run").count().agg({"count": "max"}).first()[0]
+    assert bits == 18 or widest <= 4
+
+
+def test_one_repeated_row_fills_sequences_and_slots(docs, spark):
+    frame = spark.createDataFrame([(None, "one two three four")] * 300, "doc_id long, text string")
+    packed = P.pack(frame, PATH, capacity=64).collect()
+    places = defaultdict(list)
+    for r in packed:
+        places[r.sequence_id].append((r.offset, r.length))
+    length = packed[0].length
+    assert len(places) == -(-300 // (64 // length))
+    assert all([o for o, _ in sorted(p)] == [k * length for k in range(len(p))] for p in places.values())
+    assert sorted(r.slot for r in S.shard_documents(frame, shards=4).collect()) == list(range(300))

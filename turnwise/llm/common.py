@@ -19,8 +19,8 @@ from turnwise.session import materialise  # noqa: F401  (re-exported for the ope
 #: Rows and bytes of an Arrow batch; together they bound what a Python worker holds of its input.
 BATCH_ROWS = 1000
 BATCH_BYTES = 64 << 20
-#: Buckets that split a key's rows for numbering, so that no key meets in one task.
-NUMBER_BUCKETS = 64
+#: Rows of a table are numbered in stretches of 2 to this power.
+RUN_BITS = 18
 
 #: ASCII capitals to small letters, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -108,24 +108,31 @@ def texts_of(row: pa.StructArray, column: str = "text") -> list[bytes]:
     return [b"" if v is None else v for v in values.cast(pa.binary()).to_pylist()]
 
 
-def number_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """Gapless numbers from 0 inside each key, in no promised order between buckets.
+def located(table: DataFrame) -> DataFrame:
+    """A written table with the place of each row: ``_run`` (its file and stretch of rows there) and ``_at``.
 
-    Rows of a key are cut into hash buckets of their order columns. A bucket is numbered by a
-    window; the totals of earlier buckets are added. Window and join share one exchange, and no
-    key's rows meet in one task. Rows equal in all order columns are interchangeable.
+    Places belong to the files, so they are the same in every pass and after a lost executor.
     """
-    bucket = F.pmod(F.xxhash64(*order), F.lit(NUMBER_BUCKETS)).cast("int")
-    split = df.withColumn("_bucket", bucket)
-    totals = split.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    at, file = F.col("_metadata.row_index"), F.col("_metadata.file_path")
+    return table.select("*", F.xxhash64(file, F.shiftright(at, RUN_BITS)).alias("_run"), at.alias("_at"))
+
+
+def number_within(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Gapless numbers from 0 inside each key, for rows that come from a ``located`` table once each.
+
+    A key's rows are cut by the stretch of the table that they stand in, whatever they hold, so neither
+    a hot key nor rows that are all equal meet in one task. A stretch is numbered by a window; the totals
+    of the key's earlier stretches are added. Window and join share one exchange.
+    """
+    totals = df.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(
-        F.sum("_n").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+        F.sum("_n").over(W.partitionBy(*keys).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
     )
     offsets = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                            F.col("_bucket").alias("_b"), before.alias("_before"))
-    local = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
-    numbered = split.withColumn("_local", local)
+                            F.col("_run").alias("_r"), before.alias("_before"))
+    local = F.row_number().over(W.partitionBy(*keys, "_run").orderBy("_at"))
+    numbered = df.withColumn("_local", local)
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    joined = numbered.join(offsets, [*same, F.col("_bucket") == F.col("_b")])
-    return joined.select(*df.columns, (F.col("_before") + F.col("_local") - 1).cast("long").alias(name))
-
+    joined = numbered.join(offsets, [*same, F.col("_run") == F.col("_r")])
+    kept = [c for c in df.columns if c not in ("_run", "_at")]
+    return joined.select(*kept, (F.col("_before") + F.col("_local") - 1).cast("long").alias(name))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import bounded_batches, materialise, number_within
+from turnwise.llm.common import bounded_batches, located, materialise, number_within
 
 CAPACITY = 2048
 END_ID = 0
@@ -249,7 +249,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     pieces = materialise(token_pieces(docs, tokenizer_path, capacity), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = best_fit_decreasing(counts, capacity)
-    ranked = number_within(pieces, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "rank")
+    ranked = number_within(located(pieces), ["length"], "rank")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return ranked.select(*pieces.columns, "rank").mapInArrow(
         placing(plan), f"{schema}, sequence_id long, offset long"

@@ -18,7 +18,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import materialise, number_within
+from turnwise.llm.common import located, materialise, number_within
 
 SHARDS = 24
 ROW_BYTES = 8
@@ -49,7 +49,7 @@ def measured(docs: DataFrame) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, parts: int = PARTS) -> DataFrame:
     """One row per document with its shard and its place there."""
     spark = docs.sparkSession
-    rows = materialise(measured(docs), "measured")
+    rows = located(materialise(measured(docs), "measured"))
     total = rows.agg(F.sum("size")).first()[0] or 0
     bundle = F.concat(F.lit("bundle "), F.pmod(F.xxhash64("group"), F.lit(shards * parts)).cast("string"))
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
@@ -67,9 +67,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, parts: int = PARTS) -
     placed = (
         rows.withColumn("bundle", bundle)
         .join(large, F.col("group") == F.col("item"), "left").join(small, "bundle", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("shard", "bundle_shard").alias("shard"))
+        .select("doc_id", "size", "text_crc32", F.coalesce("shard", "bundle_shard").alias("shard"), "_run", "_at")
     )
-    numbered = number_within(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
+    numbered = number_within(placed, ["shard"], "slot")
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
