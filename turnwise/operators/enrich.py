@@ -19,37 +19,30 @@ KEYS = ("game_id", "ply_number")
 def positions(lines: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per position: its candidate lines at the final depth, and the score after the move.
 
-    A position's lines are gathered into one array, at most one per legal move and depth, and read
-    row by row; any number of ranks takes part.
+    What a position shows are greatest values of its lines; only the candidate moves, at most one per
+    legal move and depth, are gathered, so any number of ranks takes part.
     """
     keys = list(keys)
     if "san" not in lines.columns:
         lines = lines.withColumn("san", F.lit(None).cast("string"))
     if "mate_sign" not in lines.columns:
         lines = lines.withColumn("mate_sign", F.signum("mate").cast("int"))
-    line = F.struct("side", "depth", "pv_rank", "uci", "san", F.struct("cp", "mate", "mate_sign").alias("score"))
-    gathered = lines.groupBy(*keys).agg(F.collect_list(line).alias("lines"))
-    return gathered.select(*keys, F.inline(F.transform(F.array("lines"), _position)))
-
-
-def _position(lines: Column) -> Column:
-    """What enrichment needs of a position's lines; ``moves`` are the candidates at the final depth."""
-    before = F.filter(lines, lambda x: x["side"] == "before")
+    before, rank, score = F.col("side") == "before", F.col("pv_rank"), F.struct("cp", "mate", "mate_sign").alias("score")
 
     def at_rank(k: int) -> Column:
         """The deepest line of a rank."""
-        ranked = F.transform(F.filter(before, lambda x: x["pv_rank"] == k), lambda x: F.struct(x["depth"], x["uci"], x["san"], x["score"]))
-        return F.array_max(ranked)
-
-    after = F.transform(F.filter(lines, lambda x: x["side"] == "after"), lambda x: F.struct(x["depth"], x["score"]))
-    final = F.array_max(F.transform(before, lambda x: x["depth"]))
-    candidates = F.filter(before, lambda x: (x["depth"] == final) & x["uci"].isNotNull())
-    shallow = F.filter(before, lambda x: (x["pv_rank"] == 1) & (x["depth"] == 1))
-    return F.struct(
-        final.alias("final_depth"), at_rank(1).alias("line1"), at_rank(2).alias("line2"),
-        F.transform(candidates, lambda x: F.struct(x["pv_rank"].alias("rank"), x["uci"].alias("uci"))).alias("moves"),
-        F.array_max(after)["score"].alias("after"),
-        F.array_max(F.transform(shallow, lambda x: x["uci"])).alias("depth1_uci"),
+        return F.max(F.when(before & (rank == k), F.struct("depth", "uci", "san", score)))
+
+    candidate = F.struct(F.col("depth"), rank.alias("rank"), F.col("uci"))
+    gathered = lines.groupBy(*keys).agg(
+        F.max(F.when(before, F.col("depth"))).alias("final_depth"), at_rank(1).alias("line1"), at_rank(2).alias("line2"),
+        F.collect_list(F.when(before & F.col("uci").isNotNull(), candidate)).alias("candidates"),
+        F.max(F.when(F.col("side") == "after", F.struct("depth", score))).alias("__after"),
+        F.max(F.when(before & (rank == 1) & (F.col("depth") == 1), F.col("uci"))).alias("depth1_uci"),
+    )
+    return gathered.select(
+        *keys, "final_depth", "line1", "line2", F.filter("candidates", lambda x: x["depth"] == F.col("final_depth")).alias("moves"),
+        F.col("__after.score").alias("after"), "depth1_uci",
     )
 
 
