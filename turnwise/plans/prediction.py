@@ -39,12 +39,14 @@ def predict(
     )
     if complexity_model is None:
         return scored
-    depths = lines.groupBy(game).agg(F.max("depth").alias("depth_used"))
+    # both models score the same row, so the features are made once and joined to the depths alone
+    depths = lines.groupBy(game).agg(F.max("depth").alias("depth_used"), F.lit(True).alias("__has_depth"))
+    both = models.score(complexity_model, scored.join(depths, game, "left"), probability="p_experimental")
     gated = report.depth_gate(
-        models.score(complexity_model, features.join(depths, game), probability="p_experimental"),
-        "p_experimental", "depth_used", require=require_depth,
+        both.withColumnRenamed("classification", "__class"), "p_experimental", "depth_used", require=require_depth
     )
     fields = ["is_depth_compatible", "status", "depth_used", "required_depth", "score", "classification"]
     shown = [F.when(F.col("score").isNotNull(), F.col(c)).alias(c) for c in COMPLEXITY_FEATURES]
-    experimental = gated.select(game, "player_color", F.struct(*fields, *shown).alias("experimental"))
-    return scored.join(experimental, [game, "player_color"], "left")
+    experimental = F.when(F.col("__has_depth") & F.col("player_color").isNotNull(), F.struct(*fields, *shown))
+    return gated.withColumn("experimental", experimental).drop("classification").select(
+        *[F.col("__class").alias(c) if c == "classification" else F.col(c) for c in scored.columns], "experimental")
