@@ -6,6 +6,8 @@ shuffle to become plies.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,21 +34,21 @@ def headers(record: Column | str) -> Column:
     record = as_column(record)
     names = F.regexp_extract_all(record, F.lit(HEADER), F.lit(1))
     values = F.regexp_extract_all(record, F.lit(HEADER), F.lit(2))
-    pairs = F.arrays_zip(names.alias("key"), values.alias("value"))
-    last = F.filter(
-        pairs,
-        lambda pair, i: ~F.array_contains(
-            F.slice(names, i + 2, F.greatest(F.size(names), F.lit(1))), pair["key"]
-        ),
-    )
-    return F.map_from_entries(
-        F.transform(
-            last,
-            lambda p: F.struct(
-                p["key"].alias("key"), F.regexp_replace(p["value"], r"\\(.)", "$1").alias("value")
-            ),
+
+    def entries(pairs: Column) -> Column:
+        last = F.filter(
+            pairs, lambda pair, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda later: later["key"] == pair["key"])
         )
-    )
+        return F.transform(
+            last, lambda p: F.struct(p["key"].alias("key"), F.regexp_replace(p["value"], r"\\(.)", "$1").alias("value"))
+        )
+
+    return F.map_from_entries(once(F.arrays_zip(names.alias("key"), values.alias("value")), entries))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def header(header_map: Column | str, tag: str) -> Column:
@@ -64,22 +66,37 @@ def known_value(value: Column | str) -> Column:
 def mainline(record: Column | str) -> Column:
     """Main line of a record with each clock comment turned into ``<h:mm:ss>``.
 
-    One pass drops comments, headers and marks from left to right and keeps clocks. Passes in
-    time linear in the text then drop the innermost variations, a level each; only what nests deeper
-    still is walked piece by piece. The last pass drops move numbers, results and the empty clocks
+    One pass drops comments, headers and marks from left to right and keeps clocks. A pass in
+    time linear in the text then drops variations of up to ``LEVELS`` levels, and only what nests deeper
+    gets more such passes, or is walked piece by piece at last. The last pass drops move numbers, results and the empty clocks
     the first one leaves. A text whose parentheses don't balance
     keeps one, by which :func:`reject_reason` knows it.
     """
     text = F.regexp_replace(as_column(record), _NOT_MOVES, " <$1> ")
-    for _ in range(LEVELS):
-        text = F.regexp_replace(text, _INNERMOST, " ")
-    text = F.when(text.rlike("[()]"), _outside_variations(text)).otherwise(text)
-    return F.trim(F.regexp_replace(text, _NUMBERS, " "))
+    flat = F.regexp_replace(text, _VARIATION, " ")
+
+    def deeper(t: Column) -> Column:
+        for _ in range(PASSES):
+            t = F.regexp_replace(t, _VARIATION, " ")
+        return once(t, lambda rest: F.when(rest.rlike("[()]"), _outside_variations(rest)).otherwise(rest))
+
+    flat = once(flat, lambda t: F.when(t.rlike("[()]"), deeper(t)).otherwise(t))
+    return F.trim(F.regexp_replace(flat, _NUMBERS, " "))
+
+
+#: Levels of variations that a pass drops, and passes before what nests deeper still is walked.
+LEVELS, PASSES = 6, 6
+
+
+def _variation(levels: int) -> str:
+    """A variation of at most so many levels; possessive throughout, so no text is read again for a shorter match."""
+    inner = r"\([^()]*+\)"
+    for _ in range(levels - 1):
+        inner = rf"\((?:[^()]++|{inner})*+\)"
+    return inner
 
 
-#: Levels of variations that regular expressions drop before the rest is walked, and an innermost variation.
-LEVELS = 6
-_INNERMOST = r"\([^()]*+\)"
+_VARIATION = _variation(LEVELS)
 
 
 def _outside_variations(text: Column) -> Column:
