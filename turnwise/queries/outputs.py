@@ -61,13 +61,9 @@ def _keyed(spark, folder) -> tuple[DataFrame, DataFrame]:
     games = p.select("physical_game_id").distinct().select("physical_game_id", file.alias("source_file")).select(
         "*", place.alias("game_index"))
     key = ["source_file", "game_index", "ply_number"]
-    positions = p.select(
-        "physical_game_id", F.col("ply_number").cast("int"), F.col("move_player").alias("uci"), "game_phase")
-    lines = adapters.engine_lines(p).withColumn("ply_number", F.col("ply_number").cast("int"))
-    return tuple(
-        df.join(games, "physical_game_id").select(*key, *[c for c in df.columns if c not in ("physical_game_id", "ply_number")])
-        for df in (positions, lines)
-    )
+    placed = p.join(games, "physical_game_id").withColumn("ply_number", F.col("ply_number").cast("int")).repartition(*key)
+    positions = placed.select(*key, F.col("move_player").alias("uci"), "game_phase")
+    return positions, adapters.engine_lines(placed, keys=key).sortWithinPartitions(*key)
 
 
 _PLAIN = ["site", "white_player", "player_color", "san", "uci", "game_phase"]

@@ -5,6 +5,8 @@ A part is taken as a match, each of its line items as a ply.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +92,7 @@ def ply_columns(numbered: DataFrame) -> DataFrame:
     )
 
 
-def engine_lines(plies_df: DataFrame, ranks: int = 5) -> DataFrame:
+def engine_lines(plies_df: DataFrame, ranks: int = 5, *, keys: Sequence[str] = ("physical_game_id", "ply_number")) -> DataFrame:
     """Candidate lines of every ply but one in 29.
 
     ``ranks`` lines at depth 15 before the move, a depth-1 line on used plies and one
@@ -127,11 +129,10 @@ def engine_lines(plies_df: DataFrame, ranks: int = 5) -> DataFrame:
     return (
         plies_df.filter("cents % 29 <> 0")
         .selectExpr(
-            "physical_game_id",
-            "ply_number",
+            *keys,
             f"explode(array({', '.join([*before, shallow, after])})) as line",
         )
-        .select("physical_game_id", "ply_number", "line.*")
+        .select(*keys, "line.*")
         .filter("uci is not null or side = 'after'")
     )
 
