@@ -61,7 +61,7 @@ def _keyed(spark, folder) -> tuple[DataFrame, DataFrame]:
     games = p.select("physical_game_id").distinct().select("physical_game_id", file.alias("source_file")).select(
         "*", place.alias("game_index"))
     key = ["source_file", "game_index", "ply_number"]
-    placed = p.join(games, "physical_game_id").withColumn("ply_number", F.col("ply_number").cast("int")).repartition(*key)
+    placed = p.drop("source_file").join(games, "physical_game_id").withColumn("ply_number", F.col("ply_number").cast("int")).repartition(*key)
     positions = placed.select(*key, F.col("move_player").alias("uci"), "game_phase")
     return positions, adapters.engine_lines(placed, keys=key).sortWithinPartitions(*key)
 
