@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 import pytest
 
+from turnwise.functions import gametext
 from turnwise.operators.ordering import number_rows
 from turnwise.queries import REGISTRY, learning
 from turnwise.queries.registry import engine_rows
@@ -55,3 +56,8 @@ def test_checked_metrics_show_a_measure_out_of_place(spark):
     for table, want in ((good, (True, True)), (good.withColumn("accuracy", F.lit(0.25)), (False, True)),
                         (good.withColumn("roc_auc", F.lit(0.1)), (True, False)), (good.withColumn("pr_auc", F.lit(1.5)), (False, True))):
         assert tuple(learning._checked_metrics(table).select("measures_fit", "ranks").first()) == want
+
+
+def test_a_record_is_searched_for_tags_once_per_part(spark):
+    plan = _plan(spark.sql("select 'x' as record from range(1)").repartition(1).select(gametext.headers("record")))
+    assert plan.count("regexp_extract_all(") == 2
