@@ -5,7 +5,7 @@ import pytest
 
 from turnwise.functions import gametext
 from turnwise.operators.ordering import number_rows
-from turnwise.queries import REGISTRY, learning
+from turnwise.queries import REGISTRY, learning, registry
 from turnwise.queries.registry import engine_rows
 from turnwise.session import tune
 
@@ -61,3 +61,15 @@ def test_checked_metrics_show_a_measure_out_of_place(spark):
 def test_a_record_is_searched_for_tags_once_per_part(spark):
     plan = _plan(spark.sql("select 'x' as record from range(1)").repartition(1).select(gametext.headers("record")))
     assert plan.count("regexp_extract_all(") == 2
+
+
+@pytest.mark.parametrize("view", [registry.enriched, registry.engine_rows])
+def test_tasks_of_the_engine_join_follow_the_plies(spark, tmp_path, monkeypatch, view):
+    """Small plies in one task would mean seven times as many lines to sort in it."""
+    items = spark.range(3000).selectExpr(
+        "id % 50 as l_partkey", "cast('2024-01-01' as timestamp_ntz) as l_shipdate", "id as l_orderkey", "1 as l_linenumber",
+        "1 as l_suppkey", "cast(id % 9 as double) as l_quantity", "'A' as l_returnflag", "id * 7.13d as l_extendedprice")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(registry, "POSITION_ROWS", 100, raising=False)
+    tasks = view(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) == 30 and max(r["count"] for r in tasks) < 200

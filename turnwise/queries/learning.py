@@ -448,7 +448,7 @@ def _players(spark, folder):
     """Both models from labelled plies; class, scores and card of every player and game from its engine lines."""
     table = _features(spark, folder, complexity=True)
     wide = Spec("complexity", "logistic_regression", tuple(ALL_FEATURES), LABEL)
-    p, lines = positioned(plies(spark, folder))
+    p, lines = positioned(spark, folder)
     return predict(p, lines, models.fit(table, _LR), game="physical_game_id", played="move_player",
                    complexity_model=models.fit(table, wide))
 

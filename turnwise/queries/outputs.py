@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnwise.operators import report
 from turnwise.operators.features import benchmark_features
 from turnwise.plans import batch
-from turnwise.queries.registry import KEYS, array_sql, plies, query
+from turnwise.queries.registry import KEYS, array_sql, plies, position_tasks, query
 from turnwise.queries.text import MATCHES_SQL, game_files
 from turnwise.schemas import BASE_FEATURES, BASE_PLY_COLUMNS, CATEGORIES, ENGINE_COLUMNS
 from turnwise.session import scratch_folder
@@ -61,7 +61,8 @@ def _keyed(spark, folder) -> tuple[DataFrame, DataFrame]:
     games = p.select("physical_game_id").distinct().select("physical_game_id", file.alias("source_file")).select(
         "*", place.alias("game_index"))
     key = ["source_file", "game_index", "ply_number"]
-    placed = p.drop("source_file").join(games, "physical_game_id").withColumn("ply_number", F.col("ply_number").cast("int")).repartition(*key)
+    placed = p.drop("source_file").join(games, "physical_game_id").withColumn("ply_number", F.col("ply_number").cast("int")).repartition(
+        position_tasks(spark, folder), *key)
     positions = placed.select(*key, F.col("move_player").alias("uci"), "game_phase")
     return positions, adapters.engine_lines(placed, keys=key).sortWithinPartitions(*key)
 
