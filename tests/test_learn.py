@@ -1,12 +1,15 @@
 """Model fits on a small planted signal."""
 
+import threading
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from turnwise.learn import certify, models, validate
 from turnwise.learn.models import Spec
-from turnwise.operators import metrics
+from turnwise.operators import metrics, quantiles
 from turnwise.schemas import BASE_FEATURES
 
 SPEC = Spec("lr", "logistic_regression", ("a", "b"), "y")
@@ -111,3 +114,59 @@ def test_a_forest_replays_by_its_node_table(table):
     want = {(r.g, r.b): r.p for r in models.score(model, table).collect()}
     got = {(r.g, r.b): r.p for r in certify.replay(model, table, spec.features, ["g", "b"]).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_forests_keep_the_node_of_every_row_and_stay_the_same(table, monkeypatch):
+    spec = Spec("rf", "random_forest", ("a", "b"), "y")
+    model = models.fit(table, spec).stages[-1]
+    assert model.getCacheNodeIds()
+    kept, estimator = model.toDebugString, models._estimator
+    monkeypatch.setattr(models, "_estimator", lambda *a: estimator(*a).setCacheNodeIds(False))
+    walked = models.fit(table, spec).stages[-1].toDebugString
+    assert kept.splitlines()[1:] == walked.splitlines()[1:]
+
+
+def test_kinds_of_fits_do_not_overlap_and_forests_are_few(table, monkeypatch):
+    running, seen, lock = [], [], threading.Lock()
+
+    def fit(train, spec, preparation):
+        with lock:
+            running.append(spec.kind)
+            seen.append(tuple(running))
+        time.sleep(0.05)
+        with lock:
+            running.remove(spec.kind)
+        return spec.name
+
+    monkeypatch.setattr(validate, "fit", fit)
+    specs = [Spec("rf", "random_forest", ("a",), "y"), SPEC, Spec("rf2", "random_forest", ("b",), "y")]
+    fitted = validate.fold_models(table, specs)
+    assert list(fitted.items()) == [((s.name, k), s.name) for s in specs for k in range(5)]
+    assert all(len(set(kinds)) == 1 for kinds in seen)
+    assert max(k.count("random_forest") for k in seen) == 3 and max(len(k) for k in seen) <= 5
+
+
+def test_folds_are_prepared_like_their_training_rows(table, spark):
+    """Also for a feature without values outside a fold, and for a fold that holds all rows."""
+    odd = table.withColumn("c", F.when(F.col("fold") == 2, F.col("b"))).withColumn("d", F.lit(None).cast("double"))
+    features = ["a", "b", "c", "d"]
+    for fold, got in enumerate(models.prepare_folds(odd, features, 5)):
+        want = models.prepare(odd.filter(F.col("fold") != fold), features)
+        assert got.fill == want.fill and got.rows == want.rows
+        assert all(got.scale[c] == pytest.approx(want.scale[c], rel=1e-12) for c in features)
+    alone = models.prepare_folds(table.filter("fold = 1"), ["a", "b"], 2)[1]
+    assert (alone.fill, alone.scale, alone.rows) == ({"a": 0.0, "b": 0.0}, {"a": (0.0, 1.0), "b": (0.0, 1.0)}, 0)
+
+
+def test_preparing_folds_counts_a_row_once(table, monkeypatch):
+    """The passes over the rows give a cell per row and feature, not one per row, feature and fold."""
+    cells, counted = [], quantiles._quantiles
+
+    def spy(tally, *rest):
+        return counted(lambda column, keys: cells.append(column) or tally(column, keys), *rest)
+
+    monkeypatch.setattr(quantiles, "_quantiles", spy)
+    models.prepare_folds(table, ["a", "b"], 5)
+    rows = table.count()
+    assert len(cells) == 2
+    assert table.select(F.sum(F.size(cells[0]))).first()[0] == 2 * rows - table.filter("a is null").count()

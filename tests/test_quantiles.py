@@ -1,9 +1,10 @@
 """Exact quantiles against numpy."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from turnwise.operators.explore import describe
-from turnwise.operators.quantiles import exact_quantiles
+from turnwise.operators.quantiles import exact_quantiles, quantiles_outside
 
 
 def _frame(spark, seed=3, n=20_000):
@@ -53,3 +54,12 @@ def test_describe_uses_sample_deviation(spark):
     row = describe(df, ["x"]).first()
     assert (row["count"], row["mean"], row["min"], row["p25"], row["p50"], row["p75"], row["max"]) == (4, 2.5, 1, 1.75, 2.5, 3.25, 4)
     assert abs(row["std"] - np.std([1, 2, 3, 4], ddof=1)) < 1e-12
+
+
+def test_quantiles_outside_a_part_are_those_of_the_other_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [(None if i % 31 == 0 else i % 4, None if i % 7 == 0 else float(v), float(i % 3)) for i, v in enumerate(rng.normal(size=600) * 50)]
+    df = spark.createDataFrame(rows, "part int, v double, w double").withColumn("x", F.when(F.col("part") == 3, F.lit(-5.0)))
+    got = quantiles_outside(df, ["v", "w", "x"], [0.1, 0.5], "part", 5)
+    assert got == [exact_quantiles(df.filter(F.col("part") != k), ["v", "w", "x"], [0.1, 0.5]) for k in range(5)]
+    assert got[3]["x"] == [None, None] and got[0]["x"] == [-5.0, -5.0]
