@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from turnwise.functions import gametext
+from turnwise.operators.enrich import RUN, enrich, merge_scored, run_of
 from turnwise.operators.ordering import number_rows
 from turnwise.queries import REGISTRY, learning, registry
 from turnwise.queries.registry import engine_rows
@@ -73,3 +74,49 @@ def test_tasks_of_the_engine_join_follow_the_plies(spark, tmp_path, monkeypatch,
     monkeypatch.setattr(registry, "POSITION_ROWS", 100, raising=False)
     tasks = view(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(tasks) == 30 and max(r["count"] for r in tasks) < 200
+
+
+def _items(spark, path, rows, parts):
+    spark.range(rows).selectExpr(
+        f"id % {parts} as l_partkey", "cast('2024-01-01' as timestamp_ntz) as l_shipdate", "id as l_orderkey", "1 as l_linenumber",
+        "1 as l_suppkey", "cast(id % 9 as double) as l_quantity", "'A' as l_returnflag", "id * 7.13d as l_extendedprice",
+    ).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_plies_are_dealt_out_as_line_items(no_broadcast):
+    """No column that a ply's numbers give passes a shuffle, and none follows the two that deal out."""
+    plan = _plan(registry.enriched(no_broadcast, FOLDER))
+    dealt = plan.split("Exchange hashpartitioning(physical_game_id")[1:]
+    assert len(dealt) == 2
+    for below in dealt:
+        project = below.splitlines()[1]
+        assert "l_partkey" in project and not any(name in project for name in ("player_elo", "opponent_id", "centipawn_loss", "move_player"))
+
+
+def test_plies_of_a_match_are_totalled_where_they_are(spark, tmp_path, monkeypatch):
+    """A match of one stretch is in one task; a longer one is spread."""
+    folder = _items(spark, tmp_path, 4000, 40)
+    monkeypatch.setattr(registry, "POSITION_ROWS", 64 << 10)
+    monkeypatch.setattr(registry, "position_tasks", lambda spark, folder: 16)
+    task = F.spark_partition_id().alias("task")
+    rows = registry.enriched(spark, folder).select("physical_game_id", (F.col("ply_number") > 64).alias("late"), task).distinct().collect()
+    assert len(rows) == 80 and len({r.task for r in rows}) > 4
+    assert len({(r.physical_game_id, r.task) for r in rows}) > 60
+
+
+def test_positions_of_a_stretch_meet_their_plies(spark):
+    """As by ply, with plies that come twice, have no lines, or lie under a null key."""
+    plies = spark.createDataFrame(
+        [("g", n, "White", "a") for n in (1, 2, 2, 64, 65, 70)] + [("h", 1, "Black", "b"), (None, 1, "White", "a")],
+        "game_id string, ply_number int, player_color string, uci string")
+    lines = spark.createDataFrame(
+        [(g, n, side, 9, 1, "a" if side == "before" else None, n + (side == "before"), None)
+         for g, n in (("g", 2), ("g", 64), ("g", 65), ("g", 66), ("h", 2), (None, 1)) for side in ("before", "after")],
+        "game_id string, ply_number int, side string, depth int, pv_rank int, uci string, cp int, mate int")
+    runs = [df.withColumn(RUN, run_of()) for df in (plies, lines)]
+    for join, rows in ((enrich, 8), (merge_scored, 4)):
+        want = join(plies, lines)
+        got = join(*runs)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == rows

@@ -15,6 +15,20 @@ from turnwise.functions import moves as M
 
 KEYS = ("game_id", "ply_number")
 
+#: A column of plies and lines that are dealt out by stretches of a game, and the most plies in a stretch. What is
+#: totalled per game is one row per stretch and task then, and a long game is still spread over tasks.
+RUN, RUN_PLIES = "__run", 64
+
+
+def run_of(ply: str = "ply_number", plies: int = RUN_PLIES) -> Column:
+    """Stretch of a ply."""
+    return F.expr(f"cast(({ply} - 1) div {plies} as int)")
+
+
+def run_keys(keys: Sequence[str]) -> list[str]:
+    """``keys`` with the stretch ahead of the ply number."""
+    return [*keys[:-1], RUN, keys[-1]]
+
 
 def positions(lines: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per position: its candidate lines at the final depth, and the score after the move.
@@ -76,18 +90,46 @@ def join_positions(
 ) -> DataFrame:
     """Plies beside their engine columns, which replace ply columns of the same name.
 
-    The ply number is part of the join key: a long game spreads over tasks.
+    The ply number is part of the join key, or the stretch of plies where it is a key: a long game spreads over tasks.
     """
     keys = list(keys)
     engine = _engine_columns(played, color)
     kept = [c for c in plies.columns if c not in engine]
-    joined = plies.select(*kept).join(position_table, keys, how)
+    join = _join_runs if RUN in keys else _join_plies
+    joined = join(plies.select(*kept), position_table, how, keys)
     return joined.select(*kept, *[c.alias(n) for n, c in engine.items()], F.col("final_depth").isNotNull().alias("__has_row"))
 
 
+def _join_plies(plies: DataFrame, position_table: DataFrame, how: str, keys: list[str]) -> DataFrame:
+    return plies.join(position_table, keys, how)
+
+
+def _join_runs(plies: DataFrame, position_table: DataFrame, how: str, keys: list[str]) -> DataFrame:
+    """The same rows; the positions of a stretch, a few dozen at most, meet its plies as one array.
+
+    Spark joins rows where they are only if they are dealt out by all the keys of the join.
+    """
+    *where, ply = keys
+    found = [c for c in position_table.columns if c not in keys]
+    # positions of sorted lines come sorted, so this sort is none, but lets them be gathered without a map of all stretches
+    runs = position_table.sortWithinPartitions(*keys).groupBy(*where).agg(F.collect_list(F.struct(ply, *found)).alias("__positions"))
+    place = F.array_position(F.col("__positions")[ply], F.col(ply)) - 1
+    joined = plies.join(runs, where, how).withColumn("__position", F.get("__positions", place.cast("int")))
+    if how == "inner":
+        joined = joined.filter(F.col("__position").isNotNull())
+    return joined.select(*plies.columns, *[F.col("__position")[c].alias(c) for c in found])
+
+
+def _joined(plies: DataFrame, lines: DataFrame, how: str, keys: Sequence[str], played: str) -> DataFrame:
+    """``join_positions`` by stretches if both tables are dealt out by them."""
+    if RUN in plies.columns and RUN in lines.columns:
+        keys = run_keys(keys)
+    return join_positions(plies, positions(lines, keys=keys), how, keys=keys, played=played).drop(RUN)
+
+
 def enrich(plies: DataFrame, lines: DataFrame, *, keys: Sequence[str] = KEYS, played: str = "uci") -> DataFrame:
     """Plies with engine columns; plies without candidate lines count as missing."""
-    joined = join_positions(plies, positions(lines, keys=keys), "left", keys=keys, played=played)
+    joined = _joined(plies, lines, "left", keys, played)
     before, after = F.col("engine_score_before"), F.col("engine_score_after")
     mate = before["mate"].isNotNull() | after["mate"].isNotNull()
     has_score = mate | before["cp"].isNotNull() | after["cp"].isNotNull()
@@ -109,7 +151,7 @@ def enrich(plies: DataFrame, lines: DataFrame, *, keys: Sequence[str] = KEYS, pl
 
 def merge_scored(plies: DataFrame, lines: DataFrame, *, keys: Sequence[str] = KEYS, played: str = "uci") -> DataFrame:
     """Only the plies that have candidate lines, with their engine columns."""
-    return join_positions(plies, positions(lines, keys=keys), "inner", keys=keys, played=played).drop("__has_row")
+    return _joined(plies, lines, "inner", keys, played).drop("__has_row")
 
 
 def with_score_text(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.operators.enrich import enrich, merge_scored
+from turnwise.operators.enrich import RUN, enrich, merge_scored, run_keys, run_of
 from turnwise.session import tune
 from turnwise.sources import adapters
 
@@ -16,7 +16,8 @@ Run = Callable[[SparkSession, str], DataFrame]
 KEYS = ("physical_game_id", "ply_number")
 PLAYER = ("physical_game_id", "player_color")
 
-#: Plies in a task of the engine join; it sorts their lines in memory, some seven times as many rows.
+#: Plies in a task of the engine join; it sorts their lines in memory, some seven times as many rows. A match is
+#: dealt out in stretches of 1/1024 of that, so tasks stay even.
 POSITION_ROWS = 1 << 16
 
 
@@ -69,9 +70,16 @@ def position_tasks(spark: SparkSession, folder: str) -> int:
 
 
 def positioned(spark: SparkSession, folder: str, ranks: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Plies and their candidate lines, both dealt out by position; the lines are sorted by it as well."""
-    p = plies(spark, folder).repartition(position_tasks(spark, folder), *KEYS)
-    return p, adapters.engine_lines(p, ranks).sortWithinPartitions(*KEYS)
+    """Plies and their candidate lines, both dealt out by stretches of a match; the lines are sorted by position as well.
+
+    Only what plies are made of is dealt out; their columns and lines are made behind that.
+    """
+    where = ["physical_game_id", RUN]
+    items = adapters.numbered_items(spark, folder).select(
+        "*", F.col("l_partkey").cast("string").alias("physical_game_id"), run_of("ply_number", max(1, POSITION_ROWS >> 10)).alias(RUN))
+    p = adapters.ply_columns(items.repartition(position_tasks(spark, folder), *where), where)
+    keys = run_keys(KEYS)
+    return p, adapters.engine_lines(p, ranks, keys=keys).sortWithinPartitions(*keys)
 
 
 def engine_rows(spark: SparkSession, folder: str, ranks: int = 5) -> DataFrame:

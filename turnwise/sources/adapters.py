@@ -28,8 +28,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def plies(spark: SparkSession, folder: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def plies(spark: SparkSession, folder: str, *, hot_rows: int = HOT_ROWS, keep: Sequence[str] = ()) -> DataFrame:
     """One row per line item, numbered within its part by ship date."""
+    return ply_columns(numbered_items(spark, folder, hot_rows=hot_rows), keep)
+
+
+def numbered_items(spark: SparkSession, folder: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The few columns that plies are made of; what is to be shuffled is shuffled in this form."""
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"]
     items = table(spark, folder, "lineitem").select(
         "l_partkey",
@@ -38,12 +43,18 @@ def plies(spark: SparkSession, folder: str, *, hot_rows: int = HOT_ROWS) -> Data
         "l_returnflag",
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
     )
-    return ply_columns(number_rows(items, ["l_partkey"], order, "ply_number", spread=F.struct("l_shipdate", F.shiftright("l_orderkey", 16)), hot_rows=hot_rows))
+    numbered = number_rows(
+        items, ["l_partkey"], order, "ply_number", spread=F.struct("l_shipdate", F.shiftright("l_orderkey", 16)), hot_rows=hot_rows)
+    return numbered.drop(*order)
+
 
+def ply_columns(numbered: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Ply measures and context of numbered line items; row by row, no shuffle.
 
-def ply_columns(numbered: DataFrame) -> DataFrame:
-    """Ply measures and context of numbered line items; row by row, no shuffle."""
+    Columns in ``keep`` stay as they are, also in place of one made here, so rows stay dealt out by them.
+    """
     base = numbered.selectExpr(
+        *[c for c in keep if c != "l_partkey"],
         "l_partkey",
         "l_quantity",
         "l_returnflag as source_category",
@@ -54,7 +65,7 @@ def ply_columns(numbered: DataFrame) -> DataFrame:
         "(cents div 7) % 2001 - 1000 as eval_before",
         "ply_number >= 21 as is_used",
     ).selectExpr("*", "case when u % 37 = 0 then null else (u*u*u) div 2500000 end as centipawn_loss")
-    return base.selectExpr(
+    columns = [
         "cast(l_partkey as string) as physical_game_id",
         "concat(cast(l_partkey as string), case when side = 1 then '_w' else '_b' end) as game_id",
         "concat('p', cast((l_partkey * 5 + side * 13) % 49 as string)) as player_id",
@@ -89,7 +100,8 @@ def ply_columns(numbered: DataFrame) -> DataFrame:
         " as player_elo",
         "case when l_partkey % 9 = 0 then '' else cast(1000 + (l_partkey * 7 + (1 - side) * 31) % 1500 as string)"
         " end as opponent_elo",
-    )
+    ]
+    return base.selectExpr(*[c for c in columns if c.split()[-1] not in keep], *keep)
 
 
 def engine_lines(plies_df: DataFrame, ranks: int = 5, *, keys: Sequence[str] = ("physical_game_id", "ply_number")) -> DataFrame:
