@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_gametext import BARE, MINIMAL, NO_MOVES, TWO
+from turnwise import session
 from turnwise.learn import models
+from turnwise.operators import enrich
 from turnwise.plans import batch, eda, prediction, training
 from turnwise.schemas import BASE_FEATURES, BENCHMARK_PLIES, MOVE_COLUMNS, PROFILE_COLUMNS
 from turnwise.sources import adapters, games, sinks, tables
@@ -222,3 +224,54 @@ def test_bytes_read_add_up_to_the_size_of_a_file(spark, tmp_path):
             assert "unlabeled/bare.pgn" in lost and lost <= {"unlabeled/bare.pgn", "unlabeled/start.pgn"}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def _tables(spark, *plies):
+    """Two rows of one ply, and lines of each."""
+    positions = spark.createDataFrame(
+        [("unlabeled/b.pgn", 1, n, f"u{n}", text, 20, "Opening") for n in plies for text in ("x", "y")],
+        "source_file string, game_index int, ply_number int, uci string, fen_before string, legal_moves_count int, game_phase string")
+    lines = spark.createDataFrame(
+        [("unlabeled/b.pgn", 1, n, side, 10, 1, f"u{n}" if side == "before" else None, n, None) for n in plies for side in ("before", "after")],
+        "source_file string, game_index int, ply_number int, side string, depth int, pv_rank int, uci string, cp int, mate int")
+    return positions, lines
+
+
+@pytest.mark.parametrize("length", [1, 64])
+def test_stretches_of_games_give_the_same_moves(spark, root, monkeypatch, length):
+    """Cut after every ply or not at all; positions that come twice give two moves."""
+    monkeypatch.setattr(batch, "RUN_PLIES", length)
+    monkeypatch.setattr(batch, "run_of", lambda: enrich.run_of("ply_number", length))
+    positions, lines = _tables(spark, 2, 5, 99)
+    moves = batch.run(spark, root, positions=positions, lines=lines, tasks=3).moves
+    assert enrich.RUN not in moves.columns and moves.count() == 27 + 2
+    got = moves.filter("source_file = 'unlabeled/b.pgn'").orderBy("ply_number", "fen_before").collect()
+    assert [(r.ply_number, r.uci, r.fen_before, r.engine_score_before_cp, r.is_engine_top1) for r in got if r.uci] == [
+        (n, f"u{n}", text, str(n), 1) for n in (2, 5) for text in ("x", "y")]
+    assert [r.ply_number for r in got] == sorted([*range(1, len(got) - 1), 2, 5])
+    assert [r.player_color for r in got] == ["White" if r.ply_number % 2 else "Black" for r in got]
+
+
+def test_games_are_dealt_out_before_they_become_plies(spark, root, monkeypatch):
+    """The plies' join finds its rows in place, also where no table is small enough to be sent everywhere."""
+    plans = []
+
+    def seen(plies, lines, **more):
+        out = enrich.enrich(plies, lines, **more)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(batch, "enrich", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        positions, lines = _tables(spark, 2)
+        batch.run(spark, root, positions=positions, lines=lines, tasks=3)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plans[0].splitlines() if "Exchange hashpartitioning(source_file" in line]
+    assert len(dealt) == 3 and all("__run" in line and "REPARTITION_BY_NUM" in line for line in dealt)
+
+
+def test_files_of_a_written_table_hold_few_rows(spark):
+    table = session.materialise(spark.range(100).coalesce(1), "few", rows_per_file=30)
+    assert len(table.inputFiles()) == 4 and table.count() == 100

@@ -112,7 +112,7 @@ def _join_runs(plies: DataFrame, position_table: DataFrame, how: str, keys: list
     *where, ply = keys
     found = [c for c in position_table.columns if c not in keys]
     # positions of sorted lines come sorted, so this sort is none, but lets them be gathered without a map of all stretches
-    runs = position_table.sortWithinPartitions(*keys).groupBy(*where).agg(F.collect_list(F.struct(ply, *found)).alias("__positions"))
+    runs = gather_runs(position_table, keys, "__positions")
     place = F.array_position(F.col("__positions")[ply], F.col(ply)) - 1
     joined = plies.join(runs, where, how).withColumn("__position", F.get("__positions", place.cast("int")))
     if how == "inner":
@@ -120,6 +120,25 @@ def _join_runs(plies: DataFrame, position_table: DataFrame, how: str, keys: list
     return joined.select(*plies.columns, *[F.col("__position")[c].alias(c) for c in found])
 
 
+def gather_runs(table: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Rows of a table that is dealt out by stretches as one array per stretch."""
+    *where, ply = keys
+    found = [c for c in table.columns if c not in keys]
+    return table.sortWithinPartitions(*keys).groupBy(*where).agg(F.collect_list(F.struct(ply, *found)).alias(name))
+
+
+def spread_runs(plies: DataFrame, name: str, ply: str = "ply_number") -> DataFrame:
+    """Every ply beside each row of its stretch's array that has its number, or none: a left join that is under way.
+
+    The fields of the rows replace columns of plies.
+    """
+    found = [f.name for f in plies.schema[name].dataType.elementType.fields if f.name != ply]
+    kept = [c for c in plies.columns if c != name and c not in found]
+    own = F.filter(name, lambda x: x[ply] == F.col(ply))
+    beside = plies.select(*kept, F.explode_outer(own).alias("__row"))
+    return beside.select(*kept, *[F.col("__row")[c].alias(c) for c in found])
+
+
 def _joined(plies: DataFrame, lines: DataFrame, how: str, keys: Sequence[str], played: str) -> DataFrame:
     """``join_positions`` by stretches if both tables are dealt out by them."""
     if RUN in plies.columns and RUN in lines.columns:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.operators import audit
-from turnwise.operators.enrich import enrich, with_score_text
+from turnwise.operators.enrich import RUN, RUN_PLIES, enrich, gather_runs, run_keys, run_of, spread_runs, with_score_text
 from turnwise.operators.profile import profile
 from turnwise.schemas import (
     BASE_PLY_COLUMNS,
@@ -26,6 +26,8 @@ from turnwise.sources import sinks
 #: Columns only a rules engine can add; they join from an optional position table.
 POSITION_COLUMNS = {"uci": "string", "fen_before": "string", "legal_moves_count": "int", "game_phase": "string"}
 VERSION = "2.0.0"
+#: Plies in a task of the joins and in a file of the move table, if the caller names no number of tasks.
+TASK_PLIES, FILE_PLIES = 1 << 15, 1 << 14
 NO_RECORDS = "no parseable game found"
 UNREAD = "file could not be read to its end"
 # Names of the published provenance totals, and the published remark.
@@ -58,13 +60,15 @@ def run(
     categories: Sequence[str] = CATEGORIES,
     max_games_per_file: int | None = None,
     engine_name: str | None = None,
+    tasks: int | None = None,
 ) -> BatchResult:
     """Build all tables of a batch.
 
     ``positions`` adds per-ply board columns and ``lines`` engine candidate lines, both
     keyed by (source_file, game_index, ply_number). Without lines every ply counts as
-    not evaluated. Parsed games and enriched moves are written once each, since several
-    outputs read them. A file that can't be read to its end is one reject, without any of its
+    not evaluated. Games are dealt out to ``tasks`` before they become plies, in stretches, and both tables
+    with them, unless they come with a column ``RUN`` and are dealt out so already. Parsed games and enriched
+    moves are written once each, since several outputs read them. A file that can't be read to its end is one reject, without any of its
     games; the others' games stay. Files are read once, and their texts enter no shuffle.
     """
     listed = G.list_categories(spark, root, categories)
@@ -79,23 +83,37 @@ def run(
         good = G.first_n_per_file(good, max_games_per_file)
     numbered = G.with_game_ids(good, categories)
     key = ["source_file", "game_index", "ply_number"]
-    plies = G.explode_plies(numbered, ["game_id", "source_file", "source_category", "game_index"])
+    game = key[:-1]
+    if tasks is None:
+        found = good.agg(F.sum(F.size("moves"))).first()[0] or 0
+        tasks = max(spark.sparkContext.defaultParallelism, -(-found // TASK_PLIES))
+
+    def dealt(table: DataFrame) -> DataFrame:
+        return table if RUN in table.columns else table.withColumn(RUN, run_of()).repartition(tasks, *game, RUN)
+
+    cut = G.cut_games(numbered, RUN_PLIES, RUN).repartition(tasks, *game, RUN)
+    carried = ["game_id", "source_category", *game, RUN]
     if positions is not None:
-        plies = plies.drop(*[c for c in positions.columns if c in plies.columns and c not in key]).join(
-            positions, key, "left"
-        )
+        # joined to stretches, which are far fewer than plies and need sorting
+        cut = cut.join(gather_runs(dealt(positions), run_keys(key), "__positions"), [*game, RUN], "left")
+        carried.append("__positions")
+    plies = G.explode_plies(cut, carried, ahead=F.col(RUN) * RUN_PLIES)
+    if positions is not None:
+        plies = spread_runs(plies, "__positions")
     for name, kind in POSITION_COLUMNS.items():
         if name not in plies.columns:
             plies = plies.withColumn(name, F.lit(None).cast(kind))
     with_engine = lines is not None
-    if not with_engine:
+    if with_engine:
+        lines = dealt(lines)
+    else:
         fields = [f for f in ENGINE_LINES.fields if f.name not in ("game_id", "ply_number")]
         lines = plies.limit(0).select(
             *key, *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
         )
     moves = materialise(with_score_text(enrich(plies, lines, keys=key)).select(
         "game_index", *MOVE_COLUMNS, "engine_best_move_depth1"
-    ), "moves")
+    ), "moves", rows_per_file=FILE_PLIES)
     profiles = profile(moves, rounded=True).select(*PROFILE_COLUMNS)
     seen = parsed.select("source_file", "source_category").distinct()
     silent = listed.drop("size").join(seen, "source_file", "left_anti").join(unread, "source_file", "left_anti")

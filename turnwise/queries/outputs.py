@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.operators import report
+from turnwise.operators.enrich import RUN, run_keys, run_of
 from turnwise.operators.features import benchmark_features
 from turnwise.plans import batch
 from turnwise.queries.registry import KEYS, array_sql, plies, position_tasks, query
@@ -50,21 +51,30 @@ def batch_manifest(spark, folder):
     )
 
 
+def _tasks(spark, folder) -> int:
+    """Twice as many as for the engine join of plies, since file names make the lines twice as wide."""
+    return 2 * position_tasks(spark, folder)
+
+
 def _keyed(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """Position columns and engine lines of the plies, keyed by file, game and ply."""
-    p = plies(spark, folder)
-    match = F.col("physical_game_id").cast("bigint")
+    """Position columns and engine lines of the plies, keyed by file, game and ply, and dealt out by stretches of a game.
+
+    What plies are made of is placed and dealt out; their columns and lines are made behind that.
+    """
+    items = adapters.numbered_items(spark, folder)
+    match = F.col("l_partkey").cast("bigint")
     category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (1 + match % 3).cast("int"))
     name = F.element_at(F.array(*map(F.lit, NAMES)), (1 + match % 7).cast("int"))
     file = F.concat(category, F.lit("/"), name, F.lit(".pgn"))
     place = F.row_number().over(Window.partitionBy("source_file").orderBy(match))
-    games = p.select("physical_game_id").distinct().select("physical_game_id", file.alias("source_file")).select(
-        "*", place.alias("game_index"))
-    key = ["source_file", "game_index", "ply_number"]
-    placed = p.drop("source_file").join(games, "physical_game_id").withColumn("ply_number", F.col("ply_number").cast("int")).repartition(
-        position_tasks(spark, folder), *key)
-    positions = placed.select(*key, F.col("move_player").alias("uci"), "game_phase")
-    return positions, adapters.engine_lines(placed, keys=key).sortWithinPartitions(*key)
+    matches = adapters.table(spark, folder, "lineitem").select("l_partkey").distinct()
+    games = matches.select("l_partkey", file.alias("source_file")).select("*", place.alias("game_index"))
+    where = ["source_file", "game_index", RUN]
+    placed = items.join(games, "l_partkey").withColumn(RUN, run_of()).repartition(_tasks(spark, folder), *where)
+    p = adapters.ply_columns(placed, where).withColumn("ply_number", F.col("ply_number").cast("int"))
+    key = run_keys(["source_file", "game_index", "ply_number"])
+    positions = p.select(*key, F.col("move_player").alias("uci"), "game_phase")
+    return positions, adapters.engine_lines(p, keys=key).sortWithinPartitions(*key)
 
 
 _PLAIN = ["site", "white_player", "player_color", "san", "uci", "game_phase"]
@@ -92,7 +102,7 @@ from enriched e left join engine_rows r using (physical_game_id, ply_number) joi
 def batch_outputs(spark, folder):
     """Base plies and their enriched copy, written by a batch with positions and engine lines and read back."""
     positions, lines = _keyed(spark, folder)
-    result = batch.run(spark, game_files(spark, folder, NAMES), positions=positions, lines=lines)
+    result = batch.run(spark, game_files(spark, folder, NAMES), positions=positions, lines=lines, tasks=_tasks(spark, folder))
     root = f"{scratch_folder(spark)}/batch-{uuid.uuid4().hex}"
     batch.write(result, root)
     base = tables.base_ply_table(spark, f"{root}/base_features").select(F.lit("base").alias("output"), *BASE_PLY_COLUMNS)

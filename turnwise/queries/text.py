@@ -13,7 +13,7 @@ from turnwise.queries.registry import KEYS, array_sql, plies, query, r6, sql_r6
 from turnwise.schemas import CATEGORIES
 from turnwise.session import scratch_folder
 from turnwise.session import materialise
-from turnwise.sources import games
+from turnwise.sources import adapters, games
 from turnwise.sources.adapters import SAN_SAMPLES, table
 
 #: Plies per rendered record; it bounds every record whatever the length of a match.
@@ -69,7 +69,8 @@ def records(spark, folder, *, faults: bool = False) -> DataFrame:
 def match_records(spark, folder) -> DataFrame:
     """One text per match with all its plies, and the category and file name it goes to."""
     san = F.element_at(F.array(*[F.lit(s) for s in SAN_SAMPLES]), (1 + F.col("cents") % 10).cast("int"))
-    p = plies(spark, folder).withColumns({"san": san, "match": F.col("physical_game_id").cast("bigint")})
+    # under its own name, by which plies come sorted, a match's texts are gathered without a map of all matches
+    p = adapters.plies(spark, folder, keep=["l_partkey"]).withColumns({"san": san, "match": F.col("l_partkey").cast("bigint")})
     token = F.concat("san", F.when(F.col("cents") % 7 == 0, " (1. d4 {aside} (1... d5))").otherwise(""))
     tags = {"Site": F.col("site"), "Date": F.col("date"), "Round": F.col("round"),
             "White": F.concat(F.lit("W"), F.col("physical_game_id")), "Result": F.col("result")}

@@ -163,8 +163,15 @@ def require_records(parsed: DataFrame) -> DataFrame:
     return parsed
 
 
-def explode_plies(games: DataFrame, keys: Sequence[str] = ("file", "game_index")) -> DataFrame:
-    """One row per main-line half-move with header context and the mover's view.
+def cut_games(games: DataFrame, plies: int, name: str) -> DataFrame:
+    """Games in stretches of so many plies at most, numbered from 0 in column ``name``; ``moves`` holds those of the stretch."""
+    last = F.greatest(F.size("moves") - 1, F.lit(0))
+    runs = games.withColumn(name, F.explode(F.sequence(F.lit(0), F.floor(last / plies).cast("int"))))
+    return runs.withColumn("moves", F.slice("moves", F.col(name) * plies + 1, plies))
+
+
+def explode_plies(games: DataFrame, keys: Sequence[str] = ("file", "game_index"), *, ahead: Column | int = 0) -> DataFrame:
+    """One row per main-line half-move with header context and the mover's view; ``ahead`` plies of the game come earlier.
 
     Side to move and move number come from a FEN header if there is one. Legal-move
     counts, UCI and position are not derivable from the text without a rules engine;
@@ -173,8 +180,8 @@ def explode_plies(games: DataFrame, keys: Sequence[str] = ("file", "game_index")
     fen = F.element_at("headers", F.lit("FEN"))
     tags = [G.header("headers", tag).alias(name) for name, tag in HEADER_TAGS.items()]
     rows = games.select(
-        *keys, *tags, fen.alias("__fen"), F.posexplode("moves").alias("__pos", "__move")
-    )
+        *keys, *tags, fen.alias("__fen"), F.posexplode("moves").alias("__at", "__move")
+    ).withColumn("__pos", F.col("__at") + (F.lit(ahead) if isinstance(ahead, int) else ahead))
     black_start = F.coalesce(M.color_from_fen("__fen") == "Black", F.lit(False)).cast("int")
     turn = F.col("__pos") + black_start
     color = F.when(turn % 2 == 0, "White").otherwise("Black")
