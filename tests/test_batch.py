@@ -275,3 +275,15 @@ def test_games_are_dealt_out_before_they_become_plies(spark, root, monkeypatch):
 def test_files_of_a_written_table_hold_few_rows(spark):
     table = session.materialise(spark.range(100).coalesce(1), "few", rows_per_file=30)
     assert len(table.inputFiles()) == 4 and table.count() == 100
+
+
+def test_compressed_outputs_hold_the_same_rows(spark, root, tmp_path):
+    result = batch.run(spark, root)
+    for kind in ("none", "gzip"):
+        batch.write(result, str(tmp_path / kind), compression=kind)
+    for name, read in (("move_level_features", tables.move_table), ("base_features", tables.base_ply_table),
+                       ("base_features_engine_analysis", tables.engine_ply_table), ("player_game_features", tables.profile_table)):
+        plain, packed = (sorted(map(str, read(spark, str(tmp_path / kind / name)).collect())) for kind in ("none", "gzip"))
+        assert plain and plain == packed
+        assert all(p.name.endswith(".csv.gz") for p in (tmp_path / "gzip" / name).glob("part-*"))
+        assert all(p.name.endswith(".csv") for p in (tmp_path / "none" / name).glob("part-*"))

@@ -183,14 +183,21 @@ def manifest(files: DataFrame, profiles: DataFrame, listed: DataFrame, categorie
     )
 
 
-def write(result: BatchResult, output: str) -> None:
+def write(result: BatchResult, output: str, *, compression: str = "none") -> None:
     """Write the CSV tables (moves, profiles, base plies and their enriched copy), the manifest document and
-    its file and reject lists."""
-    sinks.write_csv(result.moves, f"{output}/move_level_features", MOVE_COLUMNS)
+    its file and reject lists.
+
+    The tags of a game stand in each of its plies in three of the tables; ``compression`` (such as gzip) of
+    the CSV files saves that room, and readers tell it from their names.
+    """
+    def table(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
+        sinks.write_csv(rows, path, columns, compression=compression)
+
+    table(result.moves, f"{output}/move_level_features", MOVE_COLUMNS)
     base = f"{output}/base_features"
-    sinks.write_csv(result.moves, base, BASE_PLY_COLUMNS)
-    sinks.write_csv(result.moves, sinks.engine_output_path(base), [*BASE_PLY_COLUMNS, *ENGINE_COLUMNS])
-    sinks.write_csv(result.profiles, f"{output}/player_game_features", PROFILE_COLUMNS)
+    table(result.moves, base, BASE_PLY_COLUMNS)
+    table(result.moves, sinks.engine_output_path(base), [*BASE_PLY_COLUMNS, *ENGINE_COLUMNS])
+    table(result.profiles, f"{output}/player_game_features", PROFILE_COLUMNS)
     paths = {"move_level_csv": f"{output}/move_level_features", "player_game_csv": f"{output}/player_game_features"}
     named = F.struct(*[F.lit(path).alias(n) for n, path in paths.items()])
     sinks.write_document(result.manifest.withColumn("outputs", named), f"{output}/dataset_manifest")

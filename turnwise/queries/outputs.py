@@ -14,7 +14,7 @@ from turnwise.plans import batch
 from turnwise.queries.registry import KEYS, array_sql, plies, position_tasks, query
 from turnwise.queries.text import MATCHES_SQL, game_files
 from turnwise.schemas import BASE_FEATURES, BASE_PLY_COLUMNS, CATEGORIES, ENGINE_COLUMNS
-from turnwise.session import scratch_folder
+from turnwise.session import materialise, scratch_folder
 from turnwise.sources import adapters, tables
 
 #: File names of the batches; four of them have a provenance of their own.
@@ -70,8 +70,9 @@ def _keyed(spark, folder) -> tuple[DataFrame, DataFrame]:
     matches = adapters.table(spark, folder, "lineitem").select("l_partkey").distinct()
     games = matches.select("l_partkey", file.alias("source_file")).select("*", place.alias("game_index"))
     where = ["source_file", "game_index", RUN]
-    placed = items.join(games, "l_partkey").withColumn(RUN, run_of()).repartition(_tasks(spark, folder), *where)
-    p = adapters.ply_columns(placed, where).withColumn("ply_number", F.col("ply_number").cast("int"))
+    # written once, since positions, lines and the depth of the lines are each read from it
+    placed = materialise(items.join(games, "l_partkey").withColumn(RUN, run_of()), "placed", rows_per_file=batch.FILE_PLIES)
+    p = adapters.ply_columns(placed.repartition(_tasks(spark, folder), *where), where).withColumn("ply_number", F.col("ply_number").cast("int"))
     key = run_keys(["source_file", "game_index", "ply_number"])
     positions = p.select(*key, F.col("move_player").alias("uci"), "game_phase")
     return positions, adapters.engine_lines(p, keys=key).sortWithinPartitions(*key)
@@ -104,7 +105,7 @@ def batch_outputs(spark, folder):
     positions, lines = _keyed(spark, folder)
     result = batch.run(spark, game_files(spark, folder, NAMES), positions=positions, lines=lines, tasks=_tasks(spark, folder))
     root = f"{scratch_folder(spark)}/batch-{uuid.uuid4().hex}"
-    batch.write(result, root)
+    batch.write(result, root, compression="gzip")
     base = tables.base_ply_table(spark, f"{root}/base_features").select(F.lit("base").alias("output"), *BASE_PLY_COLUMNS)
     both = base.unionByName(
         tables.engine_ply_table(spark, f"{root}/base_features_engine_analysis").withColumn("output", F.lit("enriched")),

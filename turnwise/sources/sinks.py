@@ -8,10 +8,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 
 
-def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
+def write_csv(df: DataFrame, path: str, columns: Sequence[str], *, compression: str = "none") -> None:
     """Write the listed columns with a header; other columns are dropped, NULL is empty text."""
     rows = df.select(*columns)
-    swapped(rows, path, lambda to: rows.write.option("header", True).option("escape", '"').csv(to))
+    swapped(rows, path, lambda to: rows.write.option("header", True).option("escape", '"').csv(to, compression=compression))
 
 
 def write_document(row: DataFrame, path: str) -> None:
